@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import decontaminate, license_scan, packing, quality_rules, token_counts
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": quality_rules.query}
+    return {
+        "op4_token_counts": token_counts.query,
+        "op5_quality_rules": quality_rules.query,
+        "op7_license_scan": license_scan.query,
+        "op9_packing": packing.query,
+        "op10_decontamination": decontaminate.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
