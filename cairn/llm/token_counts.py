@@ -22,7 +22,8 @@ from . import kernel as K
 #: Fixed value: the public vocabulary's splitting pattern.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
-CACHED = 300_000
+#: Entries of a worker's cache of chunks; a full cache is emptied, which costs time and changes nothing.
+CACHED = 500_000
 _CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space that some of the libraries count as such and some not: a text with it is one chunk.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -44,7 +45,7 @@ class Counter:
     def _may_join(self, a: bytes, b: bytes) -> bool:
         known = self.joins.get((a, b))
         if known is None:
-            if len(self.joins) > 4 * CACHED:
+            if len(self.joins) > 2 * CACHED:
                 self.joins.clear()
             known = self.joins[a, b] = list(self.merge(a + b)) == [self.ranks[a], self.ranks[b]]
         return known
@@ -56,10 +57,11 @@ class Counter:
             return [0, 1]
         last: list[bytes] = [b""] * (n + 1)
         count = [0] * (n + 1)
+        ranks, longest, joins = self.ranks, self.longest, self.joins
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            for j in range(max(0, i - longest), i):
                 t = p[j:i]
-                if t in self.ranks and (not j or self._may_join(last[j], t)):
+                if t in ranks and (not j or (joins[x] if (x := (last[j], t)) in joins else self._may_join(*x))):
                     last[i], count[i] = t, count[j] + 1
                     break
         return count
@@ -68,9 +70,9 @@ class Counter:
         """The count at each prefix of a chunk, by UTF-8 bytes."""
         word = chunk.lstrip(" \t\n\x0b\x0c\r")
         white = chunk[: len(chunk) - len(word)]
-        out = self.piece(white.encode())  # until a word begins, white space so far is one piece
+        out = [0, 1][: len(white) + 1] if len(white) < 2 else self.piece(white.encode())  # until a word begins, white space so far is one piece
         if word:
-            base = self.piece(white[:-1].encode())[-1]
+            base = self.piece(white[:-1].encode())[-1] if len(white) > 1 else 0
             tail = [base]
             for p in self.split.findall(white[-1:] + word):
                 base, n = tail[-1], self.piece(p.encode())
@@ -81,9 +83,11 @@ class Counter:
         return bytes(out) if max(out) < 256 else out
 
     def _learn(self, chunks: set[str]) -> None:
-        if len(self.tables) + len(chunks) > CACHED:
+        new = [c for c in chunks if c not in self.tables]
+        if new and len(self.tables) + len(new) > CACHED:
             self.tables.clear()
-        for c in chunks - self.tables.keys():
+            new = list(chunks)
+        for c in new:
             self.tables[c] = self.table(c)
 
     def total(self, text: str) -> int:
