@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, packing, quality_rules, token_counts
+from . import decontaminate, license_scan, ngram_join, packing, quality_rules, token_counts
 
 
 def queries() -> dict:
     return {
+        "op1_ngram_join": ngram_join.query,
         "op4_token_counts": token_counts.query,
         "op5_quality_rules": quality_rules.query,
         "op7_license_scan": license_scan.query,
