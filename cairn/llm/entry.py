@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, ngram_join, packing, quality_rules, token_counts
+import corpus_pipeline
+
+from . import decontaminate, language_id, license_scan, ngram_join, packing, pii, quality_rules, secrets, sharding, token_counts
 
 
 def queries() -> dict:
     return {
         "op1_ngram_join": ngram_join.query,
+        "op2_language_id": language_id.query,
+        "op3_sharding": sharding.query,
         "op4_token_counts": token_counts.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_pii_surrogates": pii.query,
         "op7_license_scan": license_scan.query,
+        "op8_secret_scan": secrets.query,
         "op9_packing": packing.query,
         "op10_decontamination": decontaminate.query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {"op3_sharding": sharding.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    return {k: v for k, v in sql.items() if v}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -38,19 +39,29 @@ class Encoder:
         self.lib = Tokenizer.from_file(path)
         self.seen: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 10_000):
+            part = words[at : at + 10_000]
+            for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+                self.seen[w] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out = []
         for text in texts:
-            words = text.split()
+            # The vocabulary lower-cases all but its special strings.
+            words = (text if b"<|" in text else text.lower()).split()
             missing = [w for w in set(words) if w not in self.seen]
             if missing:
                 if len(self.seen) + len(missing) > CACHED:
                     self.seen.clear()
                     missing = list(set(words))
-                for at in range(0, len(missing), 10_000):
-                    part = missing[at : at + 10_000]
-                    for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                        self.seen[w] = np.array(e.ids, "<u4").tobytes()
+                # A letter and the point or comma at the end are never one token's: such words share their stem's ids.
+                ended = [w for w in missing if w[-1] in b".," and w[-2:-1].isalpha()]
+                whole = {w for w in missing if not (w[-1] in b".," and w[-2:-1].isalpha())}
+                whole.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self.seen)
+                self._learn(list(whole))
+                for w in ended:
+                    self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
             out.append(b"".join(map(self.seen.__getitem__, words)))
         return out
 
@@ -105,7 +116,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
         encoder, ranks, part = Encoder(tokenizer), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            for i, ids in enumerate(encoder.encode([(t or "").encode() for t in batch.column(1).to_pylist()])):
+            for i, ids in enumerate(encoder.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
                 ids += end
                 n = len(ids) // 4
                 for a in range(0, n, size):
