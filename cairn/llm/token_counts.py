@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from . import kernel as K
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPECIAL = "<|endoftext|>"
 #: Entries of a worker's cache of chunks; a full cache is emptied, which costs time and changes nothing.
-CACHED = 500_000
+CACHED = 350_000
 _CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space that some of the libraries count as such and some not: a text with it is one chunk.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -39,8 +40,8 @@ class Counter:
         self.split = regex.compile(PATTERN)
         self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self.joins: dict[tuple[bytes, bytes], bool] = {}
-        self.tables: dict[str, list[int]] = {}
-        self.totals: dict[str, int] = {}
+        self.tables: dict[str, bytes | list[int]] = {}
+        self.pieces: dict[bytes, bytes | list[int]] = {}
 
     def _may_join(self, a: bytes, b: bytes) -> bool:
         known = self.joins.get((a, b))
@@ -52,9 +53,17 @@ class Counter:
 
     def piece(self, p: bytes) -> list[int]:
         """The count at each prefix of one piece, from the empty one on."""
-        n = len(p)
-        if p in self.ranks and n == 1:
+        if len(p) == 1:
             return [0, 1]
+        known = self.pieces.get(p)
+        if known is None:
+            if len(self.pieces) >= CACHED:
+                self.pieces.clear()
+            known = self.pieces[p] = self._piece(p)
+        return list(known)
+
+    def _piece(self, p: bytes) -> bytes | list[int]:
+        n = len(p)
         last: list[bytes] = [b""] * (n + 1)
         count = [0] * (n + 1)
         ranks, longest, joins = self.ranks, self.longest, self.joins
@@ -64,7 +73,7 @@ class Counter:
                 if t in ranks and (not j or (joins[x] if (x := (last[j], t)) in joins else self._may_join(*x))):
                     last[i], count[i] = t, count[j] + 1
                     break
-        return count
+        return bytes(count) if n < 256 else count
 
     def table(self, chunk: str) -> bytes | list[int]:
         """The count at each prefix of a chunk, by UTF-8 bytes."""
@@ -74,7 +83,10 @@ class Counter:
         if word:
             base = self.piece(white[:-1].encode())[-1] if len(white) > 1 else 0
             tail = [base]
-            for p in self.split.findall(white[-1:] + word):
+            # Most words are letters with a point or comma after them at most; they need no pattern to be split.
+            stem = word if word.isalpha() else word[:-1] if word[-1] in ".," and word[:-1].isalpha() else ""
+            plain = stem and white[-1:] in ("", " ") and stem.isascii()
+            for p in ([white[-1:] + stem, word[len(stem) :]][: 1 + (len(stem) < len(word))] if plain else self.split.findall(white[-1:] + word)):
                 base, n = tail[-1], self.piece(p.encode())
                 if len(p) == 3 and p[0] == "'" and p[1:].isalpha():  # a part of 're, 've or 'll is two pieces
                     n[2] = 2
@@ -133,20 +145,25 @@ class Counter:
         return text[: fits[-1]] if len(fits) else ""
 
 
+@lru_cache(maxsize=2)
+def counter(path: str) -> Counter:
+    """One for each worker process: tasks that a worker runs one after another share its tables."""
+    return Counter(path)
+
+
 def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: bytes, tokens, whether over the limit, and cut_at, the characters of the longest prefix within it.
 
     Null is empty: no bytes, no tokens. Repeated rows each give a row; other columns are left out.
     """
     K.row_bytes(docs.sparkSession)
-    kind, made = docs.schema[key].dataType.simpleString(), []
+    kind = docs.schema[key].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(Counter(ranks))
+        held = counter(ranks)
         out: dict = {"n_bytes": [], "n_tokens": [], "over_limit": []}
         for t in batch.column(1).to_pylist():
-            n = made[0].total(t or "")
+            n = held.total(t or "")
             out["n_bytes"].append(len((t or "").encode()))
             out["n_tokens"].append(n)
             out["over_limit"].append(n > limit)
@@ -158,12 +175,9 @@ def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", te
 def truncate(docs: DataFrame, ranks: str, budget: int, text: str = "text") -> DataFrame:
     """``docs`` with each text cut to its longest prefix of at most ``budget`` tokens; null stays null."""
     K.row_bytes(docs.sparkSession)
-    made: list = []
 
     def each(batch: pa.RecordBatch) -> dict:
-        if not made:
-            made.append(Counter(ranks))
-        return {c: [None if t is None else made[0].truncate(t, budget) for t in batch.column(c).to_pylist()] if c == text else batch.column(c) for c in batch.schema.names}
+        return {c: [None if t is None else counter(ranks).truncate(t, budget) for t in batch.column(c).to_pylist()] if c == text else batch.column(c) for c in batch.schema.names}
 
     return K.map_batches(docs, docs.columns, docs.schema, each)
 
