@@ -109,7 +109,8 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of the k values from each place on; the last k - 1 places have no meaning."""
     out = h.copy()
     for j in range(1, k):
-        out[: len(h) - j] = out[: len(h) - j] * _M1 + h[j:]
+        n = max(0, len(h) - j)
+        out[:n] = out[:n] * _M1 + h[j:]
         out ^= out >> np.uint64(31)
     return mix(out)
 

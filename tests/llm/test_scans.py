@@ -1,0 +1,144 @@
+import hashlib
+import random
+import re
+
+from cairn.llm import decontaminate as D, license_scan as L, pii as P, secrets as X
+
+from ..conftest import SMALL
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(t):
+    return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+
+
+def test_license_base(spark):
+    docs = dict(map(tuple, spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()))
+    for r in L.query(spark, SMALL).collect():
+        w = words(docs[r.doc_id])
+        at = [(k, v) for p, v in L.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        starts = [k for k, _ in at]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({v for _, v in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_license_expressions():
+    yard = lambda s: L.evaluate(L.to_postfix(s))
+    assert L.to_postfix("A OR B AND C WITH E") == ["A", "B", "C", "E", "WITH", "AND", "OR"]
+    assert yard("(MIT OR Apache-2.0) AND X") == [frozenset({"mit", "x"}), frozenset({"apache-2.0", "x"})]
+    assert L.to_postfix("OR MIT") == [] and L.to_postfix("MIT AND (B") == ["MIT"] and L.to_postfix("") == [] and L.to_postfix("(MIT)) AND") == ["MIT"]
+
+
+def test_license_edges(spark):
+    rows = [(1, None), (2, ""), (3, "Under-THE mit  License. under the mit license"), (4, "SPDX-License-Identifier: MIT OR GPL-2.0-only WITH x */"), (3, "the mit license")]
+    got = L.find(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, labels string")).collect()
+    assert [(r.n_base, r.first_word, r.last_word, r.labels) for r in got] == [(0, None, None, ""), (0, None, None, ""), (2, 0, 4, "mit"), (0, None, None, "gpl-2.0-only,mit,x"), (0, None, None, "")]
+    assert L.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def hits(docs, items, window):
+    """(id, words, hit words, items) by looking at every window of every item."""
+    table = {}
+    for k, t in items:
+        w = words(t)
+        n = min(window, len(w))
+        for j in range(len(w) - n + 1 if w else 0):
+            table.setdefault(tuple(w[j : j + n]), set()).add(k)
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in table}:
+            for j in range(len(w) - n + 1):
+                if f := table.get(tuple(w[j : j + n])):
+                    found |= f
+                    hit |= set(range(j, j + n))
+        yield i, len(w), len(hit), found
+
+
+def test_contamination(spark):
+    read = lambda t, k: [tuple(r) for r in spark.read.parquet(f"{SMALL}/{t}.parquet").select(k, "text").collect()]
+    want = {i: (n, h, len(f), hashlib.sha256(",".join(sorted(map(str, f))).encode()).hexdigest(), h > 0) for i, n, h, f in hits(read("documents", "doc_id"), read("benchmark", "item_id"), 10)}
+    got = {r.doc_id: tuple(r)[1:] for r in D.query(spark, SMALL).collect()}
+    assert got == want and any(v[1] for v in want.values())
+
+
+def test_automaton_on_random_words():
+    r = random.Random(5)
+    for _ in range(150):
+        items = [(k, " ".join(r.choice("abc") for _ in range(r.randint(0, 9)))) for k in range(r.randint(0, 6))]
+        docs = [(k, " ".join(r.choice("abcd") for _ in range(r.randint(0, 30)))) for k in range(6)]
+        a = D.Automaton([(k, D.split(t)) for k, t in items], 4)
+        for (i, t), (_, n, h, f) in zip(docs, hits(docs, items, 4), strict=True):
+            spans, found = a.match(D.split(t))
+            assert (sum(y - x for x, y in spans), found) == (h, f)
+
+
+def test_removal(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"Keep this. {item.upper()}! And " + "more words " * 20, 5, "x"), (2, item, 6, "y"), (3, None, 7, "z"), (4, "", 7, None)], "doc_id long, text string, n_chars long, item_id string")
+    got = {r.doc_id: r for r in D.remove(docs, spark.createDataFrame([(9, item), (9, item), (8, None)], "item_id long, text string")).collect()}
+    assert set(got) == {1, 3, 4} and got[1].text.startswith("Keep this. ! And more") and got[1].n_chars == len(got[1].text) and got[3].text is None
+    assert D.scan(docs, spark.createDataFrame([], "item_id long, text string")).where("contaminated").count() == 0
+    assert D.scan(docs.limit(0), docs.select("item_id", "text")).count() == 0
+
+
+TEXT = "Mail ANA.92@MAIL1.example.com or ana.92@mail1.example.com, call +1 (017) 555-7713. Card 4111 1111 1111 1111 ip 169.122.221.182. Mrs. Anna Smith."
+
+
+def test_surrogates(spark):
+    rows = [(0, TEXT, "a"), (0, TEXT, "a"), (1, None, None), (2, "", None), (3, "v1.2.3.4 in 2024 token 2abc3ff2ca8fb1e4c565a0eb63815530a948bdde", None), (4, "müller@exämple.de иван@почта.рф", "z"), (5, "x" * 200_000 + " a@b.com", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mention string")
+    out = P.replace(df, "k", count="n")
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append(r)
+    first = got[0][0]
+    assert first.n == 6 and got[0][0] == got[0][1] and out.columns == ["doc_id", "text", "mention", "n"]
+    mails = re.findall(r"\S+@[^ ,]+", first.text)
+    assert mails[0].lower() == mails[1] and mails[0].isupper() is False and mails[0][:3].isupper() and mails[1] != "ana.92@mail1.example.com"
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", first.text) and "555-7713" not in first.text
+    card = re.search(r"(\d{4} ){3}\d{4}", first.text)[0].replace(" ", "")
+    assert sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    assert any(f"Mrs. {n} " in first.text for n in P.GIVEN["f"])
+    assert got[1][0].text is None and got[2][0].text == "" and got[3][0].text == rows[4][1] and got[3][0].n == 0
+    assert re.fullmatch(r"[a-zà-ÿß]+@[a-zà-ÿß]+\.de [а-я]+@[а-я]+\.рф", got[4][0].text)
+    assert got[5][0].n == 1 and P.replace(df.limit(0)).count() == 0
+
+
+def test_surrogates_stay_distinct(spark):
+    ents = spark.range(3000).selectExpr("'ip' kind", "concat_ws('.', 10, id % 7, id % 13, id % 251) canon").union(spark.range(60).selectExpr("'name' kind", "concat('f/', char(97 + id % 26)) canon"))
+    got = P.surrogates(ents.where("kind = 'ip'"), "k")
+    n = ents.where("kind = 'ip'").distinct().count()
+    assert got.count() == n == got.select("sub").distinct().count() and got.join(ents, got.sub == ents.canon, "left_semi").count() == 0
+    assert P.surrogates(spark.createDataFrame([("email", f"{c}@x.de") for c in "abcdefghijklmnopqrst"], "kind string, canon string"), "k").select("sub").distinct().count() == 20
+
+
+def test_secrets(spark):
+    docs = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()))
+    rows = X.query(spark, "/root/testdata/sf0.01").collect()
+    for r in rows:
+        assert hashlib.sha256(docs[r.doc_id][r["at"] : r["at"] + r.length].encode()).hexdigest() == r.digest
+    found = {(r.doc_id, r.digest) for r in rows if r.secret}
+    true = {(i, hashlib.sha256(m.encode()).hexdigest()) for i, t in docs.items() for m in re.findall(r'(?i)token = "([0-9a-f]{40})"', t)}
+    assert true and true <= found and len(found - true) <= 0.1 * len(true) + 1
+
+
+def test_secret_forest_on_held_out_findings(spark):
+    import numpy as np
+
+    rows = spark.createDataFrame(X.findings(400, seed=99), "value string, near string, path string, label int")
+    scored = rows.select(*(c.alias(f"f_{n}") for n, c in X.features().items()), "label").selectExpr(X._trained(spark, X.EXAMPLES) + " AS p", "label").collect()
+    assert np.mean([(r.p >= 0.5) == bool(r.label) for r in scored]) > 0.95
+
+
+def test_secret_edges(spark):
+    df = spark.createDataFrame([(1, None, None), (2, "", "a"), (3, 'key = "abcd1234abcd1234abcd1234" ' * 50, None), (3, "plain", "b")], "doc_id long, text string, source string").withColumn("secret", df_true())
+    got = X.scan(df).collect()
+    assert len(got) == 50 and [r["at"] for r in sorted(got, key=lambda r: r["at"])] == [7 + 33 * i for i in range(50)]
+    assert X.scan(df.limit(0)).count() == 0
+
+
+def df_true():
+    from pyspark.sql import functions as F
+
+    return F.lit(True)
