@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructType
 
 from .paths import BIDI, _c
 
@@ -111,7 +112,7 @@ def aspect_close(wa: Column, ha: Column, wb: Column, hb: Column, tolerance: floa
 _FNV_BASE, _FNV_PRIME = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fnv1a(s: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, over UTF-8, as 16 hex digits; all values advance together, byte by byte."""
     raw = [x.encode() if x is not None else b"" for x in s]
@@ -136,7 +137,7 @@ _K = np.arange(8)
 _DCT = np.cos(np.pi * (2 * np.arange(32)[None] + 1) * _K[:, None] / 64)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def phash(planes: pd.Series) -> pd.Series:
     """A 64-bit perceptual hash of 64 x 64 grey planes: signs of low cosine coefficients against their median."""
     p = _planes(planes).reshape(-1, 32, 2, 32, 2).mean((2, 4))
@@ -146,7 +147,7 @@ def phash(planes: pd.Series) -> pd.Series:
     return pd.Series((bits.astype(np.uint64) << np.arange(64, dtype=np.uint64)).sum(1, dtype=np.uint64).view(np.int64))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def normalized(planes: pd.Series) -> pd.Series:
     """Planes with mean 0 and deviation 1; null where the deviation is below 6, which tells nothing."""
     p = _planes(planes).reshape(len(planes), -1)
@@ -154,7 +155,7 @@ def normalized(planes: pd.Series) -> pd.Series:
     return pd.Series([((x - x.mean()) / s).tolist() if s >= 6 else None for x, s in zip(p, sd, strict=True)])
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def blurred(planes: pd.Series) -> pd.Series:
     """A 3 x 3 mean; at edges of what there is."""
     p = np.pad(_planes(planes), ((0, 0), (1, 1), (1, 1)), constant_values=np.nan)
@@ -162,7 +163,7 @@ def blurred(planes: pd.Series) -> pd.Series:
     return pd.Series(np.nanmean(stack, 0).reshape(len(planes), -1).tolist())
 
 
-@F.pandas_udf("struct<mad: double, block: double>")
+@F.pandas_udf(StructType().add("mad", DoubleType()).add("block", DoubleType()))
 def plane_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The mean absolute difference, and the largest mean of an 8 x 8 block."""
     d = np.abs(_planes(a) - _planes(b))

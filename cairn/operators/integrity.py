@@ -43,7 +43,7 @@ class Snapshots:
 
     def all(self) -> DataFrame:
         """(snapshot_id, files, bytes), newest id first."""
-        return self.spark.read.parquet(self.path).groupBy(F.col("snapshot_id").cast("string").alias("snapshot_id")).agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("snapshot_id"))
+        return self.spark.read.schema("rel string, size long, sha256 string, snapshot_id string").parquet(self.path).groupBy("snapshot_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("snapshot_id"))
 
 
 def unread(items: DataFrame, cache: DataFrame) -> DataFrame:

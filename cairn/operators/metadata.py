@@ -84,6 +84,8 @@ def png_fields(raw: bytes) -> list[tuple[str, str]]:
     while raw[:8] == b"\x89PNG\r\n\x1a\n" and at + 12 <= len(raw):
         n, kind = struct.unpack(">I4s", raw[at : at + 8])
         body = raw[at + 8 : at + 8 + n]
+        if at + 12 + n > len(raw):
+            break
         if kind in (b"tEXt", b"iTXt") and b"\0" in body:
             key, _, rest = body.partition(b"\0")
             text = rest if kind == b"tEXt" else rest[2:].split(b"\0", 2)[-1]
@@ -98,9 +100,10 @@ def exif_fields(raw: bytes) -> list[tuple[str, str]]:
     names = {0x010E: "ImageDescription", 0x010F: "Make", 0x0110: "Model", 0x0131: "Software", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x9003: "DateTimeOriginal", 0x9291: "SubSecTimeOriginal"}
     start = raw.find(b"Exif\0\0") + 6 if raw[:2] == b"\xff\xd8" else 0
     t = raw[start:] if start != 5 else b""
-    if t[:4] not in (b"II*\0", b"MM\0*"):
+    if t[:4] not in (b"II*\0", b"MM\0*") or len(t) < 8:
         return []
-    order, out, todo, seen = "<" if t[:2] == b"II" else ">", [], [struct.unpack(("<" if t[:2] == b"II" else ">") + "I", t[4:8])[0]] if len(t) >= 8 else [], set()
+    order, out, seen = "<" if t[:2] == b"II" else ">", [], set()
+    todo = [struct.unpack(order + "I", t[4:8])[0]]
     while todo:
         at = todo.pop()
         if at in seen or at + 2 > len(t):

@@ -81,7 +81,8 @@ def walk(root: str, hidden: bool = False) -> Iterator[tuple]:
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """The tree below a folder that the driver sees, without hidden, package, system and junk entries."""
-    rows = spark.createDataFrame(list(walk(root)), SCAN_SCHEMA).where(paths.listable("path"))
+    shown = paths.listable(F.when(F.col("is_dir"), F.concat("path", F.lit("/x"))).otherwise(F.col("path")))
+    rows = spark.createDataFrame(list(walk(root)), SCAN_SCHEMA).where(shown)
     kind = F.when(F.col("link").isNotNull(), "link").when(F.col("is_dir"), "folder").otherwise(F.col("kind"))
     return described(rows).withColumn("kind", kind).withColumn("link_outside", F.coalesce(paths.link_escapes("path", F.col("link")), F.lit(False)))
 
