@@ -122,11 +122,11 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[fl
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) that occur ``counts`` times.
 
     Returns the share of good documents and each rule's P(vote | class), [rule, class (bad, good), vote (-1, 0, 1)].
-    Starts from rules that catch a third of the bad documents and one in a hundred good ones, and keeps that prior with a fifth of the corpus's
+    Starts from rules that catch a third of the bad documents and one in a hundred good ones, and keeps that prior with a fiftieth of the corpus's
     weight (ten documents at least): it anchors the classes' meaning, also on an empty or one-sided corpus.
     """
     n = patterns.shape[1]
-    anchor = max(10.0, 0.2 * float(counts.sum()))
+    anchor = max(10.0, 0.02 * float(counts.sum()))
     prior = np.tile(np.array([[0.35, 0.6, 0.05], [0.01, 0.9, 0.09]]), (n, 1, 1))
     table, good = prior.copy(), 0.7
     for _ in range(rounds):
