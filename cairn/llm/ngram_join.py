@@ -7,7 +7,7 @@ a token in their prefixes (n - ceil(t n) + 1 tokens) under *any* global order, s
 Plan: (1) tokens go, packed, to buckets of the token space; a bucket sees every node of its tokens and drops tokens of
 a single node. (2) What is left goes to buckets of nodes: a node with more single tokens than the similarity lets it
 miss can link with nothing and is dropped; the others' prefixes are known. (3) Prefix tokens go to token buckets; each
-token ties its nodes to one of them (a star, not all pairs). (4) Nodes in one component under every order form a cell;
+token ties its nodes to one of them, and a bucket emits a tree of its nodes, not pairs. (4) Nodes in one component under every order form a cell;
 only nodes of one cell can be linked. (5) A cell is searched breadth first: a node's candidates share a prefix token under
 each order, have a fitting size and are not reached yet; they are verified by counting common tokens. So a group of
 copies costs a verification per member, not per pair. Large cells are split into blocks that meet in pairs of blocks.
@@ -197,8 +197,26 @@ def _prefix_tokens(row: dict) -> list[np.ndarray]:
     return [t[: row["prefix"]], *(t[np.frombuffer(row[f"p{r}"], np.uint32)] for r in range(1, ORDERS))]
 
 
-def _stars(nodes: DataFrame, bits: int) -> DataFrame:
-    """Step 3: (k, a, b): under order k, node a has a prefix token of which b is the smallest node."""
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n vertices the smallest one that edges a-b lead to."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Step 3: (k, a, b): under order k, prefix tokens of one bucket lead from node a to b, the smallest such node.
+
+    The buckets follow the number of prefix tokens, and a bucket says once what its tokens say together."""
+    tokens = nodes.select(F.sum("prefix")).first()[0] or 0
+    bits = max(0, int(np.ceil(np.log2(max(1, tokens / BUCKET)))))
     shift = BITS - bits
 
     def scatter(batches):
@@ -223,10 +241,11 @@ def _stars(nodes: DataFrame, bits: int) -> DataFrame:
         order = np.lexsort((own, token))
         token, own = token[order], own[order]
         cuts = _runs(token)
+        node, own = np.unique(own, return_inverse=True)
         hub = np.repeat(own[cuts[:-1]], np.diff(cuts))
-        far = own != hub
-        pairs = np.unique(np.stack([own[far], hub[far]], 1), axis=0) if far.any() else np.zeros((0, 2), np.int64)
-        return pa.table({"k": np.full(len(pairs), r), "a": pairs[:, 0], "b": pairs[:, 1]})
+        least = _least(own, hub, len(node))
+        far = np.flatnonzero(least != np.arange(len(node)))
+        return pa.table({"k": np.full(len(far), r), "a": node[far], "b": node[least[far]]})
 
     return nodes.mapInArrow(scatter, "bucket long, tokens binary, own binary").groupBy("bucket").applyInArrow(gather, "k long, a long, b long")
 
@@ -285,7 +304,7 @@ def node_components(docs: DataFrame, tokens: int, text: str = "text", k: int = S
     K.row_bytes(docs.sparkSession)
     bits = max(0, int(np.ceil(np.log2(max(1, tokens / BUCKET)))))
     nodes = K.cut(_prefixed(_shared_tokens(docs, text, k, bits), num, den))
-    found = components(K.cut(_stars(nodes, bits)), ["k"])
+    found = components(K.cut(_stars(nodes)), ["k"])
     cells = found.groupBy("v").agg(*(F.max(F.when(F.col("k") == r, F.col("root"))).alias(f"c{r}") for r in range(ORDERS)))
     cells = cells.where(" AND ".join(f"c{r} IS NOT NULL" for r in range(ORDERS))).select(F.col("v").alias("node"), F.xxhash64(*(f"c{r}" for r in range(ORDERS))).alias("cell"))
     weighed = K.cut(cells.join(nodes.select("node", (F.length("tokens") / _PLANES).cast("long").alias("w")), "node"))
