@@ -12,6 +12,7 @@ import os
 import zlib
 from array import array
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from . import kernel as K
 
 SIZE, END = 4096, 2
 #: Entries of a worker's cache of encoded words; a full cache is emptied, which costs time and changes nothing.
-CACHED = 400_000
+CACHED = 250_000
 
 
 class Encoder:
@@ -66,6 +67,12 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: tasks that a worker runs one after another share its cache."""
+    return Encoder(path)
+
+
 def shortest_pack_first(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, tuple[int, ...]]]:
     """(count, lengths in order) of packs; every length of the histogram is placed as often as it says."""
     room: dict[int, list[tuple[int, tuple[int, ...]]]] = defaultdict(list)
@@ -113,10 +120,10 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     end = np.array([END], "<u4").tobytes()
 
     def run(batches):
-        encoder, ranks, part = Encoder(tokenizer), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
+        held, ranks, part = encoder(tokenizer), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             rows: list[tuple] = []
-            for i, ids in enumerate(encoder.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
+            for i, ids in enumerate(held.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
                 ids += end
                 n = len(ids) // 4
                 for a in range(0, n, size):
