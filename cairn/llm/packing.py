@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from . import kernel as K
 
 SIZE, END = 4096, 2
-#: Entries of a worker's cache of encoded words; a full cache is emptied, which costs time and changes nothing.
-CACHED = 250_000
+#: Bytes of a worker's cache of encoded words, its own about ``ENTRY`` an entry; a full cache is emptied, which costs time and changes nothing.
+CACHED, ENTRY = 60_000_000, 200
 
 
 class Encoder:
@@ -39,6 +39,7 @@ class Encoder:
 
         self.lib = Tokenizer.from_file(path)
         self.seen: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 10_000):
@@ -53,9 +54,13 @@ class Encoder:
             words = (text if b"<|" in text else text.lower()).split()
             missing = [w for w in set(words) if w not in self.seen]
             if missing:
-                if len(self.seen) + len(missing) > CACHED:
+                # Ids take no more than four bytes for each byte of their word.
+                need = sum(map(len, missing)) * 5 + ENTRY * len(missing)
+                if self.held and self.held + need > CACHED:
                     self.seen.clear()
-                    missing = list(set(words))
+                    self.held, missing = 0, list(set(words))
+                    need = sum(map(len, missing)) * 5 + ENTRY * len(missing)
+                self.held += need
                 # A letter and the point or comma at the end are never one token's: such words share their stem's ids.
                 ended = [w for w in missing if w[-1] in b".," and w[-2:-1].isalpha()]
                 whole = {w for w in missing if not (w[-1] in b".," and w[-2:-1].isalpha())}
