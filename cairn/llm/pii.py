@@ -2,8 +2,8 @@
 
 Entities are found by pattern and brought to a canonical form, so that mentions of one entity agree whatever their case
 or spacing. Each distinct entity gets a surrogate from a keyed digest: digits for digits, letters for letters of the same
-script, the country code, top-level domain and a card number's check digit kept as they are, given names by the gender of
-the title. Surrogates that two entities share, or that are an entity of the corpus, are drawn again with the next
+script, the country code, top-level domain and a card number's check
+digit kept as they are, given names by the gender of the title; a titled name of one word is a surname. Surrogates that two entities share, or that are an entity of the corpus, are drawn again with the next
 attempt number until all differ. Mentions are rendered in their own format and case. Only distinct entities and
 documents that hold some are shuffled.
 """
@@ -41,6 +41,8 @@ ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
 #: Texts without these have no entity; it is cheap to test.
 _MAYBE = rf"[0-9@]|{_OUT}{_TITLE}\.? \p{{Lu}}"
 _SCRIPTS = (("[a-z]", 97, 26), ("[A-Z]", 65, 26), ("[0-9]", 48, 10), ("[à-öø-ÿß]", 0xE0, 22), ("[À-ÖØ-Þ]", 0xC0, 22), ("[α-ω]", 0x3B1, 17), ("[а-я]", 0x430, 32), ("[А-Я]", 0x410, 32), ("[一-鿿]", 0x4E00, 250))
+#: Attempts of an e-mail or name before it grows by a letter at each more, and attempts in a row without a new surrogate after which other kinds fail.
+SAME_LENGTH, STALLED = 3, 64
 
 
 def kind_of(mention: str = "mention") -> Column:
@@ -74,27 +76,34 @@ def _char(c: str, i: str) -> str:
 
 
 def surrogate(key: str) -> Column:
-    """The surrogate of (kind, canon) at an attempt, in canonical form; needs the column rnd."""
+    """The surrogate of (kind, canon) at an attempt, in canonical form; needs the columns attempt and rnd."""
     mapped = lambda s: f"array_join(transform(split({s}, ''), (c, i) -> {_char('c', 'i')}), '')"
     octet = lambda i: f"cast(1 + cast(conv(substring(rnd, {4 * i + 1}, 4), 16, 10) as int) % 254 as string)"
-    cut = "length(canon) - length(substring_index(canon, '.', -1))"
+    cut, local = "length(canon) - length(substring_index(canon, '.', -1))", "substring_index(canon, '@', 1)"
     luhn = lambda s: f"aggregate(transform(split(reverse({s}), ''), (c, i) -> CASE WHEN i % 2 = 1 THEN array(0,2,4,6,8,1,3,5,7,9)[cast(c as int)] ELSE cast(c as int) END), 0, (a, x) -> a + x) % 10"
     body = f"substring({mapped('canon')}, 1, length(canon) - 1)"
     card = f"CASE WHEN {luhn('canon')} = 0 THEN concat({body}, cast((10 - {luhn(f'concat({body}, 0)')}) % 10 as string)) ELSE {mapped('canon')} END"
     pick = "CASE substring(canon, 1, 1) " + " ".join(f"WHEN '{g}' THEN element_at(array({', '.join(repr(x.lower()) for x in names)}), 1 + cast(conv(substring(rnd, 1, 4), 16, 10) as int) % {len(names)})" for g, names in GIVEN.items()) + " END"
-    last = f"CASE WHEN instr(canon, ' ') > 0 THEN concat(' ', {mapped('substring_index(canon, chr(32), -1)')}) ELSE '' END"
-    return F.expr(f"""CASE kind WHEN 'email' THEN concat({mapped(f'substring(canon, 1, {cut})')}, substring_index(canon, '.', -1))
+    # Names and local parts have no fixed length, so their values never run out: repeats of their last letter are mapped too.
+    grown = lambda s: f"concat({s}, repeat(coalesce(nullif(regexp_extract({s}, r'([\\p{{L}}\\p{{N}}])[^\\p{{L}}\\p{{N}}]*$', 1), ''), 'a'), greatest(0, attempt - {SAME_LENGTH - 1})))"
+    word = "substring_index(substring(canon, 3), ' ', -1)"
+    given = f"CASE WHEN instr(canon, ' ') > 0 THEN concat({pick}, ' ') ELSE '' END"
+    address = f"concat({grown(local)}, substring(canon, instr(canon, '@'), {cut} - instr(canon, '@') + 1))"
+    return F.expr(f"""CASE kind WHEN 'email' THEN concat({mapped(address)}, substring_index(canon, '.', -1))
         WHEN 'ip' THEN concat_ws('.', {', '.join(octet(i) for i in range(4))}) WHEN 'card' THEN {card}
         WHEN 'phone' THEN concat(substring_index(canon, '/', 1), '/', {mapped("substring_index(canon, '/', -1)")})
         WHEN 'iban' THEN concat(substring(canon, 1, 2), {mapped('substring(canon, 3)')})
-        WHEN 'name' THEN concat(substring(canon, 1, 2), {pick}, {last}) ELSE {mapped('canon')} END""")
+        WHEN 'name' THEN concat(substring(canon, 1, 2), {given}, {mapped(grown(word))}) ELSE {mapped('canon')} END""")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canon, sub): no two entities of a kind share a sub, and no sub is an entity."""
+    """(kind, canon, sub): no two entities of a kind share a sub, and no sub is an entity.
+
+    Names and e-mails grow until they find one; the other kinds keep their format and fail where its values run out.
+    """
     key = key.replace("'", "")
     left, done = K.cut(entities.select("kind", "canon").distinct()), None
-    known, attempt = left.select("kind", F.col("canon").alias("sub")), 0
+    known, attempt, stalled, n = left.select("kind", F.col("canon").alias("sub")), 0, 0, left.count()
     while True:
         drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("rnd", F.expr(_bytes(key))).select("kind", "canon", surrogate(key).alias("sub"))
         taken = known if done is None else known.union(done.select("kind", "sub"))
@@ -102,16 +111,23 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         good = K.cut(first.select("kind", "canon", "sub"))
         done = good if done is None else done.union(good)
         left = K.cut(left.join(good, ["kind", "canon"], "left_anti"))
-        attempt += 1
-        if left.isEmpty():
+        attempt, before, n = attempt + 1, n, left.count()
+        if not n:
             return done
+        stalled = stalled + 1 if n == before else 0
+        if stalled == STALLED:
+            kinds = ", ".join(r.kind for r in left.select("kind").distinct().orderBy("kind").collect())  # seven at most
+            raise ValueError(f"{n} entities ({kinds}) have no surrogate of their format left: the corpus holds about half of its values")
 
 
 def render() -> Column:
     """The mention with its surrogate in it: the surrogate's digits and letters in the mention's format and case."""
     plain = "CASE kind WHEN 'phone' THEN concat(regexp_replace(substring_index(sub, '/', 1), '[^0-9]', ''), substring_index(sub, '/', -1)) ELSE regexp_replace(sub, '[^A-Za-z0-9]', '') END"
     fill = "array_join(transform(split(mention, ''), (c, i) -> CASE WHEN c RLIKE '[A-Za-z0-9]' THEN substring(plain, length(regexp_replace(substring(mention, 1, i + 1), '[^A-Za-z0-9]', '')), 1) ELSE c END), '')"
-    cased = "array_join(transform(split(sub, ''), (c, i) -> CASE WHEN substring(mention, i + 1, 1) = upper(substring(mention, i + 1, 1)) THEN upper(c) ELSE c END), '')"
+    # Letters that a local part has more than the mention follow the case of its last one.
+    more, local = "(length(sub) - length(mention))", "(instr(mention, '@') - 1)"
+    at = f"substring(mention, 1 + CASE WHEN i < {local} THEN i WHEN i < {local} + {more} THEN {local} - 1 ELSE i - greatest(0, {more}) END, 1)"
+    cased = f"array_join(transform(split(sub, ''), (c, i) -> CASE WHEN {at} = upper({at}) THEN upper(c) ELSE c END), '')"
     name = f"concat(regexp_extract(mention, '^{_TITLE}[.]? ', 0), initcap(substring(sub, 3)))"
     return F.expr(f"transform(array({plain}), plain -> CASE kind WHEN 'ip' THEN sub WHEN 'email' THEN {cased} WHEN 'name' THEN {name} ELSE {fill} END)[0]")
 

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from cairn.llm import decontaminate as D, license_scan as L, pii as P, secrets as X
 
 from ..conftest import SMALL
@@ -113,6 +115,23 @@ def test_surrogates_stay_distinct(spark):
     assert P.surrogates(spark.createDataFrame([("email", f"{c}@x.de") for c in "abcdefghijklmnopqrst"], "kind string, canon string"), "k").select("sub").distinct().count() == 20
 
 
+def test_one_word_names_and_short_mails_never_run_out(spark):
+    ents = [("name", f"f/{chr(97 + i % 26)}") for i in range(60)] + [("name", f"m/name{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}") for i in range(70)] + [("email", f"{c}@x.de") for c in "abcdefghijklmnopqrstuvwxyz"] + [("email", "_@-.de")]
+    df = spark.createDataFrame(ents, "kind string, canon string")
+    got = [tuple(r) for r in P.surrogates(df, "k").collect()]
+    assert len(got) == len(set(ents)) == len({(k, s) for k, _, s in got}) and not {(k, s) for k, _, s in got} & set(ents)
+    docs = spark.createDataFrame([(i, f"Mr Smith{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]} came.") for i in range(50)], "doc_id long, text string")
+    out = [r.text for r in P.replace(docs, "k").collect()]
+    assert len(set(out)) == 50 and all(re.fullmatch(r"Mr [A-Z][a-z]+ came\.", t) and "Smith" not in t for t in out)
+
+
+def test_a_format_without_values_left_fails(spark, monkeypatch):
+    monkeypatch.setattr(P, "STALLED", 2)
+    full = spark.createDataFrame([("ssn", str(i)) for i in range(10)], "kind string, canon string")
+    with pytest.raises(ValueError, match="10 entities"):
+        P.surrogates(full, "k")
+
+
 def test_secrets(spark):
     docs = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()))
     rows = X.query(spark, "/root/testdata/sf0.01").collect()
