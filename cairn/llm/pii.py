@@ -2,7 +2,7 @@
 
 Entities are found by pattern and brought to a canonical form, so that mentions of one entity agree whatever their case
 or spacing. Each distinct entity gets a surrogate from a keyed digest: digits for digits, letters for letters of the same
-script, the country code, top-level domain and a card number's check
+script (Latin ones for scripts without a line in ``_SCRIPTS``), the country code, top-level domain and a card number's check
 digit kept as they are, given names by the gender of the title; a titled name of one word is a surname. Surrogates that two entities share, or that are an entity of the corpus, are drawn again with the next
 attempt number until all differ. Mentions are rendered in their own format and case. Only distinct entities and
 documents that hold some are shuffled.
@@ -40,7 +40,14 @@ ORDER = ("email", "iban", "ip", "ssn", "phone", "card", "name")
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
 #: Texts without these have no entity; it is cheap to test.
 _MAYBE = rf"[0-9@]|{_OUT}{_TITLE}\.? \p{{Lu}}"
-_SCRIPTS = (("[a-z]", 97, 26), ("[A-Z]", 65, 26), ("[0-9]", 48, 10), ("[à-öø-ÿß]", 0xE0, 22), ("[À-ÖØ-Þ]", 0xC0, 22), ("[α-ω]", 0x3B1, 17), ("[а-я]", 0x430, 32), ("[А-Я]", 0x410, 32), ("[一-鿿]", 0x4E00, 250))
+_SCRIPTS = (
+    ("[a-z]", 97, 26), ("[A-Z]", 65, 26), ("[0-9]", 48, 10), ("[à-öø-ÿß]", 0xE0, 22), ("[À-ÖØ-Þ]", 0xC0, 22), ("[α-ω]", 0x3B1, 17), ("[а-я]", 0x430, 32), ("[А-Я]", 0x410, 32), ("[一-鿿]", 0x4E00, 250),
+    (r"[\p{IsLatin}&&\p{Lu}]", 65, 26), (r"\p{IsLatin}", 97, 26), (r"[\p{IsGreek}&&\p{Lu}]", 0x391, 17), (r"\p{IsGreek}", 0x3B1, 17), (r"[\p{IsCyrillic}&&\p{Lu}]", 0x410, 32), (r"\p{IsCyrillic}", 0x430, 32),
+    (r"[\p{IsArmenian}&&\p{Lu}]", 0x531, 38), (r"\p{IsArmenian}", 0x561, 38), (r"\p{IsGeorgian}", 0x10D0, 33), (r"\p{IsHebrew}", 0x5D0, 27), (r"\p{IsArabic}", 0x628, 19), (r"\p{IsDevanagari}", 0x905, 53), (r"\p{IsThai}", 0xE01, 46),
+    (r"\p{IsHangul}", 0xAC00, 250), (r"\p{IsHiragana}", 0x3041, 86), (r"\p{IsKatakana}", 0x30A1, 90), (r"\p{IsHan}", 0x4E00, 250),
+    # Scripts without a line of their own get Latin letters, other digits 0-9: what the patterns take is always replaced.
+    (r"\p{Lu}", 65, 26), (r"\p{L}", 97, 26), (r"\p{N}", 48, 10),
+)
 #: Attempts of an e-mail or name before it grows by a letter at each more, and attempts in a row without a new surrogate after which other kinds fail.
 SAME_LENGTH, STALLED = 3, 64
 
@@ -72,7 +79,7 @@ def _bytes(key: str) -> str:
 def _char(c: str, i: str) -> str:
     """SQL: a character of the same script and kind as ``c`` from the digest's byte number ``i``."""
     byte = f"cast(conv(substring(rnd, 2 * pmod({i}, 128) + 1, 2), 16, 10) as int)"
-    return "CASE " + " ".join(f"WHEN {c} RLIKE '^{p}$' THEN " + (f"char({a} + {byte} % {n})" if a < 256 else f"decode(unhex(concat('', lpad(hex({a} + {byte} % {n}), 4, '0'))), 'UTF-16BE')") for p, a, n in _SCRIPTS) + f" ELSE {c} END"
+    return "CASE " + " ".join(f"WHEN {c} RLIKE r'^{p}$' THEN " + (f"char({a} + {byte} % {n})" if a < 256 else f"decode(unhex(concat('', lpad(hex({a} + {byte} % {n}), 4, '0'))), 'UTF-16BE')") for p, a, n in _SCRIPTS) + f" ELSE {c} END"
 
 
 def surrogate(key: str) -> Column:

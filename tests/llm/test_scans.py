@@ -132,6 +132,22 @@ def test_a_format_without_values_left_fails(spark, monkeypatch):
         P.surrogates(full, "k")
 
 
+def test_letters_of_all_scripts_are_replaced(spark):
+    mails = ["김철수@한국.kr", "łžşđřő@ąęćńśź.pl", "їєґёў@ђљњћџ.ua", "άέήίόύώ@χψωϊϋ.gr", "աբգդեզ@հձղճմյ.am", "სახელი@დომენი.ge", "محمدعلي@مثالنص.sa", "שלוםרב@דוגמהא.il", "さくらんぼ@カタカナモ.jp", "ខ្ញុំកខគឃ@ងចឆជឈ.kh", "٣٤٥٦٧٨@᠑᠒᠓᠔᠕.xx", "𝐚𝐛𝐜𝐝𝐞𝐟@㐀㐁㐂㐃㐄.de"]
+    names = ["Dr Արամ Սարգսյան", "Frau Łucja Żółćęą", "Mr Ёж Ёлкинёё", "Mrs Άννα Παπαδόπουλοϋ"]
+    df = spark.createDataFrame(list(enumerate(mails + names)), "doc_id long, text string")
+    out = [r.text for r in P.replace(df, "k", count="n").orderBy("doc_id").collect()]
+    letters = lambda s: [c for c in s if c.isalnum()]
+    for m, o in zip(mails, out[: len(mails)], strict=True):
+        a, b = letters(m.rsplit(".", 1)[0]), letters(o.rsplit(".", 1)[0])
+        assert len(a) == len(b) and sum(x == y for x, y in zip(a, b, strict=True)) <= 2, (m, o)
+    for m, o in zip(names, out[len(mails) :], strict=True):
+        a, b = m.split()[-1], o.split()[-1]
+        assert m.split()[0] == o.split()[0] and len(a) == len(b) and sum(x == y for x, y in zip(a, b, strict=True)) <= 2, (m, o)
+    assert re.fullmatch(r"[가-힣]{3}@[가-힣]{2}\.kr", out[0]) and re.fullmatch(r"[а-я]{5}@[а-я]{5}\.ua", out[2])
+    assert re.fullmatch(r"Dr [A-Z][a-z]+ [Ա-Ֆ][ա-ֆ]{7}", out[len(mails)])
+
+
 def test_secrets(spark):
     docs = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()))
     rows = X.query(spark, "/root/testdata/sf0.01").collect()
