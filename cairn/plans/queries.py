@@ -380,26 +380,32 @@ def _prints(spark, d):
 _NEAR = f"{_FP}, e AS (SELECT x.vec_id AS a, y.vec_id AS b, bit_count(xor(x.b, y.b))::INT AS distance FROM h x JOIN h y ON x.vec_id < y.vec_id WHERE bit_count(xor(x.b, y.b)) <= 18)"
 
 
+def _near(prints):
+    return S.expand(S.candidates(prints, 18), S.members(prints))
+
+
 @query(f"WITH {_NEAR} SELECT a, b, distance FROM e WHERE distance > 0")
 def hash_candidates(spark, d):
-    return S.candidates(_prints(spark, d), 18)
+    return _near(_prints(spark, d))
 
 
 @query(f"WITH RECURSIVE {_NEAR}, w(id, r) AS (SELECT a, a FROM (SELECT a FROM e UNION SELECT b FROM e) UNION SELECT y.n, w.r FROM w JOIN (SELECT a AS v, b AS n FROM e UNION ALL SELECT b, a FROM e) y ON y.v = w.id) SELECT id, min(r) AS root FROM w GROUP BY id")
 def similar_components(spark, d):
-    return S.components(S.candidates(_prints(spark, d), 18))
+    prints = _prints(spark, d)
+    return S.member_components(S.candidates(prints, 18), S.members(prints))
 
 
 @query()
 def similar_groups(spark, d):
-    e = S.candidates(_prints(spark, d), 18).select("a", "b", (F.lit(100) - F.col("distance")).cast("int").alias("similarity"))
+    prints = _prints(spark, d)
+    e = S.candidates(prints, 18).select("a", "b", (F.lit(100) - F.col("distance")).cast("int").alias("similarity"))
     quality = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("q"), F.col("vec_id").alias("modified_ms"), F.col("vec_id").cast("string").alias("path"))
-    return S.keeper_groups(e, quality)
+    return S.member_groups(e, S.members(prints), quality)
 
 
 @query(f"WITH {_NEAR} SELECT a, b FROM e WHERE distance > 0 AND (a + b) % 3 <> 0")
 def dismissed_anti(spark, d):
-    e = S.candidates(_prints(spark, d), 18)
+    e = _near(_prints(spark, d))
     return S.without_dismissed(e, e.where((F.col("a") + F.col("b")) % 3 == 0).select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", "b")
 
 

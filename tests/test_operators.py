@@ -188,6 +188,36 @@ def test_hamming_pairs_are_all_found(spark):
     assert got == {(min(first[int(h[i])], first[int(h[j])]), max(first[int(h[i])], first[int(h[j])]), k) for i, j, k in want}
 
 
+def test_equal_hashes_count_as_members(spark, tmp_path):
+    import duckdb
+
+    from cairn.plans.queries import QUERIES, SQL
+
+    from .conftest import same
+
+    r = np.random.default_rng(3)
+    v = [r.normal(size=64).round(3) for _ in range(12)]
+    v += [v[0], v[0], v[1], v[11], v[11], v[11]]  # copies of a hash that has near ones, and of one that has none
+    for k in (0, 0, 1, 2):  # near ones: one element moves over the median
+        x, order = v[k].copy(), np.argsort(v[k])
+        x[order[3 + len(v) % 5]], x[order[50]] = x[order[50]], x[order[3 + len(v) % 5]]
+        v += [x, x] if k == 1 else [x]
+    rows = [(i, [float(y) for y in x], i % 4) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    duck = duckdb.connect()
+    duck.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    for name in ("hash_candidates", "similar_components", "dismissed_anti"):
+        same(QUERIES[name](spark, str(tmp_path)), duck.sql(SQL[name]))
+    # All pairs, equal hashes included, given to the plain grouping.
+    prints = spark.read.parquet(str(tmp_path / "embeddings.parquet")).select(F.col("vec_id").alias("id"), S.fingerprint("embedding").alias("h"))
+    h = {x.id: x.h & (2**64 - 1) for x in prints.collect()}
+    near = [(a, b, 100 - (h[a] ^ h[b]).bit_count()) for a in h for b in h if a < b and (h[a] ^ h[b]).bit_count() <= 18]
+    quality = spark.createDataFrame([(i, float(i % 4), i, str(i)) for i in h], "id long, q double, modified_ms long, path string")
+    want = S.keeper_groups(spark.createDataFrame(near, "a long, b long, similarity int"), quality)
+    got = sorted(map(tuple, QUERIES["similar_groups"](spark, str(tmp_path)).collect()))
+    assert got == sorted(map(tuple, want.collect())) and {x[2] for x in got} > {100} and len({n[:2] for n in near if n[2] == 100}) >= 8
+
+
 def test_bursts_and_groups(spark):
     shots = spark.createDataFrame([("c", i, t) for i, t in enumerate([0, 400, 900, 5000, 6500, 8001])], "camera string, id long, time_ms long")
     assert [(b.frames, b.span_ms) for b in S.bursts(shots, ["camera"]).collect()] == [(3, 900)]
