@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 import __spark_entry__ as entry
@@ -27,3 +29,17 @@ def test_plans_have_no_nested_loops_and_prune(spark):
         assert "CartesianProduct" not in plan and ("NestedLoop" not in plan or name == "hash_candidates"), name
     plan = QUERIES["storage_by_kind"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "n_chars" not in plan
+
+
+def test_followed_private_reads_every_folder(spark):
+    plan = QUERIES["followed_private"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "<= 1" not in plan
+
+
+def test_range_pairs_over_the_whole_table(spark):
+    from cairn.operators import similar as S
+
+    v = spark.read.parquet(f"{SMALL}/part.parquet").selectExpr("p_partkey AS id", "cast(round(p_retailprice * 100) AS long) * 7 AS duration", "600 + p_size * 10 AS w", "400 AS h")
+    rows = [tuple(r) for r in v.collect()]
+    want = {(a, b) for a, da, wa, _ in rows for b, db, wb, _ in rows if (da, a) < (db, b) and db <= da * 1.15 + 2000 and abs(math.log(wa / 400) - math.log(wb / 400)) <= 0.05}
+    assert want and {tuple(r) for r in S.range_pairs(v).collect()} == want
