@@ -42,12 +42,8 @@ def _leaves(rows: DataFrame, base: int, depth: int, limit: int) -> tuple[DataFra
     return slots, full.where((F.col("d") == depth) & F.lit(not last)).select(F.col("p").alias("slot"))
 
 
-def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_bytes, shard, depth, shard_bytes, shard_docs, overflow) of every row; shard is the bucket's prefix in binary digits.
-
-    Null and empty texts have 0 bytes; a null key is hashed as an empty one. Only where one row alone, or rows equal in key
-    and text, exceed the limit does a shard exceed it, and is marked ``overflow``. An empty table gives an empty result.
-    """
+def _placed(docs: DataFrame, limit: int, key: str, text: str) -> DataFrame:
+    """``assign`` with h, the row's hash bits: rows of one h are in one shard."""
     rows = K.cut(docs.select(key, F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), _hash(key, text).alias("h")))
     total = rows.select(F.sum("n_bytes")).first()[0] or 0
     base, depth, parts = 0, min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + SPARE), []
@@ -57,7 +53,7 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
         keyed = rows.withColumn("slot", F.shiftright("h", BITS - depth))
         found = keyed.join(slots, "slot")
         digits = F.when(F.col("d") == 0, F.lit("")).otherwise(F.expr("lpad(bin(p), d, '0')"))
-        parts.append(found.select(key, "n_bytes", digits.alias("shard"), F.col("d").alias("depth"), F.col("b").alias("shard_bytes"), F.col("n").alias("shard_docs"), (F.col("b") > limit).alias("overflow")))
+        parts.append(found.select("h", key, "n_bytes", digits.alias("shard"), F.col("d").alias("depth"), F.col("b").alias("shard_bytes"), F.col("n").alias("shard_docs"), (F.col("b") > limit).alias("overflow")))
         if more.isEmpty():
             break
         rows = K.cut(keyed.join(more, "slot", "left_semi").drop("slot"))
@@ -68,10 +64,20 @@ def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text")
     return out
 
 
+def assign(docs: DataFrame, limit: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, shard, depth, shard_bytes, shard_docs, overflow) of every row; shard is the bucket's prefix in binary digits.
+
+    Null and empty texts have 0 bytes; a null key is hashed as an empty one. Only where one row alone, or rows equal in key
+    and text, exceed the limit does a shard exceed it, and is marked ``overflow``. An empty table gives an empty result.
+    """
+    return _placed(docs, limit, key, text).drop("h")
+
+
 def write(docs: DataFrame, path: str, limit: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write ``docs`` as one folder per shard; rows go to their shard's task by one shuffle."""
-    shards = assign(docs, limit, key, text).select(key, "shard").distinct()
-    docs.join(shards, key).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write ``docs`` as one folder per shard. Every row goes to the shard that ``assign`` gives it, null keys and parted ones
+    too: it finds it by its hash bits; another shuffle takes it to its shard's task."""
+    shards = _placed(docs, limit, key, text).select(F.col("h").alias("__h"), "shard").distinct()
+    docs.withColumn("__h", _hash(key, text)).join(shards, "__h").drop("__h").repartition("shard").write.partitionBy("shard").parquet(path)
 
 
 LIMIT = 1 << 20

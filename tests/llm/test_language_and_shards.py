@@ -77,3 +77,15 @@ def test_shard_edges(spark, tmp_path):
     assert S.assign(df.limit(0), 150).count() == 0
     S.write(df.where("doc_id = 3"), str(tmp_path / "out"), 10**6)
     assert duckdb.sql(f"select count(*) from '{tmp_path}/out/**/*.parquet'").fetchall()[0][0] == 1
+
+
+def test_write_with_a_parted_key_and_null_keys(spark, tmp_path):
+    rows = [(1, f"{i:03d}" + "x" * 97, i) for i in range(40)] + [(None, f"{i:03d}" + "y" * 97, 40 + i) for i in range(10)] + [(None, None, 50), (2, "", 51), (1, "000" + "x" * 97, 52)]
+    S.write(spark.createDataFrame(rows, "doc_id long, text string, n int"), str(tmp_path / "out"), 600)
+    got = duckdb.sql(f"select n, doc_id, text, filename from read_parquet('{tmp_path}/out/**/*.parquet', filename = true)").fetchall()
+    assert sorted(r[0] for r in got) == list(range(53)) and {(r[1], r[2], r[0]) for r in got} == set(rows)
+    size = {}
+    for r in got:
+        shard = r[3].rsplit("/", 2)[-2]
+        size[shard] = size.get(shard, 0) + len(r[2] or "")
+    assert max(size.values()) <= 600 and len(size) > 8
