@@ -88,16 +88,16 @@ def _bucketed(tokens: np.ndarray, shift: int, **columns: np.ndarray) -> Iterator
         yield int(bucket[a]), tokens[a:b], {k: v[order[a:b]] for k, v in columns.items()}
 
 
-def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
-    """(key, n_shingles, node) of every row; the node is null for an empty set."""
+def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, n_shingles, node) of every row and the columns ``also``; the node is null for an empty set."""
     K.row_bytes(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = lambda c: docs.schema[c].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> dict:
         n, node, _, _ = _node_sets(batch.column(1), k)
-        return {key: batch.column(0), "n_shingles": n, "node": pa.array(node, mask=n == 0)}
+        return {key: batch.column(0), "n_shingles": n, "node": pa.array(node, mask=n == 0)} | {c: batch.column(2 + i) for i, c in enumerate(also)}
 
-    return K.map_batches(docs, [key, text], f"{key} {kind}, n_shingles long, node long", each)
+    return K.map_batches(docs, [key, text, *also], ", ".join([f"{key} {kind(key)}, n_shingles long, node long", *(f"{c} {kind(c)}" for c in also)]), each)
 
 
 def _shared_tokens(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
@@ -344,8 +344,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near copies, that of the smallest key."""
-    return docs.join(join(docs, key, text).where(F.col(key).eqNullSafe(F.col("component_id"))).select(key).distinct(), key, "left_semi").select(*docs.columns)
+    """``docs`` with one document of each group of near copies, that of the smallest key; a null key comes after all others.
+
+    Documents without shingles all stay. A key says nothing about groups: rows are known by key and text, so that null and
+    repeated keys neither lose nor keep a document. Rows equal in a key and text are one document and stay together; null
+    is no key, so of such rows with it one stays.
+    """
+    marked = docs.select(key, text, F.xxhash64(text).alias("__pair_hash"))
+    of = K.cut(sets(marked, key, text, also=("__pair_hash",)))
+    total = of.select(F.sum("n_shingles")).first()[0] or 0
+    linked = node_components(docs, total, text).select(F.col("v").alias("node"), "root")
+    least = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("__its_key"), "__pair_hash"))
+    nodes = of.where("node IS NOT NULL").groupBy("node").agg(least.alias("first")).join(linked, "node", "left")
+    first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.*")
+    single = of.where("node IS NULL").select(F.col(key).alias("__its_key"), "__pair_hash", F.lit(False).alias("no_key")).distinct()
+    kept = K.cut(first.select("__its_key", "__pair_hash", "no_key").union(single).withColumnRenamed("__pair_hash", "__its_hash"))
+    stay = lambda d, k: d.join(k, F.col(key).eqNullSafe(F.col("__its_key")) & (F.xxhash64(text) == F.col("__its_hash")), "left_semi")
+    out = stay(docs, kept.where("NOT no_key").drop("no_key"))
+    nameless = kept.where("no_key").drop("no_key")
+    if not nameless.isEmpty():
+        out = out.unionByName(stay(docs.where(F.col(key).isNull()), nameless).dropDuplicates([text]))
+    return out.select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -82,6 +82,19 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1, 3, 4, 5, 6] and kept.columns == ["doc_id", "text", "node", "component_id"]
 
 
+def test_keep_one_with_null_and_repeated_keys(spark):
+    long = lambda c, n=30: " ".join(f"{c}{i}" for i in range(n))
+    rows = [
+        (None, long("a"), 1), (None, long("b"), 2), (None, long("b"), 3), (None, long("b") + " end", 4), (None, None, 5), (None, "", 6),  # null ids: one of the b's, all others
+        (7, long("c"), 7), (7, long("c") + " end", 8), (7, long("d"), 9),  # one id: of the c's one, and d
+        (3, long("e"), 10), (9, long("e"), 11), (9, long("f"), 12), (None, long("f"), 13), (4, None, 14), (4, None, 15),  # 9 goes as a copy of 3 and stays as f
+    ]
+    got = N.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"))
+    left = {r.n for r in got.collect()}
+    assert got.count() == len(left) and got.columns == ["doc_id", "text", "n"]
+    assert left - {2, 3, 4, 7, 8} == {1, 5, 6, 9, 10, 12, 14, 15} and len(left & {2, 3, 4}) == 1 and len(left & {7, 8}) == 1
+
+
 def test_packed_arrays_round_trip():
     import numpy as np
 
