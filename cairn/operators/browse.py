@@ -91,17 +91,21 @@ def order_keys(q: Query) -> list[Column]:
     return [k.desc() if q.desc else k.asc() for k in keys]
 
 
-def browse(catalog: DataFrame, q: Query, limit: int = LIMIT) -> DataFrame:
-    """The rows to list, folders first, at most ``limit``, ordered. Without is_dir and boundary columns all are visible files."""
+def browse(catalog: DataFrame, q: Query, limit: int | None = LIMIT) -> DataFrame:
+    """The rows to list, folders first, at most ``limit`` (None: all), ordered. Without is_dir and boundary columns all are visible files."""
     rows = catalog.where(in_scope(q) & matches(q))
     if "boundary" in rows.columns:
         rows = rows.where(visible(q.folder if q.scope != "library" else ""))
     if "is_dir" not in rows.columns:
-        return rows.where(of_kind(q)).orderBy(*order_keys(q)).limit(limit)
+        return _first(rows.where(of_kind(q)).orderBy(*order_keys(q)), limit)
     files = ~F.col("is_dir") & of_kind(q)
     tagged = of_kind(q) if q.kind == "favorites" or q.kind.startswith("tag:") else F.lit(True)
     rows = rows.where(files | (F.col("is_dir") & tagged & F.lit(shows_folders(q))))
-    return rows.orderBy(F.col("is_dir").desc(), *order_keys(q)).limit(limit)
+    return _first(rows.orderBy(F.col("is_dir").desc(), *order_keys(q)), limit)
+
+
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
 
 
 def page_summary(rows: DataFrame, limit: int) -> DataFrame:

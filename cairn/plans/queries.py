@@ -35,6 +35,11 @@ def _folders(spark: SparkSession, names: list[str], column: str = "folder") -> D
     return spark.createDataFrame([(n,) for n in names], f"{column} string")
 
 
+def _whole(rows: DataFrame, q: B.Query) -> DataFrame:
+    """All rows of the listing: the SQL of these queries has no limit."""
+    return B.browse(rows, q, limit=None)
+
+
 def _values(names: list[str]) -> str:
     return ", ".join(f"('{n}')" for n in names)
 
@@ -44,31 +49,31 @@ def _values(names: list[str]) -> str:
 
 @query(f"WITH {PAGES} SELECT page_id, path, size FROM pages_catalog WHERE strip_accents(lower(path)) LIKE '%example%' AND strip_accents(lower(path)) LIKE '%html%'")
 def browse_search_pages(spark, d):
-    return B.browse(of_pages(spark, d), B.Query(scope="library", search="EXAMPLE html")).select("page_id", "path", "size")
+    return _whole(of_pages(spark, d), B.Query(scope="library", search="EXAMPLE html")).select("page_id", "path", "size")
 
 
 @query(f"WITH {CAT} SELECT doc_id, path, row_number() OVER (ORDER BY {NATURAL.format('name')}, path) AS rank FROM catalog WHERE path LIKE 'src3/%'")
 def browse_recursive_sorted(spark, d):
-    rows = B.browse(of_documents(spark, d), B.Query(folder="src3", recursive=True))
+    rows = _whole(of_documents(spark, d), B.Query(folder="src3", recursive=True))
     return rows.select("doc_id", "path", F.row_number().over(Window.orderBy(values.natural_key("name"), "path")).alias("rank"))
 
 
 @query(f"WITH {CAT} SELECT doc_id, name, coalesce(created_ms, modified_ms) AS made, row_number() OVER (ORDER BY coalesce(created_ms, modified_ms) DESC, {NATURAL.format('name')} DESC, path DESC) AS rank FROM catalog WHERE parent = 'src3/en'")
 def browse_folder_by_created(spark, d):
     q = B.Query(folder="src3/en", sort="created", desc=True)
-    return B.browse(of_documents(spark, d), q).select("doc_id", "name", F.coalesce("created_ms", "modified_ms").alias("made"), F.row_number().over(Window.orderBy(*B.order_keys(q))).alias("rank"))
+    return _whole(of_documents(spark, d), q).select("doc_id", "name", F.coalesce("created_ms", "modified_ms").alias("made"), F.row_number().over(Window.orderBy(*B.order_keys(q))).alias("rank"))
 
 
 @query(f"WITH {CAT} SELECT doc_id, kind FROM catalog WHERE kind = 'photo' AND contains(strip_accents(lower(path)), 'resume')")
 def browse_kind_search(spark, d):
-    return B.browse(of_documents(spark, d), B.Query(scope="library", kind="photo", search="RESUME")).select("doc_id", "kind")
+    return _whole(of_documents(spark, d), B.Query(scope="library", kind="photo", search="RESUME")).select("doc_id", "kind")
 
 
 @query(f"WITH {CAT}, c AS (SELECT doc_id, CASE WHEN kind = 'photo' AND name LIKE 'Screenshot%' THEN 1 WHEN kind = 'video' AND name LIKE 'Screenshot%' THEN 2 ELSE 0 END AS capture FROM catalog) SELECT doc_id, capture FROM c WHERE capture > 0")
 def capture_classes(spark, d):
     c = of_documents(spark, d)
-    shots = B.browse(c, B.Query(scope="library", kind="screenshot"))
-    return shots.union(B.browse(c, B.Query(scope="library", kind="recording"))).select("doc_id", "capture")
+    shots = _whole(c, B.Query(scope="library", kind="screenshot"))
+    return shots.union(_whole(c, B.Query(scope="library", kind="recording"))).select("doc_id", "capture")
 
 
 @query(f"WITH {CAT} SELECT count(*) AS total, count(*) > 300 AS truncated FROM catalog WHERE kind = 'photo' OR kind = 'gif' OR kind = 'video'")
@@ -105,7 +110,7 @@ def private_boundaries(spark, d):
 @query(f"WITH {CAT}, p(folder) AS (VALUES {_values(PRIVATE)}), b AS (SELECT doc_id, parent, path, coalesce(max(length(folder)), 0) AS boundary FROM catalog LEFT JOIN p ON starts_with(path, folder || '/') GROUP BY ALL) SELECT doc_id FROM b WHERE path LIKE 'src2/%' AND (boundary = 0 OR boundary <= 4)")
 def visible_from_scope(spark, d):
     rows = B.boundaries(of_documents(spark, d), _folders(spark, PRIVATE))
-    return B.browse(rows, B.Query(folder="src2", recursive=True)).select("doc_id")
+    return _whole(rows, B.Query(folder="src2", recursive=True)).select("doc_id")
 
 
 @query(f"WITH {CAT} SELECT doc_id, path FROM catalog WHERE contains(strip_accents(lower(path)), 'resume') AND contains(strip_accents(lower(path)), '7')")
@@ -444,14 +449,14 @@ def tag_counts(spark, d):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0")
 def tag_filter(spark, d):
-    return B.browse(_tagged(spark, d), B.Query(scope="library", kind="tag:2")).select("doc_id")
+    return _whole(_tagged(spark, d), B.Query(scope="library", kind="tag:2")).select("doc_id")
 
 
 @query("SELECT l.doc_id FROM labels l JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 0")
 def favorites(spark, d):
     files = of_documents(spark, d)
     chosen = files.join(table(spark, d, "labels").where("quality = 1 AND toxic = 0"), "doc_id", "left_semi")
-    return B.browse(O.with_favorites(files, chosen), B.Query(scope="library", kind="favorites")).select("doc_id")
+    return _whole(O.with_favorites(files, chosen), B.Query(scope="library", kind="favorites")).select("doc_id")
 
 
 @query(f"WITH {CAT}, p(folder) AS (VALUES {_values(PROTECTED)}) SELECT doc_id, EXISTS (SELECT 1 FROM p WHERE path = folder OR starts_with(path, folder || '/')) AS protected FROM catalog")

@@ -31,6 +31,15 @@ def test_plans_have_no_nested_loops_and_prune(spark):
     assert "Python" not in plan and "n_chars" not in plan
 
 
+def test_listings_are_whole_beyond_the_screen_limit(spark, duck, tmp_path):
+    docs = spark.range(160_000).selectExpr("id AS doc_id", "'a' AS text", "'en' AS lang", "concat('src', 2 + id % 2) AS source", "1L AS n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.range(160_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.range(60_000).selectExpr("id AS page_id", "concat('https://example.org/', id, '.html') AS url", "encode('x', 'UTF-8') AS html").write.parquet(str(tmp_path / "pages.parquet"))
+    for name, n in (("tag_filter", 53_334), ("favorites", 160_000), ("visible_from_scope", 80_000), ("browse_recursive_sorted", 80_000), ("browse_search_pages", 60_000)):
+        assert QUERIES[name](spark, str(tmp_path)).count() == n, name
+
+
 def test_followed_private_reads_every_folder(spark):
     plan = QUERIES["followed_private"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert "<= 1" not in plan
