@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: Rows up to which a side of a join is broadcast; beyond it the join shuffles.
@@ -20,3 +23,32 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``most`` rows, else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the one that spark.checkpoint.dir names.
+
+    Where it is unset a local master gets one of its own; any other is refused, as its executors could not read it.
+    """
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if own is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            own = tempfile.mkdtemp(prefix="cairn-checkpoint-")
+        sc.setCheckpointDir(own)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, written once to the shared folder and read back: recomputation stops here, also after lost executors.
+
+    The table goes when the driver ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(file)
+    return spark.read.schema(df.schema).parquet(path)
