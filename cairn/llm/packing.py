@@ -9,9 +9,11 @@ pieces by rank, so no ids are shuffled and no task gathers a length.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,6 +26,8 @@ from . import kernel as K
 SIZE, END = 4096, 2
 #: Bytes of a worker's cache of encoded words, its own about ``ENTRY`` an entry; a full cache is emptied, which costs time and changes nothing.
 CACHED, ENTRY = 60_000_000, 200
+#: Bytes of texts whose words are looked up together, and words of letters that go to the library as one line.
+TOGETHER, JOINED = 1 << 20, 1000
 
 
 class Encoder:
@@ -35,41 +39,81 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
+        #: The same merges for words that normalisation and splitting leave as they are.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        vocabulary = self.lib.get_vocab()
+        #: Whether an id ends a pre-token.
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.seen: dict[bytes, bytes] = {}
         self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
+        plain = [w for w in words if w.isalpha() or (not w.isascii() and _as_it_is(w.decode()))]
+        self._learn_joined(self.plain, plain)
+        left = [w for w in words if w not in self.seen]
+        self._learn_joined(self.lib, [w for w in left if not w.isascii() and w.decode().isalpha()])
+        self._learn_each([w for w in left if w not in self.seen])
+
+    def _learn_joined(self, lib, words: list[bytes]) -> None:
+        """Each word of letters is one pre-token, or at least one: if a line of them has as many ends as words, each end is a word's."""
+        for at in range(0, len(words), JOINED):
+            line = words[at : at + JOINED]
+            ids = np.array(lib.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(line):
+                raw, a = ids.tobytes(), 0
+                for w, b in zip(line, (4 * stops).tolist(), strict=True):
+                    self.seen[w] = raw[a:b]
+                    a = b
+
+    def _learn_each(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
             for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 self.seen[w] = array("I", e.ids).tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        out = []
-        for text in texts:
-            # The vocabulary lower-cases all but its special strings.
-            words = (text if b"<|" in text else text.lower()).split()
-            missing = [w for w in set(words) if w not in self.seen]
-            if missing:
-                # Ids take no more than four bytes for each byte of their word.
-                need = sum(map(len, missing)) * 5 + ENTRY * len(missing)
-                if self.held and self.held + need > CACHED:
-                    self.seen.clear()
-                    self.held, missing = 0, list(set(words))
-                    need = sum(map(len, missing)) * 5 + ENTRY * len(missing)
-                self.held += need
-                # A letter and the point or comma at the end are never one token's: such words share their stem's ids.
-                ended = [w for w in missing if w[-1] in b".," and w[-2:-1].isalpha()]
-                whole = {w for w in missing if not (w[-1] in b".," and w[-2:-1].isalpha())}
-                whole.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self.seen)
-                self._learn(list(whole))
-                for w in ended:
-                    self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
-            out.append(b"".join(map(self.seen.__getitem__, words)))
-        return out
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        at, n = 0, len(texts)
+        while at < n:
+            stop, size = at + 1, len(texts[at])
+            while stop < n and size + len(texts[stop]) <= TOGETHER:
+                size += len(texts[stop])
+                stop += 1
+            yield from self._encode(texts[at:stop])
+            at = stop
+
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        # The vocabulary lower-cases all but its special strings.
+        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        met = set().union(*words)
+        missing = met.difference(self.seen)
+        # Ids take no more than four bytes for each byte of their word.
+        cost = lambda new: sum(map(len, new)) * 5 + ENTRY * len(new)
+        need = cost(missing)
+        if self.held and self.held + need > CACHED:
+            self.seen.clear()
+            self.held, missing = 0, met
+            need = cost(missing)
+        self.held += need
+        # A letter and the point or comma at the end are never one token's: such words share their stem's ids.
+        ended = [w for w in missing if w[-1] in b".," and w[-2:-1].isalpha()]
+        new = missing.difference(ended)
+        new.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self.seen)
+        self._learn(list(new))
+        for w in ended:
+            self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
+        return [b"".join(map(self.seen.__getitem__, ws)) for ws in words]
+
+
+def _as_it_is(word: str) -> bool:
+    """Whether a word of Latin, Greek or Cyrillic letters is composed and lower case."""
+    return word.isalpha() and max(word) < "\u0500" and word.lower() == word and unicodedata.is_normalized("NFC", word)
 
 
 @lru_cache(maxsize=2)
