@@ -6,7 +6,6 @@ with a few array operations; nothing here loops over words in Python but for wor
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -17,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..session import cut, shared_dir
+
 #: Bytes of text handled at once, so that temporary arrays stay small whatever the Arrow batch holds.
 CHUNK = 4 << 20
 LONG = 32
@@ -151,26 +152,8 @@ def row_bytes(spark: SparkSession, at_most: int = 16 << 20) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(at_most))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (local runs)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.checkpoint.dir", None)
-        if own is None:
-            import tempfile
-
-            own = tempfile.mkdtemp(prefix="cairn-checkpoint-")
-        sc.setCheckpointDir(own)
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder and read back: recomputation stops here, also after lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "row_bytes", "shared_dir", "shingles", "windows", "words"]
