@@ -43,19 +43,23 @@ BINDS = {"OR": 1, "AND": 2, "WITH": 3}
 
 def to_postfix(text: str) -> list[str]:
     """The longest well-formed expression at the start of ``text`` in postfix order; [] if there is none."""
-    best: list[str] = []
-    tokens, at = [], 0
+    return _yard(_well_formed(text))
+
+
+def _well_formed(text: str) -> list[str]:
+    """The tokens of the longest well-formed expression at the start of ``text``, in one pass."""
+    tokens: list[str] = []
+    at = depth = whole = 0
     while m := _TOKEN.match(text, at):
-        tokens.append(m[1].upper() if m[1].upper() in BINDS else m[1])
-        at = m.end()
-        if not _fits(tokens):
-            tokens.pop()
-            break
-    for n in range(len(tokens), 0, -1):
-        if made := _yard(tokens[:n]):
-            best = made
+        t = m[1].upper() if m[1].upper() in BINDS else m[1]
+        depth += (t == "(") - (t == ")")
+        tokens.append(t)
+        if depth < 0 or not _fits(tokens):
             break
-    return best
+        at = m.end()
+        if not depth and t not in BINDS:
+            whole = len(tokens)
+    return tokens[:whole]
 
 
 def _fits(tokens: list[str]) -> bool:
@@ -66,10 +70,9 @@ def _fits(tokens: list[str]) -> bool:
 
 
 def _yard(tokens: list[str]) -> list[str]:
+    """Shunting-yard over well-formed tokens."""
     out: list[str] = []
     held: list[str] = []
-    if not tokens or tokens[-1] in BINDS or tokens[-1] == "(":
-        return []
     for t in tokens:
         if t in BINDS:
             while held and held[-1] != "(" and BINDS[held[-1]] >= BINDS[t]:
@@ -78,18 +81,33 @@ def _yard(tokens: list[str]) -> list[str]:
         elif t == "(":
             held.append(t)
         elif t == ")":
-            while held and held[-1] != "(":
+            while held[-1] != "(":
                 out.append(held.pop())
-            if not held:
-                return []
             held.pop()
         else:
             out.append(t)
-    while held:
-        if held[-1] == "(":
-            return []
-        out.append(held.pop())
-    return out
+    return out + held[::-1]
+
+
+def required(postfix: list[str]) -> set[str]:
+    """The licences that hold whichever choice is made; their number never exceeds the expression's. An exception belongs to its licence."""
+    stack: list[set[str]] = []
+    for t in postfix:
+        if t not in BINDS:
+            stack.append({t.lower()})
+            continue
+        b, a = stack.pop(), stack.pop()
+        if t == "WITH" and len(a) == len(b) == 1:
+            stack.append({f"{x} with {y}" for x in a for y in b})
+            continue
+        few, many = sorted((a, b), key=len)
+        if t == "OR":
+            few &= many
+            stack.append(few)
+        else:
+            many |= few
+            stack.append(many)
+    return stack[0] if stack else set()
 
 
 def evaluate(postfix: list[str]) -> list[frozenset[str]]:
@@ -118,36 +136,47 @@ def automaton() -> ahocorasick.Automaton:
 
 
 def scan(text: str | None, a: ahocorasick.Automaton) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions (normal form) of one whole text."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions, required of one whole text, in one pass."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(TABLE).split()
     if not words:
-        return 0, 0, None, None, "", "", 0.0, []
+        return 0, 0, None, None, "", "", 0.0, [], []
     line = f" {b' '.join(words).decode('utf-8', 'replace')} "
-    base, starts, labels, unsure, said = set(), [], set(), 1.0, []
-    for end, (phrase, n) in a.iter(line):
+    base, places, labels, unsure, said = set(), [], set(), 1.0, False
+    for end, (phrase, _) in a.iter(line):
         if phrase in BASE:
             base.add(BASE[phrase])
-            starts.append(line.count(" ", 0, end - len(phrase) - 1))
+            places.append(end - len(phrase) - 1)
             unsure *= 0.02
         elif phrase in MORE:
             labels.add(MORE[phrase][0])
             unsure *= 1 - MORE[phrase][1]
         else:
-            said.append(n)
-    out = []
+            said = True
+    starts = []
+    if places:  # a place's word is the number of spaces before it; all are counted in one walk, as places rise
+        places.sort()
+        at = word = 0
+        for p in places:
+            word += line.count(" ", at, p)
+            at = p
+            starts.append(word)
+    out, needed = [], set()
     if said:
         for m in _EXPRESSION.finditer(text):
-            if postfix := to_postfix(m[1]):
+            if tokens := _well_formed(m[1]):
+                postfix = _yard(tokens)
                 labels |= {x.lower() for x in postfix if x not in BINDS}
-                out.append(" or ".join(sorted(" and ".join(sorted(w)) for w in evaluate(postfix))) if postfix.count("OR") < 8 else " ".join(postfix))
+                out.append(" ".join(tokens).replace("( ", "(").replace(" )", ")").lower())
+                needed |= required(postfix)
                 unsure *= 0.01
     if "gpl-3" in labels or "gpl-2" in labels:
         labels.discard("gpl")
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(1 - unsure, 6), out
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), round(1 - unsure, 6), out, sorted(needed)
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: counts and places of the base phrases, labels and licence expressions.
+    """One row per document: counts and places of the base phrases, labels, licence expressions (as written, lower case, spaced
+    alike) and the licences that these require whichever choice is made.
 
     Null and empty texts have no words, no labels, score 0. Repeated rows each give a row; other columns are left out.
     """
@@ -159,10 +188,10 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         if not made:
             made.append(automaton())
         rows = [scan(t, made[0]) for t in batch.column(1).to_pylist()]
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-        return {key: batch.column(0)} | dict(zip(("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions"), map(list, cols), strict=True))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+        return {key: batch.column(0)} | dict(zip(("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "required"), map(list, cols), strict=True))
 
-    return K.map_batches(docs, [key, text], f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>", each)
+    return K.map_batches(docs, [key, text], f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, required array<string>", each)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
