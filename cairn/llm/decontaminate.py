@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, functions as F
 from . import kernel as K
 from .license_scan import TABLE
 
-#: About 2 GB of automaton in each worker would be too much; a test set of 4 million words makes about 1.
-MAX_ITEM_WORDS = 4_000_000
+#: Bounds of the test items, which every worker holds: 4 million words make an automaton of about 1 GB; long words count by their bytes.
+MAX_ITEM_WORDS, MAX_ITEM_BYTES = 4_000_000, 64 << 20
+#: Words as ``split`` takes them, for the JVM.
+JVM_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
@@ -128,9 +130,10 @@ class Automaton:
 
 
 def automaton(benchmark: DataFrame, key: str, text: str, window: int) -> Automaton:
-    total = benchmark.select(F.sum(F.octet_length(text))).first()[0] or 0
-    if total > 2 * MAX_ITEM_WORDS and (n := benchmark.select(F.sum(F.size(F.split(text, "[^0-9A-Za-z]+")))).first()[0]) > MAX_ITEM_WORDS:
-        raise ValueError(f"the test items have {n} words; give them in tables of at most {MAX_ITEM_WORDS} and run each")
+    items = benchmark.select(F.col(text).alias("t")).where("t IS NOT NULL")
+    n, size = items.select(F.coalesce(F.sum(F.size(F.regexp_extract_all("t", F.lit(JVM_WORD), F.lit(0)))), F.lit(0)), F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()
+    if n > MAX_ITEM_WORDS or size > MAX_ITEM_BYTES:
+        raise ValueError(f"the test items have {n} words and {size} bytes; give them in tables of at most {MAX_ITEM_WORDS} words and {MAX_ITEM_BYTES} bytes and run each")
     return Automaton([(r[0], split(r[1])) for r in benchmark.select(key, text).dropDuplicates().collect()], window)
 
 
@@ -162,7 +165,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, coverage: float = 0.5) -> DataFrame:
-    """``docs`` without the spans that benchmark items share, and without documents of which they cover more than ``coverage``."""
+    """``docs`` without the spans that benchmark items share, and without documents of which they cover more than ``coverage``.
+
+    Exactly that share stays. Null and empty texts have no words and stay as they are; rows are judged by their text alone, so
+    null and repeated keys do not matter and repeated rows are treated alike; an empty table of documents or items changes
+    nothing. Other columns stay, whatever their names; a column ``n_chars`` is counted anew.
+    """
     K.row_bytes(docs.sparkSession)
     held = _shared(docs.sparkSession, automaton(benchmark, item, item_text, window))
     names, schema = docs.columns, docs.schema
