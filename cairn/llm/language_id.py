@@ -1,6 +1,6 @@
 """Language identification of whole, possibly mixed-language texts.
 
-A model of byte trigrams per language is fitted on a bounded sample of labelled rows. For each word, the scripts of
+A model of byte trigrams per language is fitted on a bounded sample of labelled rows, whole; tasks count, the driver gets the counts. For each word, the scripts of
 its letters narrow the languages, trigrams score those that stay, and a Viterbi pass over the words, with a penalty for
 each switch, labels spans. A document's language is the one whose spans hold most letters; its score their share.
 """
@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernel as K
 
-#: Rows of each language that the model is fitted on at most (those of the smallest crc32 of their id), and characters of each.
-SAMPLE, CHARS = 400, 20_000
+#: Rows of each language that the model is fitted on at most (those of the smallest crc32 of their id).
+SAMPLE = 400
 SLOTS = 1 << 16
 #: Log-probability lost by changing the language between two words.
 SWITCH = 12.0
@@ -64,20 +65,38 @@ def _grams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     return slot, bounds, bits
 
 
+def _counted(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """How often each slot occurs, how many words have letters of each script, and the number of words."""
+    counts, scripts, total = np.zeros(SLOTS, np.int64), np.zeros(SCRIPTS, np.int64), 0
+    for _, _, data, bounds in K.chunks(texts):
+        starts, ends, _ = K.words(data, bounds, _WORD)
+        if len(starts):
+            slot, _, bits = _grams(data, starts, ends)
+            counts += np.bincount(slot, minlength=SLOTS)
+            scripts += [(bits >> s & 1).sum() for s in range(SCRIPTS)]
+            total += len(starts)
+    return counts, scripts, total
+
+
 class Model:
     """Languages, [slot, language] log-probabilities and [script, language]: whether a language has letters of it."""
 
     def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+        self._set({lang: _counted(pa.array(texts, pa.string())) for lang, texts in samples.items()})
+
+    @classmethod
+    def of(cls, counted: dict[str, tuple[np.ndarray, np.ndarray, int]]) -> Model:
+        m = cls.__new__(cls)
+        m._set(counted)
+        return m
+
+    def _set(self, counted: dict) -> None:
+        self.langs = sorted(counted)
         counts = np.zeros((SLOTS, len(self.langs)))
         share = np.zeros((SCRIPTS, len(self.langs)))
         for k, lang in enumerate(self.langs):
-            data, bounds = K.buffers(pa.array(samples[lang], pa.string()))
-            starts, ends, _ = K.words(data, bounds, _WORD)
-            if len(starts):
-                slot, _, bits = _grams(data, starts, ends)
-                counts[:, k] = np.bincount(slot, minlength=SLOTS)
-                share[:, k] = [(bits >> s & 1).mean() for s in range(SCRIPTS)]
+            counts[:, k], scripts, total = counted[lang]
+            share[:, k] = scripts / max(total, 1)
         self.logs = np.log((counts + 0.1) / (counts.sum(0) + 0.1 * SLOTS)).astype(np.float32)
         self.has = share > 0.0005
 
@@ -85,7 +104,7 @@ class Model:
 def spans(texts: pa.Array, model: Model) -> list[tuple[np.ndarray, ...]]:
     """For each run of texts: (first text, bounds of words by text, starts, ends, language numbers of words, letters of words)."""
     out, many = [], len(model.langs)
-    for i, _, data, bounds in K.chunks(texts, K.CHUNK // 2):
+    for i, _, data, bounds in K.chunks(texts, K.CHUNK * 4 // max(8, many)):
         starts, ends, of = K.words(data, bounds, _WORD)
         n = np.diff(of)
         if not len(starts) or not many:
@@ -109,9 +128,10 @@ def _viterbi(score: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     order = np.argsort(-n, kind="stable")
     first, n = first[order], n[order]
     total, many = score.shape
-    back = np.empty((total, many), np.int8)
+    number = np.min_scalar_type(-max(many, 1))  # holds every language's number
+    back = np.empty((total, many), number)
     best = np.zeros((len(n), many), np.float32)
-    rows = np.arange(many, dtype=np.int8)
+    rows = np.arange(many, dtype=number)
     steps = [int(np.searchsorted(-n, -k, side="left")) for k in range(int(n[0]) if len(n) else 0)]  # texts of over k words
     for k, m in enumerate(steps):
         at = first[:m] + k
@@ -132,19 +152,36 @@ def _viterbi(score: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of ``docs``' non-null languages, from ``sample`` rows of each at most (a documented bound) and CHARS characters of each row."""
+    """A model of ``docs``' non-null languages, from ``sample`` rows of each at most (a documented bound), whole.
+
+    The driver gets a count of rows and one of trigrams for each language, no text.
+    """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     hashed = F.crc32(F.col(key).cast("string").cast("binary"))
     counts = rows.groupBy(lang).count().collect()  # a row per language
-    held: dict[str, list[str]] = {r[0]: [] for r in counts}
-    if counts:
-        # Rows whose hash lies below a language's share; half as many again are asked for, so that enough come.
-        share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], int(min(2**32, 2**32 * (1.5 * sample + 50) / r[1])))])
-        few = rows.where(hashed < share[F.col(lang)]).select(lang, F.left(text, F.lit(CHARS)).alias("t"), hashed.alias("h"), F.col(key).alias("k"))
-        for r in sorted(few.collect(), key=lambda r: (r[2], r[3])):
-            if len(held[r[0]]) < sample:
-                held[r[0]].append(r[1])
-    return Model(held)
+    if not counts:
+        return Model({})
+    # Rows whose hash lies below a language's share; half as many again are asked for, so that enough come.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r[0], int(min(2**32, 2**32 * (1.5 * sample + 50) / r[1])))])
+    few = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), hashed.alias("h")).where(F.coalesce("h", F.lit(0)) < share[F.col("lang")])
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", F.xxhash64("text")))).where(F.col("n") <= sample)
+
+    def each(batch: pa.RecordBatch) -> dict:
+        found = {}
+        for name in set(batch.column(0).to_pylist()):
+            slots, scripts, total = _counted(batch.filter(pc.equal(batch.column(0), name)).column(1))
+            used = np.flatnonzero(slots)
+            found[name] = used.astype(np.uint16).tobytes(), slots[used].astype(np.uint32).tobytes(), scripts.tobytes(), total
+        cols = list(zip(*found.values(), strict=True)) or [[]] * 4
+        return {"lang": list(found)} | dict(zip(("slots", "counts", "scripts", "words"), map(list, cols), strict=True))
+
+    K.row_bytes(docs.sparkSession)
+    summed: dict[str, tuple] = {r[0]: (np.zeros(SLOTS, np.int64), np.zeros(SCRIPTS, np.int64), 0) for r in counts}
+    for r in K.map_batches(few, ["lang", "text"], "lang string, slots binary, counts binary, scripts binary, words long", each).toLocalIterator():
+        slots, scripts, total = summed[r.lang]
+        slots[np.frombuffer(r.slots, np.uint16)] += np.frombuffer(r["counts"], np.uint32)
+        summed[r.lang] = slots, scripts + np.frombuffer(r.scripts, np.int64), total + r.words
+    return Model.of(summed)
 
 
 def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
