@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_right
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ class Counter:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.longest = max(map(len, self.ranks))
-        self.split = regex.compile(PATTERN)
+        self.split, self.white = regex.compile(PATTERN), regex.compile(r"\s+")
         self.merge = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={})._encode_single_piece
         self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.tables: dict[str, bytes | list[int]] = {}
@@ -127,18 +129,51 @@ class Counter:
 
     def _plain_prefixes(self, text: str) -> np.ndarray:
         if _ODD.search(text):
-            return np.array([sum(self.piece(p.encode())[-1] for p in self.split.findall(text[:i])) for i in range(len(text) + 1)])
+            return self._odd_prefixes(text)
         chunks = _CHUNK.findall(text)
         self._learn(set(chunks))
         out, base = [np.zeros(1, np.int64)], 0
         for c in chunks:
-            t = np.array(list(self.tables[c]), np.int64)
-            if not c.isascii():
-                t = t[np.concatenate([[0], np.cumsum([len(x.encode()) for x in c])])]
+            t = self._by_characters(c, self.tables[c])
             out.append(base + t[1:])
             base += int(t[-1])
         return np.concatenate(out)
 
+    @staticmethod
+    def _by_characters(text: str, table: bytes | list[int]) -> np.ndarray:
+        t = np.array(list(table), np.int64)
+        return t if text.isascii() else t[np.concatenate([[0], np.cumsum([len(x.encode()) for x in text])])]
+
+    def _odd_prefixes(self, text: str) -> np.ndarray:
+        """Of a text that only the pattern can split: a prefix ends in a part of one piece, but where that piece follows white space."""
+        out, base, before, last = [np.zeros(1, np.int64)], 0, 0, ""
+        for p in self.split.findall(text):
+            t = self._by_characters(p, self.piece(p.encode()))
+            if len(p) == 3 and p[0] == "'" and p[1:].isalpha():  # a part of 're, 've or 'll is two pieces
+                t[2] = 2
+            made = base + t[1:]
+            if last and self.white.fullmatch(last) and self.white.match(p):  # until a word begins, white space so far is one piece
+                made[0] = before + self.piece((last + p[0]).encode())[-1]
+            out.append(made)
+            before, base, last = base, base + int(t[-1]), p
+        return np.concatenate(out)
+
+    def measure(self, text: str, limit: int) -> tuple[int, int]:
+        """The count of the whole text, and the characters of its longest prefix of at most ``limit`` tokens."""
+        if SPECIAL in text or _ODD.search(text):
+            n = self.total(text)
+            return n, len(text) if n <= limit else len(self.truncate(text, limit))
+        chunks = _CHUNK.findall(text)
+        self._learn(set(chunks))
+        counts = [t[-1] for t in map(self.tables.__getitem__, chunks)]
+        n = sum(counts)
+        if n <= limit:
+            return n, len(text)
+        sums = list(accumulate(counts))
+        k = bisect_right(sums, limit)  # the first chunk that goes beyond the limit
+        inside = self._by_characters(chunks[k], self.tables[chunks[k]]) + (sums[k - 1] if k else 0)
+        return n, sum(map(len, chunks[:k])) + int(np.flatnonzero(inside <= limit)[-1])
+
     def truncate(self, text: str, budget: int) -> str:
         """The longest prefix of at most ``budget`` tokens."""
         fits = np.flatnonzero(self.prefixes(text) <= budget)
@@ -152,7 +187,8 @@ def counter(path: str) -> Counter:
 
 
 def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: bytes, tokens, whether over the limit, and cut_at, the characters of the longest prefix within it.
+    """One row per document: bytes, tokens, whether over the limit, and cut_at, the characters of the longest prefix within it,
+    read from the same tables.
 
     Null is empty: no bytes, no tokens. Repeated rows each give a row; other columns are left out.
     """
@@ -161,15 +197,16 @@ def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", te
 
     def each(batch: pa.RecordBatch) -> dict:
         held = counter(ranks)
-        out: dict = {"n_bytes": [], "n_tokens": [], "over_limit": []}
+        out: dict = {"n_bytes": [], "n_tokens": [], "over_limit": [], "cut_at": []}
         for t in batch.column(1).to_pylist():
-            n = held.total(t or "")
+            n, at = held.measure(t or "", limit)
             out["n_bytes"].append(len((t or "").encode()))
             out["n_tokens"].append(n)
             out["over_limit"].append(n > limit)
+            out["cut_at"].append(at)
         return {key: batch.column(0)} | out
 
-    return K.map_batches(docs, [key, text], f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean", each)
+    return K.map_batches(docs, [key, text], f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_at long", each)
 
 
 def truncate(docs: DataFrame, ranks: str, budget: int, text: str = "text") -> DataFrame:
