@@ -24,6 +24,8 @@ LETTER = UPPER.copy()
 LETTER[0x61:0x7B] = True
 #: Frequent short words of English, German, French and Spanish.
 STOP = "the of and to in is that it for with as was be by this are de la le les et des en que el los una del se las por con der die und das den von mit im ist nicht ein eine zu auf".split()
+#: P(vote | class), classes bad and good, votes -1, 0, 1, before any document is seen.
+PRIOR = [[0.35, 0.45, 0.2], [0.01, 0.44, 0.55]]
 RULES = ("length", "symbols", "marks", "repeats", "lines", "stopwords", "upper", "variety")
 
 
@@ -91,20 +93,26 @@ def features(texts: pa.Array) -> dict[str, np.ndarray]:
     return {k: np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in names}
 
 
+def maas(f: dict[str, np.ndarray]) -> np.ndarray:
+    """How much words repeat, by Maas' index, which hardly depends on a text's length: 0 if none repeats."""
+    n = np.log(np.maximum(f["n_words"], 2))
+    return (n - np.log(np.maximum(f["n_distinct"], 1))) / n**2
+
+
 def votes(f: dict[str, np.ndarray]) -> np.ndarray:
-    """[document, rule]: 1 good, -1 bad, 0 abstains. Documents too short for a rule make it abstain."""
+    """[document, rule]: 1 good, -1 bad, 0 abstains: between the two bounds, and where a text is too short for a rule."""
     share = lambda a, b: f[a] / np.maximum(f[b], 1)
-    n, lines = f["n_words"], f["n_lines"]
-    none = np.zeros(len(n), bool)
+    n, lines, letters = f["n_words"], f["n_lines"], f["n_letters"]
+    some, many = n >= 20, n >= 50
     sides = {
-        "length": (n < 50, none),
-        "symbols": (share("n_symbols", "n_words") > 0.1, none),
-        "marks": (share("n_marked", "n_words") > 0.15, none),
-        "repeats": (2 * f["n_repeat_words"] > n, none),
-        "lines": ((lines >= 4) & (3 * f["n_dup_lines"] > lines), none),
-        "stopwords": ((n >= 20) & (share("n_stop", "n_words") < 0.02), (n >= 20) & (share("n_stop", "n_words") >= 0.1)),
-        "upper": (share("n_upper", "n_letters") > 0.3, none),
-        "variety": ((n >= 50) & (share("n_distinct", "n_words") < 0.2) & (n <= 2000), none),
+        "length": (n < 50, n >= 100),
+        "symbols": (share("n_symbols", "n_words") > 0.1, some & (share("n_symbols", "n_words") <= 0.01)),
+        "marks": (share("n_marked", "n_words") > 0.15, some & (share("n_marked", "n_words") <= 0.02)),
+        "repeats": (2 * f["n_repeat_words"] > n, many & (10 * f["n_repeat_words"] <= n)),
+        "lines": ((lines >= 4) & (3 * f["n_dup_lines"] > lines), (lines >= 4) & (f["n_dup_lines"] == 0)),
+        "stopwords": (some & (share("n_stop", "n_words") < 0.02), some & (share("n_stop", "n_words") >= 0.1)),
+        "upper": (share("n_upper", "n_letters") > 0.3, (letters >= 100) & (share("n_upper", "n_letters") <= 0.1)),
+        "variety": (many & (maas(f) > 0.06), many & (maas(f) <= 0.03)),
     }
     return np.stack([np.where(bad, -1, np.where(good, 1, 0)) for bad, good in (sides[r] for r in RULES)], 1)
 
@@ -118,7 +126,7 @@ def failed(f: dict[str, np.ndarray]) -> np.ndarray:
     return (f["n_words"] < 50) | (100 * f["n_repeat_words"] > 50 * f["n_words"])
 
 
-def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[float, np.ndarray]:
+def fit(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
     """Expectation-maximisation over vote patterns (rows of -1, 0, 1) that occur ``counts`` times.
 
     Returns the share of good documents and each rule's P(vote | class), [rule, class (bad, good), vote (-1, 0, 1)].
@@ -127,9 +135,9 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[fl
     """
     n = patterns.shape[1]
     anchor = max(10.0, 0.02 * float(counts.sum()))
-    prior = np.tile(np.array([[0.35, 0.6, 0.05], [0.01, 0.9, 0.09]]), (n, 1, 1))
-    table, good = prior.copy(), 0.7
-    for _ in range(rounds):
+    prior = np.tile(np.array(PRIOR), (n, 1, 1))
+    table, good, moved = prior.copy(), 0.7, np.inf
+    while moved > 1e-9:  # each round raises the likelihood, so this ends
         p = posterior(patterns, good, table)
         weight = np.stack([counts * (1 - p), counts * p])
         new = anchor * prior
@@ -137,10 +145,8 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[fl
             new[:, :, v] += (weight @ (patterns == v - 1)).T
         new /= new.sum(2, keepdims=True)
         was, good = good, (weight[1].sum() + 0.7 * anchor) / (weight.sum() + anchor)
-        done = abs(new - table).max() + abs(was - good) < 1e-9
+        moved = abs(new - table).max() + abs(was - good)
         table = new
-        if done:
-            break
     return float(good), table
 
 
