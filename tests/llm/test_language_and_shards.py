@@ -35,6 +35,30 @@ def test_scripts_narrow_languages():
     assert [m.langs[s] for s in state] in (["ru", "ru", "el"], ["en", "ru", "el"])
 
 
+def test_more_languages_than_a_byte_counts(spark):
+    import random
+
+    r = random.Random(2)
+    own = {f"l{k:03d}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 9))) for _ in range(12)] for k in range(150)}
+    text = lambda lang, n=60: " ".join(r.choice(own[lang]) for _ in range(n))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(list(own) * 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert len(model.langs) == 150
+    got = {x.doc_id: x.lang_pred for x in L.label(spark.createDataFrame([(i, text(lang), lang) for i, lang in enumerate(own)], "doc_id long, text string, lang string"), model).collect()}
+    assert sum(got[i] == lang for i, lang in enumerate(own)) >= 148
+
+
+def test_fit_counts_whole_texts_of_the_sample(spark):
+    rows = [(i, "aaa " * 30_000 + ("zebra " * 50 if i % 2 else "quokka "), "xy"[i % 2]) for i in range(20)] + [(None, "xylophone", "y"), (99, None, "x"), (98, "lost", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got, want = L.fit(df), L.Model({"x": [t for _, t, lang in rows if lang == "x" and t], "y": [t for _, t, lang in rows if lang == "y"]})
+    assert got.langs == ["x", "y"] and np.allclose(got.logs, want.logs) and (got.has == want.has).all()
+    few = L.fit(df, sample=3)
+    first = sorted((zlib.crc32(str(i).encode()), t) for i, t, lang in rows if lang == "x" and t)[:3]
+    assert np.allclose(few.logs[:, 0], L.Model({"x": [t for _, t in first]}).logs[:, 0])
+
+
 def test_viterbi_is_the_best_path():
     r = np.random.default_rng(4)
     for _ in range(20):

@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from cairn.llm import quality_rules as Q
 
@@ -39,6 +40,40 @@ def test_labels_agree(spark):
     assert np.mean([not kept[d] for d, q in labels if q == 0 and d not in failed]) > 0.9
 
 
+def test_kept_is_the_verdict_of_em_document_by_document(spark):
+    """The same votes and prior, without the histogram, patterns or rounding tricks."""
+    docs = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").orderBy("doc_id").collect()]
+    got = [r for r in Q.query(spark, SMALL).orderBy("doc_id").collect()]
+    votes = [v for d in docs for v in Q.votes({k: np.array(x) for k, x in Q.features(pa.array([d])).items()}).tolist()]
+    anchor, good, table = max(10.0, 0.02 * len(docs)), 0.7, [[row[:] for row in Q.PRIOR] for _ in Q.RULES]
+    for _ in range(3000):
+        p = []
+        for v in votes:
+            bad, fine = 1 - good, good
+            for r, x in enumerate(v):
+                bad, fine = bad * table[r][0][x + 1], fine * table[r][1][x + 1]
+            p.append(fine / (bad + fine))
+        for r in range(len(Q.RULES)):
+            for c in (0, 1):
+                sums = [anchor * Q.PRIOR[c][k] + sum((w if c else 1 - w) for w, v in zip(p, votes, strict=True) if v[r] == k - 1) for k in range(3)]
+                table[r][c] = [s / sum(sums) for s in sums]
+        was, good = good, (sum(p) + 0.7 * anchor) / (len(p) + anchor)
+        if abs(was - good) < 1e-12:
+            break
+    for r, w in zip(got, p, strict=True):
+        assert abs(r.quality - w) < 1e-4 and (r.kept == (not r.base_failed and w >= 0.5) or abs(w - 0.5) < 1e-4)
+
+
+def test_rules_vote_on_long_texts_too():
+    r = np.random.default_rng(1)
+    names = [x.split()[0] for x in Q.FEATURES.split(", ")]
+    for n in (1999, 2000, 2001, 20_000):
+        few, many = " ".join(f"w{i}" for i in r.integers(0, 6, n)), " ".join(f"w{i}" for i in (r.pareto(1.0, n) * 30).astype(int))
+        v = Q.votes(Q.features(pa.array([few, many])))[:, Q.RULES.index("variety")]
+        assert v.tolist() == [-1, 1], n
+    assert set(names) == set(Q.features(pa.array(["a"])))
+
+
 def test_em_finds_accuracies():
     """In the regime that the rules are written for: they seldom catch a good document and miss many bad ones."""
     r = np.random.default_rng(0)

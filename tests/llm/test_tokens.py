@@ -40,6 +40,27 @@ def test_every_prefix_has_the_librarys_count(byte_bpe):
         assert byte_bpe(cut) <= 5 and all(byte_bpe(t[:i]) > 5 for i in range(len(cut) + 1, len(t) + 1))
 
 
+def test_where_to_cut(byte_bpe):
+    c = T.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    r = random.Random(6)
+    for t in [*texts(300, 4), *("".join(r.choice(["\x1c", " ", "  ", "\xa0", "\u2003", "\n", "a", "We're", "été", "12", "!"]) for _ in range(12)) for _ in range(300))]:
+        want = [byte_bpe(t[:i]) for i in range(len(t) + 1)]
+        assert list(c.prefixes(t)) == want, t
+        for limit in (0, 1, 3, 7, 100):
+            assert c.measure(t, limit) == (want[-1], max(i for i, n in enumerate(want) if n <= limit)), (t, limit)
+
+
+def test_texts_that_only_the_pattern_splits_take_linear_time():
+    import time
+
+    c, took = T.Counter(public_tokenizers.path("byte_bpe_50k.tiktoken")), []
+    for n in (5_000, 40_000):
+        t = time.process_time()
+        assert len(c.prefixes("mot\xa0: voilà " * n)) == 12 * n + 1
+        took.append(time.process_time() - t)
+    assert took[1] < 24 * took[0] + 0.5
+
+
 def test_counts(spark, byte_bpe):
     docs = dict(map(tuple, spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()))
     for r in T.query(spark, SMALL).collect():
@@ -58,7 +79,19 @@ def test_count_edges(spark, byte_bpe):
 def test_word_ids_are_the_librarys(word_bpe):
     e = K.Encoder(public_tokenizers.path("word_bpe_49k.json"))
     for t in texts(800, 2):
-        assert e.encode([t.encode()])[0] == np.array(word_bpe(t), "<u4").tobytes(), t
+        assert next(e.encode([t.encode()])) == np.array(word_bpe(t), "<u4").tobytes(), t
+
+
+def test_words_learned_together_have_the_librarys_ids(word_bpe, monkeypatch):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzäéßñİΣσςжЖ漢한ｱªⅨ"
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 12))) + r.choice(["", "", ".", ",", "'s", "1"]) for _ in range(3000)]
+    lines = [" ".join(r.choice(words) for _ in range(r.randint(0, 40))) for _ in range(200)]
+    for joined, together, cached in ((1000, 1 << 20, 60_000_000), (7, 300, 60_000_000), (50, 2000, 40_000)):
+        for name, value in (("JOINED", joined), ("TOGETHER", together), ("CACHED", cached)):
+            monkeypatch.setattr(K, name, value)
+        e = K.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+        assert list(e.encode([t.encode() for t in lines])) == [np.array(word_bpe(t), "<u4").tobytes() for t in lines]
 
 
 def test_shortest_pack_first():
