@@ -52,3 +52,19 @@ def cut(df: DataFrame) -> DataFrame:
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
     file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(file)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", parts: int = 1000) -> DataFrame:
+    """``left.join(right, on, how)`` (inner or left) where ``right`` has one row for each key and some keys of ``left`` may be hot.
+
+    Keys that hold more than one in ``parts`` of ``left``'s rows are ``parts`` at most; their right rows are broadcast, so that no
+    task gets all of a hot key's rows. The rest is shuffled. ``left`` is read several times: give a table.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("__rows"))
+    total = left.count()
+    hot = cut(counts.where(F.col("__rows") > max(total / parts, 50)).select(*on).na.drop())
+    if hot.isEmpty():
+        return left.join(right, on, how)
+    marked = left.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), on, "left")
+    few = right.join(F.broadcast(hot), on, "left_semi")
+    return marked.where("__hot").drop("__hot").join(F.broadcast(few), on, how).unionByName(marked.where("__hot IS NULL").drop("__hot").join(right, on, how))
