@@ -21,13 +21,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without spans of test items; those that such spans cover by half or more go."""
+    """Documents without spans of test items; those of which such spans cover more than half go."""
     return decontaminate.remove(docs, kernel.docs_of(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data."""
-    out = pii.replace(docs)
+    """Documents with surrogates for personal data, under the key that spark.cairn.pii.key names (else a public one, for trials)."""
+    out = pii.replace(docs, spark.conf.get("spark.cairn.pii.key", pii.QUERY_KEY))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
