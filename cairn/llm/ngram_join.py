@@ -5,13 +5,15 @@ a token in their prefixes (n - ceil(t n) + 1 tokens) under *any* global order, s
 ``ORDERS`` orders, and the filters are intersected before verification. All orders put rare tokens first.
 
 Plan: (1) tokens go, packed, to buckets of the token space; a bucket sees every node of its tokens and drops tokens of
-a single node. (2) What is left goes to buckets of nodes: a node with more single tokens than the similarity lets it
-miss can link with nothing and is dropped; the others' prefixes are known. (3) Prefix tokens go to token buckets; each
-token ties its nodes to one of them, and a bucket emits a tree of its nodes, not pairs. (4) Nodes in one component under every order form a cell;
-only nodes of one cell can be linked. (5) A cell is searched breadth first: a node's candidates share a prefix token under
-each order, have a fitting size and are not reached yet; they are verified by counting common tokens. So a group of
+a single node. Hot tokens, which more than one node in ``HOT`` holds, are counted while the sets are made and go past the
+buckets with that count. (2) What is left goes to buckets of nodes: a node with more single tokens than the similarity lets it
+miss can link with nothing and is dropped; the others' prefixes are known. (3) Nodes of one batch that share prefix tokens are
+tied to the smallest of them there; then each batch sends a token once, with that node, to token buckets, where a token ties
+the batches' nodes to one, and a bucket emits a tree of its nodes, not pairs. (4) Nodes in one component under every order form
+a cell; only nodes of one cell can be linked. (5) A cell is searched breadth first: a node's candidates share a prefix token
+under each order, have a fitting size and are not reached yet; they are verified by counting common tokens. So a group of
 copies costs a verification per member, not per pair. Large cells are split into blocks that meet in pairs of blocks.
-Shuffles carry packed arrays (about 6 bytes a token), and no step gathers a hot key in one task.
+Shuffles carry packed arrays (about 6 bytes a token); joins on a node, root or cell broadcast the right rows of hot keys.
 """
 
 from __future__ import annotations
@@ -29,6 +31,9 @@ SHINGLE, ORDERS, BITS = 5, 3, 48
 #: Tokens in a bucket or a block on average; a task holds a few times that.
 BUCKET = 3_000_000
 _PLANES = BITS // 8
+#: A token is hot if more than one in HOT nodes holds it, so there are at most HOT times as many as a node has on average; beyond
+#: HOT_TOKENS of them the rarer ones go the usual way.
+HOT, HOT_TOKENS = 1024, 1 << 20
 
 
 def _node_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -89,45 +94,110 @@ def _bucketed(tokens: np.ndarray, shift: int, **columns: np.ndarray) -> Iterator
 
 
 def sets(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, also: tuple[str, ...] = ()) -> DataFrame:
-    """(key, n_shingles, node) of every row and the columns ``also``; the node is null for an empty set."""
+    """(key, n_shingles, node) of every row and the columns ``also``; the node is null for an empty set.
+
+    Also __often, on the first row of a batch: the tokens that many of the batch's nodes hold, and how many do."""
     K.row_bytes(docs.sparkSession)
     kind = lambda c: docs.schema[c].dataType.simpleString()
 
     def each(batch: pa.RecordBatch) -> dict:
-        n, node, _, _ = _node_sets(batch.column(1), k)
-        return {key: batch.column(0), "n_shingles": n, "node": pa.array(node, mask=n == 0)} | {c: batch.column(2 + i) for i, c in enumerate(also)}
+        n, node, doc, token = _node_sets(batch.column(1), k)
+        often: list = [None] * len(n)
+        if len(n):
+            one = _first_of_each(node)
+            held, count = np.unique(token[one[doc]], return_counts=True)
+            many = count >= max(4, one.sum() // (HOT // 4))
+            often[0] = held[many].tobytes() + count[many].tobytes()
+        return {key: batch.column(0), "n_shingles": n, "node": pa.array(node, mask=n == 0), "__often": pa.array(often, pa.binary())} | {c: batch.column(2 + i) for i, c in enumerate(also)}
 
-    return K.map_batches(docs, [key, text, *also], ", ".join([f"{key} {kind(key)}, n_shingles long, node long", *(f"{c} {kind(c)}" for c in also)]), each)
+    return K.map_batches(docs, [key, text, *also], ", ".join([f"`{key}` {kind(key)}, n_shingles long, node long, __often binary", *(f"`{c}` {kind(c)}" for c in also)]), each)
 
 
-def _shared_tokens(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
-    """Steps 1: for buckets of nodes, packed (nodes, sizes, counts, tokens, document frequencies) of tokens that two nodes have."""
-    shift = BITS - bits
+def _first_of_each(node: np.ndarray) -> np.ndarray:
+    """Marks one text of each node, so that copies within a batch count once."""
+    one = np.zeros(len(node), bool)
+    one[np.unique(node, return_index=True)[1]] = True
+    return one
+
+
+def hot_tokens(of: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The hot tokens, sorted, and about how many nodes hold each, from ``sets``. HOT_TOKENS at most come to the driver.
+
+    A token that more than one in HOT nodes holds is held by as many in some batch, so its batches' counts make up most of its nodes."""
+    def each(batch: pa.RecordBatch) -> dict:
+        parts = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in batch.column(0).to_pylist()]
+        tokens, counts = np.concatenate(parts, 1) if parts else np.zeros((2, 0), np.uint64)
+        tokens, where = np.unique(tokens, return_inverse=True)
+        return {"token": tokens.view(np.int64), "n": np.bincount(where, counts, len(tokens)).astype(np.int64)}
+
+    nodes = of.select(F.count("node")).first()[0]
+    found = K.map_batches(of.where("octet_length(__often) > 0"), ["__often"], "token long, n long", each).groupBy("token").agg(F.sum("n").alias("n"))
+    rows = found.where(F.col("n") > max(4, nodes / HOT)).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toArrow()
+    token, n = rows["token"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(token)
+    return token[order], np.minimum(n[order], 65535).astype(np.uint16)
+
+
+def _home(node: np.ndarray, bits: int) -> np.ndarray:
+    """The bucket of a node."""
+    return (K.mix(node.view(np.uint64)) >> np.uint64(64 - max(bits, 1))).astype(np.int64) if bits else np.zeros(len(node), np.int64)
+
+
+def _by_home(node: np.ndarray, size: np.ndarray, own: np.ndarray, token: np.ndarray, df: np.ndarray, bits: int) -> list[tuple]:
+    """Rows (bucket, nodes, sizes, counts, tokens, dfs) of tokens by their nodes (``own``: places in ``node``)."""
+    order = np.lexsort((own, _home(node, bits)[own]))
+    token, own, df = token[order], own[order], df[order]
+    home = _home(node, bits)[own]
+    cuts, rows = _runs(home), []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        ends = _runs(own[a:b])
+        held = own[a:b][ends[:-1]]
+        rows.append((int(home[a]), node[held].tobytes(), size[held].tobytes(), np.diff(ends).astype(np.uint32).tobytes(), _small(token[a:b]), df[a:b].tobytes()))
+    return rows
+
+
+_BY_HOME = ("bucket", "nodes", "sizes", "counts", "tokens", "dfs")
+
+
+def _scattered(docs: DataFrame, text: str, k: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Step 1, before the shuffle: by token bucket (nodes, sizes, tokens, at), or, under -1 - bucket of nodes, hot tokens as ``_by_home``."""
+    shift, held_hot = BITS - bits, docs.sparkSession.sparkContext.broadcast(hot)  # 10 bytes for each of HOT_TOKENS at most
 
     def scatter(batches):
+        often, times = held_hot.value
         for batch in batches:
             n, node, doc, token = _node_sets(batch.column(0), k)
-            one = np.zeros(len(n), bool)
-            one[np.unique(node, return_index=True)[1]] = True  # copies within the batch count once
-            keep = one[doc]
+            keep = _first_of_each(node)[doc]
+            doc, token = doc[keep], token[keep]
             rows = []
-            for bucket, tokens, c in _bucketed(token[keep], shift, doc=doc[keep]):
+            if len(often):
+                spot = np.minimum(np.searchsorted(often, token), len(often) - 1)
+                is_hot = often[spot] == token
+                for home, *packed in _by_home(node, n.astype(np.uint32), doc[is_hot], token[is_hot], times[spot[is_hot]], bits):
+                    rows.append((-1 - home, *packed))
+                doc, token = doc[~is_hot], token[~is_hot]
+            for bucket, tokens, c in _bucketed(token, shift, doc=doc):
                 held, at = np.unique(c["doc"], return_inverse=True)
-                rows.append((bucket, node[held].tobytes(), n[held].astype(np.uint32).tobytes(), _planes(tokens), at.astype(np.uint16 if len(held) < 65536 else np.uint32).tobytes()))
-                if len(rows) == 64:
-                    yield _rows(rows, "bucket", "nodes", "sizes", "tokens", "at")
-                    rows = []
-            if rows:
-                yield _rows(rows, "bucket", "nodes", "sizes", "tokens", "at")
+                rows.append((bucket, node[held].tobytes(), n[held].astype(np.uint32).tobytes(), None, _planes(tokens), at.astype(np.uint16 if len(held) < 65536 else np.uint32).tobytes()))
+            for i in range(0, len(rows), 64):
+                yield _rows(rows[i : i + 64], *_BY_HOME)
+
+    return docs.select(text).mapInArrow(scatter, "bucket long, nodes binary, sizes binary, counts binary, tokens binary, dfs binary")
+
 
+def _shared_tokens(docs: DataFrame, text: str, k: int, bits: int, hot: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Steps 1: for buckets of nodes, packed (nodes, sizes, counts, tokens, document frequencies) of tokens that two nodes have."""
     def gather(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        if bucket < 0:
+            return table.set_column(0, "bucket", pa.array(np.full(len(table), -1 - bucket)))
         nodes, sizes, tokens, owner, base = [], [], [], [], 0
         for x in table.to_pylist():
             node, t = np.frombuffer(x["nodes"], np.int64), _unplanes(x["tokens"])
             nodes.append(node)
             sizes.append(np.frombuffer(x["sizes"], np.uint32))
             tokens.append(t)
-            owner.append(np.frombuffer(x["at"], np.uint16 if len(node) < 65536 else np.uint32).astype(np.int64) + base)
+            owner.append(np.frombuffer(x["dfs"], np.uint16 if len(node) < 65536 else np.uint32).astype(np.int64) + base)
             base += len(node)
         node, first, where = np.unique(np.concatenate(nodes), return_index=True, return_inverse=True)
         size, token, own = np.concatenate(sizes)[first], np.concatenate(tokens), where[np.concatenate(owner)].astype(np.int32)
@@ -138,21 +208,9 @@ def _shared_tokens(docs: DataFrame, text: str, k: int, bits: int) -> DataFrame:
         cuts = _runs(token)
         df = np.repeat(np.diff(cuts), np.diff(cuts))
         shared = df > 1
-        token, own, df = token[shared], own[shared], np.minimum(df[shared], 65535).astype(np.uint16)
-        order = np.argsort(own, kind="stable")
-        token, own, df = token[order], own[order], df[order]
-        home = (K.mix(node.view(np.uint64)) >> np.uint64(64 - max(bits, 1))).astype(np.int64) if bits else np.zeros(len(node), np.int64)
-        order = np.argsort(home[own], kind="stable")
-        token, own, df = token[order], own[order], df[order]
-        cuts, rows = _runs(home[own]), []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            ends = _runs(own[a:b])
-            held = own[a:b][ends[:-1]]
-            rows.append((int(home[held[0]]), node[held].tobytes(), size[held].tobytes(), np.diff(ends).astype(np.uint32).tobytes(), _small(token[a:b]), df[a:b].tobytes()))
-        return pa.Table.from_batches([_rows(rows, "bucket", "nodes", "sizes", "counts", "tokens", "dfs")])
-
-    packed = docs.select(text).mapInArrow(scatter, "bucket long, nodes binary, sizes binary, tokens binary, at binary")
-    return packed.groupBy("bucket").applyInArrow(gather, "bucket long, nodes binary, sizes binary, counts binary, tokens binary, dfs binary")
+        return pa.Table.from_batches([_rows(_by_home(node, size, own[shared], token[shared], np.minimum(df[shared], 65535).astype(np.uint16), bits), *_BY_HOME)])
+
+    return _scattered(docs, text, k, bits, hot).groupBy("bucket").applyInArrow(gather, "bucket long, nodes binary, sizes binary, counts binary, tokens binary, dfs binary")
 
 
 def _rows(rows: list[tuple], *names: str) -> pa.RecordBatch:
@@ -174,6 +232,8 @@ def _prefixed(shared: DataFrame, num: int, den: int) -> DataFrame:
         node, n, token, df = (np.concatenate(p) for p in parts)
         order = np.lexsort((token, df, node))
         node, n, token, df = node[order], n[order].astype(np.int64), token[order], df[order]
+        new = np.concatenate([[True], (node[1:] != node[:-1]) | (token[1:] != token[:-1])])  # a hot token comes from each batch with the node
+        node, n, token, df = node[new], n[new], token[new], df[new]
         cuts = _runs(node)
         lengths, size = np.diff(cuts), n[cuts[:-1]]
         spare = size - -(-num * size // den)  # tokens that a similar set may lack
@@ -211,10 +271,19 @@ def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def _stars(nodes: DataFrame) -> DataFrame:
-    """Step 3: (k, a, b): under order k, prefix tokens of one bucket lead from node a to b, the smallest such node.
+def _tree(token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes that tokens tie together: edges (a, b) from each node to the smallest of its component, and for each token, sorted, that node."""
+    order = np.argsort(token, kind="stable")
+    token, own = token[order], own[order]
+    cuts = _runs(token)
+    node, own = np.unique(own, return_inverse=True)
+    least = _least(own, np.repeat(own[cuts[:-1]], np.diff(cuts)), len(node))
+    far = np.flatnonzero(least != np.arange(len(node)))
+    return node[far], node[least[far]], token[cuts[:-1]], node[least[own[cuts[:-1]]]]
 
-    The buckets follow the number of prefix tokens, and a bucket says once what its tokens say together."""
+
+def _tied(nodes: DataFrame) -> DataFrame:
+    """Step 3, before the shuffle: by bucket and order (tokens, own), or, under negative buckets, the batch's own edges."""
     tokens = nodes.select(F.sum("prefix")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens / BUCKET)))))
     shift = BITS - bits
@@ -230,24 +299,30 @@ def _stars(nodes: DataFrame) -> DataFrame:
             rows = []
             for r in range(ORDERS):
                 if tokens[r]:
-                    for bucket, t, c in _bucketed(np.concatenate(tokens[r]), shift, own=np.concatenate(owners[r])):
+                    a, b, token, own = _tree(np.concatenate(tokens[r]), np.concatenate(owners[r]))
+                    if len(a):
+                        rows.append((-1 - (int(_home(a[:1], bits)[0]) * ORDERS + r), a.tobytes(), b.tobytes()))
+                    for bucket, t, c in _bucketed(token, shift, own=own):
                         rows.append((bucket * ORDERS + r, _planes(t), c["own"].tobytes()))
             yield _rows(rows, "bucket", "tokens", "own")
 
+    return nodes.mapInArrow(scatter, "bucket long, tokens binary, own binary")
+
+
+def _stars(nodes: DataFrame) -> DataFrame:
+    """Step 3: (k, a, b): under order k, prefix tokens of one batch or bucket lead from node a to b, the smallest such node.
+
+    The buckets follow the number of prefix tokens, and a bucket says once what its tokens say together."""
     def gather(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        r = rows[0]["bucket"] % ORDERS
-        token, own = np.concatenate([_unplanes(x["tokens"]) for x in rows]), np.concatenate([np.frombuffer(x["own"], np.int64) for x in rows])
-        order = np.lexsort((own, token))
-        token, own = token[order], own[order]
-        cuts = _runs(token)
-        node, own = np.unique(own, return_inverse=True)
-        hub = np.repeat(own[cuts[:-1]], np.diff(cuts))
-        least = _least(own, hub, len(node))
-        far = np.flatnonzero(least != np.arange(len(node)))
-        return pa.table({"k": np.full(len(far), r), "a": node[far], "b": node[least[far]]})
+        bucket = rows[0]["bucket"]
+        if bucket < 0:
+            a, b = (np.concatenate([np.frombuffer(x[c], np.int64) for x in rows]) for c in ("tokens", "own"))
+        else:
+            a, b, *_ = _tree(np.concatenate([_unplanes(x["tokens"]) for x in rows]), np.concatenate([np.frombuffer(x["own"], np.int64) for x in rows]))
+        return pa.table({"k": np.full(len(a), (bucket if bucket >= 0 else -1 - bucket) % ORDERS), "a": a, "b": b})
 
-    return nodes.mapInArrow(scatter, "bucket long, tokens binary, own binary").groupBy("bucket").applyInArrow(gather, "k long, a long, b long")
+    return _tied(nodes).groupBy("bucket").applyInArrow(gather, "k long, a long, b long")
 
 
 def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
@@ -299,11 +374,12 @@ def search(rows: list[dict], num: int, den: int) -> list[tuple[int, int]]:
     return out
 
 
-def node_components(docs: DataFrame, tokens: int, text: str = "text", k: int = SHINGLE, num: int = 3, den: int = 4) -> DataFrame:
-    """(v, root) of the nodes that links of similarity num / den or more join; ``tokens``: about how many there are in all."""
+def node_components(docs: DataFrame, of: DataFrame, text: str = "text", k: int = SHINGLE, num: int = 3, den: int = 4) -> DataFrame:
+    """(v, root) of the nodes that links of similarity num / den or more join; ``of``: the table of ``sets`` of ``docs``."""
     K.row_bytes(docs.sparkSession)
+    tokens = of.select(F.sum("n_shingles")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens / BUCKET)))))
-    nodes = K.cut(_prefixed(_shared_tokens(docs, text, k, bits), num, den))
+    nodes = K.cut(_prefixed(_shared_tokens(docs, text, k, bits, hot_tokens(of)), num, den))
     found = components(K.cut(_stars(nodes)), ["k"])
     cells = found.groupBy("v").agg(*(F.max(F.when(F.col("k") == r, F.col("root"))).alias(f"c{r}") for r in range(ORDERS)))
     cells = cells.where(" AND ".join(f"c{r} IS NOT NULL" for r in range(ORDERS))).select(F.col("v").alias("node"), F.xxhash64(*(f"c{r}" for r in range(ORDERS))).alias("cell"))
@@ -311,7 +387,7 @@ def node_components(docs: DataFrame, tokens: int, text: str = "text", k: int = S
     sums = weighed.groupBy("cell").agg(F.sum("w").alias("w"), F.count("*").alias("m")).where("m > 1")
     sums = K.cut(sums.select("cell", F.ceil(F.col("w") / (BUCKET // 2)).alias("blocks")))
     groups = max(1, int((weighed.select(F.sum("w")).first()[0] or 0) / BUCKET) * 2)
-    placed = weighed.join(sums, "cell").withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
+    placed = K.spread_join(weighed, sums, ["cell"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
     # A cell of one block shares a group with others; in a larger one, each two blocks meet in a group of their own.
     meets = F.when(F.col("blocks") == 1, F.array(F.pmod("cell", F.lit(groups)).cast("string"))).otherwise(
         F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.concat_ws("/", F.col("cell"), F.least("i", j), F.greatest("i", j)))
@@ -335,12 +411,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHIN
     table gives an empty result; other columns are left out.
     """
     of = K.cut(sets(docs, key, text, k))
-    total = of.select(F.sum("n_shingles")).first()[0] or 0
-    linked = node_components(docs, total, text, k, num, den).select(F.col("v").alias("node"), "root")
-    classes = of.where("node IS NOT NULL").groupBy("node").agg(F.min(key).alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    linked = node_components(docs, of, text, k, num, den).select(F.col("v").alias("node"), "root")
+    some = of.where("node IS NOT NULL").select(key, "n_shingles", "node")
+    classes = K.cut(some.groupBy("node").agg(F.min(key).alias("least")).join(linked, "node", "left").withColumn("root", F.coalesce("root", "node")))
     least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = K.cut(classes.join(least, "root").select("node", "component_id"))
-    return of.join(named, "node", "left").select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    named = K.cut(K.spread_join(classes, least, ["root"]).select("node", "component_id"))
+    found = K.spread_join(some, named, ["node"]).select(key, "n_shingles", F.coalesce("component_id", key).alias("component_id"))
+    return found.union(of.where("node IS NULL").select(key, "n_shingles", F.col(key).alias("component_id")))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -352,8 +429,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     """
     marked = docs.select(key, text, F.xxhash64(text).alias("__pair_hash"))
     of = K.cut(sets(marked, key, text, also=("__pair_hash",)))
-    total = of.select(F.sum("n_shingles")).first()[0] or 0
-    linked = node_components(docs, total, text).select(F.col("v").alias("node"), "root")
+    linked = node_components(docs, of, text).select(F.col("v").alias("node"), "root")
     least = F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("__its_key"), "__pair_hash"))
     nodes = of.where("node IS NOT NULL").groupBy("node").agg(least.alias("first")).join(linked, "node", "left")
     first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select("first.*")

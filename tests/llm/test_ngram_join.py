@@ -65,6 +65,38 @@ def test_documents(spark):
     assert result(N.query(spark, SMALL)) == brute(docs)
 
 
+def test_hot_shingles_gather_in_no_task(spark, monkeypatch):
+    """A passage in every document and a group of near copies of a third of them: no bucket gets more than its share."""
+    import numpy as np
+
+    monkeypatch.setattr(N, "BUCKET", 2000)
+    r = random.Random(3)
+    common, base = "this passage stands in every single document of the corpus", [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join([common, *(base[:39] if i % 3 == 0 else [f"w{r.randint(0, 10**6)}" for _ in range(30)]), f"own{i}"])) for i in range(900)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(6).cache()
+    got = result(N.join(df))
+    assert got == brute(docs) and len({c for i, (_, c) in got.items() if i % 3 == 0}) == 1
+    of = N.K.cut(N.sets(df))
+    hot = N.hot_tokens(of)
+    assert 40 <= len(hot[0]) <= 60 and set(hot[1].tolist()) <= {300, 900}
+    bits = int(np.ceil(np.log2(of.select(F.sum("n_shingles")).first()[0] / N.BUCKET)))
+    load = [x.n for x in N._scattered(df, "text", 5, bits, hot).where("bucket >= 0").groupBy("bucket").agg(F.sum(F.octet_length("dfs") / 2).alias("n")).collect()]
+    assert max(load) < 2 * N.BUCKET and sum(load) < of.select(F.sum("n_shingles")).first()[0] - 900 * 5
+    # Each batch sends a prefix token once, whatever the number of its nodes.
+    nodes = N.K.cut(N._prefixed(N._shared_tokens(df, "text", 5, bits, hot), 3, 4))
+    sent = N._tied(nodes).where("bucket >= 0").select(F.sum(F.octet_length("own") / 8)).first()[0]
+    assert sent <= 3 * 60 * max(1, nodes.rdd.getNumPartitions()) < nodes.select(F.sum("prefix")).first()[0]
+    df.unpersist()
+
+
+def test_hot_tokens_past_their_bound_go_the_usual_way(spark, monkeypatch):
+    for most, share in ((0, 1024), (3, 1024), (1 << 20, 8)):
+        monkeypatch.setattr(N, "HOT_TOKENS", most)
+        monkeypatch.setattr(N, "HOT", share)
+        docs = made(5, 150)
+        assert result(N.join(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))) == brute(docs), (most, share)
+
+
 def test_a_large_group_needs_no_pair_rows(spark):
     base = [f"b{i}" for i in range(60)]
     docs = [(i, " ".join([*base[:59], f"own{i}"])) for i in range(300)] + [(1000 + i, " ".join(base)) for i in range(200)]
