@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructType
 
 from ..functions import kinds, paths
 
@@ -10,7 +12,7 @@ from ..functions import kinds, paths
 EXECUTABLE = "app exe scr bat cmd com pif msi msp js jse vbs vbe wsf wsh ps1 psm1 hta cpl jar command sh bash zsh csh tool scpt applescript workflow action pkg mpkg dmg lnk url webloc inetloc terminal py rb pl dll dylib so deb rpm apk appx msix reg inf desktop xll xlam docm xlsm pptm".split()
 LEVELS = {"info": 0, "attention": 1, "high": 2}
 MAX_PIXELS, MAX_EDGE = 100_000_000, 30_000
-HEAD, TAIL = 262_144, 1024
+TAIL = 1024
 
 
 def _found(rules: list[tuple[str, str, Column]]) -> Column:
@@ -31,17 +33,52 @@ def name_findings(name: str = "name") -> Column:
     return _found(name_rules(name))
 
 
+@F.pandas_udf(StructType().add("w", LongType()).add("h", LongType()))
+def jpeg_size(heads: pd.Series) -> pd.DataFrame:
+    """Width and height of the first frame that a JPEG's markers lead to; null if they break off."""
+    def one(h: bytes | None) -> tuple[int | None, int | None]:
+        at = 2
+        while h is not None and at + 9 <= len(h) and h[at] == 0xFF:
+            marker, size = h[at + 1], int.from_bytes(h[at + 2 : at + 4])
+            if marker == 0xFF:  # a filler
+                at += 1
+            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                return int.from_bytes(h[at + 7 : at + 9]), int.from_bytes(h[at + 5 : at + 7])
+            elif size < 2:
+                break
+            else:
+                at += 2 + size
+        return None, None
+
+    return pd.DataFrame([one(h) for h in heads], columns=["w", "h"]).astype("Int64")
+
+
 def dimensions(content: Column | str, kind: Column) -> Column:
-    """struct<w, h> that png, gif, bmp headers declare; null for others."""
-    c = F.col(content) if isinstance(content, str) else content
+    """struct<w, h> that png, gif, bmp, webp and jpeg headers declare; null for others. Only JPEG needs Python: its size stands behind markers."""
+    c = F.substring(F.col(content) if isinstance(content, str) else content, 1, kinds.HEAD)
     byte = lambda at: F.conv(F.hex(F.substring(c, at, 1)), 16, 10).cast("long")
     number = lambda at, n, little: sum((byte(at + i) * 256 ** (i if little else n - 1 - i) for i in range(n)), F.lit(0))
-    pair = lambda w, h: F.struct(w.alias("w"), h.alias("h"))
-    return F.when(kind == "png", pair(number(17, 4, False), number(21, 4, False))).when(kind == "gif", pair(number(7, 2, True), number(9, 2, True))).when(kind == "bmp", pair(number(19, 4, True), number(23, 4, True)))
-
-
-def assess(files: DataFrame, content: str = "content") -> DataFrame:
-    """Adds type and findings. A link is only judged as such; columns link and link_outside may be absent."""
+    signed = lambda at: F.abs(F.when(number(at, 4, True) >= 1 << 31, number(at, 4, True) - (1 << 32)).otherwise(number(at, 4, True)))
+    pair = lambda w, h: F.when(w.isNotNull() & h.isNotNull(), F.struct(w.alias("w"), h.alias("h")))
+    bits, part = number(22, 4, True), F.substring(c, 13, 4)
+    webp = (
+        F.when(part == F.lit(b"VP8X"), pair(number(25, 3, True) + 1, number(28, 3, True) + 1)).when(part == F.lit(b"VP8 "), pair(number(27, 2, True).bitwiseAND(0x3FFF), number(29, 2, True).bitwiseAND(0x3FFF)))
+        .when(part == F.lit(b"VP8L"), pair(bits.bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1))
+    )
+    jpeg = jpeg_size(F.when(kind == "jpeg", c))
+    return (
+        F.when(kind == "png", pair(number(17, 4, False), number(21, 4, False))).when(kind == "gif", pair(number(7, 2, True), number(9, 2, True))).when(kind == "bmp", pair(signed(19), signed(23)))
+        .when(kind == "webp", webp).when(kind == "jpeg", pair(jpeg["w"], jpeg["h"]))
+    )
+
+
+#: Facts that a caller may know of a file, as boolean columns: permission, download mark, an earlier failure to decode, a video that
+#: stopped the media engine, a container that could not be read.
+FACTS = ("executable_bit", "quarantined", "decode_failed", "media_blocked", "broken_container")
+
+
+def assess(files: DataFrame, content: str = "content", tail: str | None = None) -> DataFrame:
+    """Adds type and findings. ``content``: a file's bytes or, with ``tail`` (its last TAIL bytes), its first. A link is only judged as such; columns link, link_outside and FACTS may be absent."""
     c = F.col(content).cast("binary")
     # A generator of one row keeps the optimizer from copying a long expression to each place that uses it.
     once = lambda x: F.explode(F.array(x))
@@ -53,14 +90,17 @@ def assess(files: DataFrame, content: str = "content") -> DataFrame:
     disguised = wrong & code & claimed
     w, h = F.col("_dims.w"), F.col("_dims.h")
     decoded = w * h * 3
-    tail = F.hex(F.substring(c, -TAIL, TAIL))
-    cut = F.when(F.col("type") == "jpeg", ~tail.rlike("^(..)*FFD9")).when(F.col("type") == "png", ~tail.rlike("^(..)*49454E44")).when(F.col("type") == "gif", ~tail.rlike("^(..)*3B")).when(F.col("type") == "pdf", ~tail.rlike("^(..)*2525454F46")).otherwise(False)
+    end = F.substring(c, -TAIL, TAIL) if tail is None else F.col(tail).cast("binary")
+    without = lambda mark: (F.octet_length(end) > 0) & ~F.contains(end, F.lit(mark))
+    cut = F.when(F.col("type") == "jpeg", without(b"\xff\xd9")).when(F.col("type") == "png", without(b"IEND")).when(F.col("type") == "gif", without(b"\x3b")).when(F.col("type") == "pdf", without(b"%%EOF")).otherwise(False)
     no = F.lit(False)
+    fact = {k: F.coalesce(F.col(k), no) if k in files.columns else no for k in FACTS}
     rules = [
         *name_rules(), ("disguised-executable", "high", disguised), ("unknown-signature", "attention", wrong & ~disguised & (F.col("type") == "unknown")), ("extension-mismatch", "attention", wrong & ~disguised & (F.col("type") != "unknown")),
-        ("unexpected-executable", "attention", expected.isNull() & code & ~F.col("ext").isin(EXECUTABLE)), ("runs-code", "info", F.col("ext").isin(EXECUTABLE) | code), ("archive", "info", (family == "archive") | F.col("type").isin("jar", "xar")),
-        ("active-content", "info", F.col("type").isin("svg", "html")), ("invalid-dimensions", "attention", F.coalesce((w == 0) | (h == 0), no)), ("extreme-dimensions", "attention", F.coalesce((w > 0) & (h > 0) & ((w * h > MAX_PIXELS) | (w > MAX_EDGE) | (h > MAX_EDGE)), no)),
-        ("compression-ratio", "attention", F.coalesce((F.col("size") > 0) & (decoded / F.greatest("size", F.lit(1)) >= 1001) & (decoded > 50_000_000), no)), ("truncated", "attention", cut), ("empty", "info", F.col("size") == 0),
+        ("unexpected-executable", "attention", expected.isNull() & code & ~F.col("ext").isin(EXECUTABLE)), ("runs-code", "info", F.col("ext").isin(EXECUTABLE) | code), ("executable-bit", "attention", fact["executable_bit"] & family.isin("image", "video", "audio", "document")),
+        ("quarantine", "info", fact["quarantined"]), ("archive", "info", (family == "archive") | F.col("type").isin("jar", "xar")), ("active-content", "info", F.col("type").isin("svg", "html")), ("invalid-dimensions", "attention", F.coalesce((w == 0) | (h == 0), no)),
+        ("extreme-dimensions", "attention", F.coalesce((w > 0) & (h > 0) & ((w * h > MAX_PIXELS) | (w > MAX_EDGE) | (h > MAX_EDGE)), no)), ("compression-ratio", "attention", F.coalesce((F.col("size") > 0) & (decoded / F.greatest("size", F.lit(1)) >= 1001) & (decoded > 50_000_000), no)),
+        ("truncated", "attention", cut), ("broken-container", "attention", fact["broken_container"]), ("decode-failed", "attention", fact["decode_failed"]), ("media-engine-failure", "high", fact["media_blocked"]), ("empty", "info", F.col("size") == 0),
     ]
     found = _found(rules)
     if "link" in files.columns:
@@ -70,18 +110,43 @@ def assess(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def summary(findings: str = "findings") -> Column:
-    return F.when(F.exists(findings, lambda f: f["level"] != "info"), "anomalies").otherwise("plain")
+    """anomalies, match (none, and the extension may hold the type) or plain."""
+    expected = kinds.expected_types("ext")
+    return F.when(F.exists(findings, lambda f: f["level"] != "info"), "anomalies").when(F.coalesce(F.array_contains(expected, F.col("type")), F.lit(False)), "match").otherwise("plain")
+
+
+def report(files: DataFrame, content: str = "content") -> DataFrame:
+    """(path, name, ext, size, type, family, sniffed, ext_matches, may_open, codes, summary): what is known of each file without decoding it; names are made safe to show."""
+    rows = assess(files, content).withColumn("sniffed", kinds.sniff(F.col(content).cast("binary"), "ext"))
+    return rows.select(
+        paths.display_safe("path").alias("path"), paths.display_safe("name").alias("name"), paths.display_safe("ext").alias("ext"), "size", "type", kinds.family_of("type").alias("family"), "sniffed", F.array_contains(kinds.expected_types("ext"), F.col("type")).alias("ext_matches"),
+        kinds.may_open("ext", "sniffed").alias("may_open"), F.transform("findings", lambda f: f["code"]).alias("codes"), summary().alias("summary"),
+    )
+
 
+def health(assessed: DataFrame, content: str | None = None, video: str | None = None) -> DataFrame:
+    """(path, category, reason) of media with a problem, one each: risk, then broken, then what the kind does not hold.
 
-def health(assessed: DataFrame) -> DataFrame:
-    """(path, category, reason) of media with a problem, one each: risk, then broken, then what the kind does not hold."""
+    ``content``: a column of bytes, by whose narrow class images and videos that cannot be decoded are unsupported; without it the
+    type's family decides. ``video``: a column of ``media.video_status`` of those that can."""
     codes = F.transform("findings", lambda f: f["code"])
     risky = F.filter("findings", lambda f: (f["level"] == "high") | (f["code"] == "extension-mismatch"))
     family = kinds.family_of("type")
     unknown = family == "unknown"
-    wrong = (F.col("kind").isin("photo", "gif") & (family != "image")) | ((F.col("kind") == "video") & (family != "video")) | ((F.col("kind") == "audio") & ~family.isin("audio", "video"))
-    category = F.when(F.size(risky) > 0, "risk").when((F.col("size") == 0) | F.array_contains(codes, "truncated") | (unknown & wrong), "broken").when(wrong, "unsupported")
-    reason = F.when(F.size(risky) > 0, F.get(risky, F.lit(0))["code"]).when(F.col("size") == 0, "empty").when(F.array_contains(codes, "truncated"), "truncated").when(unknown & wrong, "unrecognisable").when(wrong, F.col("type"))
+    sniffed = kinds.sniff(F.col(content).cast("binary"), "ext") if content else None
+    image = sniffed.isin("jpeg", "png", "webp", "gif", "heif") if content else family == "image"
+    film = sniffed.isin("mp4", "mov", "webm") if content else family == "video"
+    wrong = (F.col("kind").isin("photo", "gif") & ~image) | ((F.col("kind") == "video") & ~film) | ((F.col("kind") == "audio") & ~family.isin("audio", "video"))
+    broken = F.exists(codes, lambda c: c.isin("truncated", "broken-container"))
+    status = F.when(F.col("kind") == "video", F.col(video)) if video else F.lit(None).cast("string")
+    category = (
+        F.when(F.size(risky) > 0, "risk").when((F.col("size") == 0) | broken | (unknown & wrong), "broken").when(wrong, "unsupported")
+        .when(status == "unsupported-codec", "unsupported").when(status.isin("no-video", "damaged"), "broken").when(status == "blocked", "failed")
+    )
+    reason = (
+        F.when(F.size(risky) > 0, F.get(risky, F.lit(0))["code"]).when(F.col("size") == 0, "empty").when(broken, F.get(F.filter(codes, lambda c: c.isin("truncated", "broken-container")), F.lit(0)))
+        .when(unknown & wrong, "unrecognisable").when(wrong, F.col("type")).otherwise(status)
+    )
     return assessed.where("kind IN ('photo', 'gif', 'video', 'audio')").select("path", category.alias("category"), reason.alias("reason")).where("category IS NOT NULL")
 
 

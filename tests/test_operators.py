@@ -136,6 +136,44 @@ def test_types(spark):
     assert got == [w for _, w in rows]
 
 
+def test_brands_cut_texts_and_far_marks(spark):
+    ftyp = lambda brand: b"\0\0\0\x18ftyp" + brand + b"\0\0\0\0"
+    rows = [(ftyp(b"M4V "), "m4v"), (ftyp(b"M4VH"), "m4v"), (ftyp(b"M4A "), "m4a"), (ftyp(b"M4B "), "m4a"), (ftyp(b"M4XX"), "mp4"), (b"wOFF\0", "woff"), (b"wOFx\0", "unknown"), (b"wOF2", "text"), (b"\0\0\1\0\1\0", "unknown"), (b"\0\0\1\0\1\0\0", "ico"),
+            ("é".encode() * 3000, "text"), ("aé漢😀".encode()[:-1], "text"), ("aé漢😀".encode()[:-2], "text"), ("aé漢😀".encode()[:-4] + b"\xff", "unknown"), (b"a\xe0\x80", "unknown"), (b"a\x0b", "unknown"), (b"a\x0c\r\n\t", "text"), (b"PK\x03\x04" + b"\0" * 200_000 + b"[Content_Types].xml", "ooxml"),
+            (b"\xef\xbb\xbf \n<!DOCTYPE HTML>", "html"), (b"<?xml?>" + b" " * 900 + b"<svg", "svg"), (b"<?xml?><plist", "plist"), (b"MM\0*\0\0\0\0CR", "cr2"), (b"BM" + b"\0" * 23, "unknown"), (b"BM" + b"\0" * 24, "bmp"), (b"\xca\xfe\xba\xbe\0\0\0\x14", "javaclass"), (b"\xca\xfe\xba\xbe\0\0\0\x13", "macho")]
+    rows[7] = (b"wOF2", "woff")
+    df = spark.createDataFrame(rows, "content binary, want string").select("want", kinds.type_of("content").alias("t"))
+    assert [(r.want, r.t) for r in df.collect() if r.want != r.t] == []
+
+
+def test_narrow_classes(spark):
+    rows = [(b"\0\0\0\x18ftypqt  ", "mov", "mov"), (b"\0\0\0\x18ftypheic", "heic", "heif"), (b"\0\0\0\x18ftypavif", "avif", "unknown"), (b"\0\0\0\x18ftypM4V ", "m4v", "mp4"), (b"\0\0\0\x08moov", "mov", "mov"), (b"\0\0\0\x08moov", "mp4", "unknown"),
+            (b"\x1aE\xdf\xa3.webm", "webm", "webm"), (b"\x1aE\xdf\xa3.matroska", "mkv", "unknown"), (b"MZ", "txt", "executable"), (b"plain", "txt", "text"), (b"plain", "doc", "unknown"), (b"%PDF-1", "x", "pdf"), (b"RIFF\0\0\0\0WEBP", "jpg", "webp")]
+    df = spark.createDataFrame(rows, "content binary, ext string, want string").withColumn("got", kinds.sniff("content", "ext"))
+    assert [tuple(r) for r in df.where("got <> want").collect()] == []
+    got = {(r.ext, r.got): (r.c, r.o) for r in df.select("ext", "got", kinds.claimed_classes("ext").alias("c"), kinds.may_open("ext", "got").alias("o")).collect()}
+    assert got["mov", "mov"] == (["mp4", "mov"], True) and got["txt", "executable"] == (["text"], False) and got["txt", "text"] == (["text"], True) and got["x", "pdf"] == (None, False)
+
+
+def test_header_dimensions(spark):
+    jpeg = b"\xff\xd8\xff\xe0\0\x10" + b"J" * 14 + b"\xff\xff\xc4\0\x04ab\xff\xc2\0\x11\x08" + (300).to_bytes(2, "big") + (500).to_bytes(2, "big") + b"\0" * 9
+    riff = b"RIFF\0\0\0\0WEBP"
+    rows = [("jpeg", jpeg, (500, 300)), ("jpeg", jpeg[:24], None), ("jpeg", b"\xff\xd8\xff\xe0\0\x01" + b"\0" * 20, None), ("webp", riff + b"VP8X" + b"\0" * 8 + b"\xff\x01\0\x2b\x01\0", (512, 300)), ("webp", riff + b"VP8 " + b"\0" * 10 + b"\x40\x41\xf0\x80", (320, 240)),
+            ("webp", riff + b"VP8L" + b"\0" * 4 + b"\x2f" + (99 | 49 << 14).to_bytes(4, "little"), (100, 50)), ("bmp", b"BM" + b"\0" * 16 + (7).to_bytes(4, "little") + (-9).to_bytes(4, "little", signed=True), (7, 9)), ("gif", b"GIF89a\x05\0\x06\0", (5, 6)), ("png", b"\x89PNG", None), ("text", b"x", None)]
+    df = spark.createDataFrame([(k, c) for k, c, _ in rows], "kind string, c binary")
+    assert [None if r.d is None else tuple(r.d) for r in df.select(X.dimensions("c", F.col("kind")).alias("d")).collect()] == [w for *_, w in rows]
+
+
+def test_facts_report_and_health(spark):
+    rows = [("a.jpg", b"\xff\xd8\xff\xd9", True, True, False, False, False), ("b.mp4", b"\0\0\0\x18ftypisom", False, False, True, True, False), ("c.mkv", b"\x1aE\xdf\xa3..", False, False, False, False, True), ("d.mkv", b"\x1aE\xdf\xa3..", False, False, False, False, False), ("e.txt", b"hi", False, False, False, False, False), ("f.mp4", b"\0\0\0\x18ftypisom", False, False, False, False, False)]
+    f = C.described(spark.createDataFrame(rows, "path string, content binary, executable_bit boolean, quarantined boolean, decode_failed boolean, media_blocked boolean, broken_container boolean").withColumn("size", F.octet_length("content").cast("long")))
+    done = X.assess(f).withColumn("status", F.when(F.col("path") == "f.mp4", "no-video"))
+    assert {r.path: [x.code for x in r.findings] for r in done.collect()} == {"a.jpg": ["executable-bit", "quarantine"], "b.mp4": ["media-engine-failure", "decode-failed"], "c.mkv": ["broken-container"], "d.mkv": [], "e.txt": [], "f.mp4": []}
+    assert {r.path: (r.category, r.reason) for r in X.health(done, "content", "status").collect()} == {"b.mp4": ("risk", "media-engine-failure"), "c.mkv": ("broken", "broken-container"), "d.mkv": ("unsupported", "mkv"), "f.mp4": ("broken", "no-video")}
+    got = {r.path: r for r in X.report(f).collect()}
+    assert (got["a.jpg"].summary, got["d.mkv"].summary, got["e.txt"].may_open, got["a.jpg"].sniffed, got["e.txt"].ext_matches) == ("anomalies", "match", True, "jpeg", True)
+
+
 def test_findings(spark):
     png = b"\x89PNG\r\n\x1a\n\0\0\0\rIHDR" + (40_000).to_bytes(4, "big") + (10).to_bytes(4, "big") + b"IEND"
     rows = [("a.jpg", b"MZ\x90", None, None), ("b.png", png, None, None), ("l", b"", "../x", True), ("c.zip", b"PK\x03\x04" + b"\0" * 30, None, None)]
