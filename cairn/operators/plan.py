@@ -30,17 +30,23 @@ def transfer(batch: DataFrame, target: DataFrame, fold=values.folded) -> DataFra
     return rows.withColumn("conflict", F.when(F.col("_there"), "exists").when(F.col("_n") > 1, "batch")).drop("_n", "_low", "_there")
 
 
-def free_names(wanted: DataFrame, taken: DataFrame, most: int = 9_999) -> DataFrame:
-    """(id, name) of the first free name for each wanted one: itself, or with a number from 2 on.
-
-    Numbers in use are few, so each wanted name is tried against the numbers up to one above how many like it are taken."""
-    names = taken.select(F.col("name").alias("candidate")).distinct()
-    stem = F.regexp_replace(paths.stem_of("name"), r"^(.+) (0*[2-9]|0*[1-9]\d+)$", "$1")
-    like = taken.groupBy(stem.alias("stem")).agg(F.count("*").alias("n"))
-    tries = F.concat(F.array(F.col("name")), F.transform(F.sequence(F.lit(2), F.least(F.coalesce("n", F.lit(0)) + 2, F.lit(most)).cast("int")), lambda k: paths.numbered("name", k)))
-    tried = wanted.withColumn("stem", stem).join(like, "stem", "left").select("id", F.posexplode(tries).alias("place", "candidate"))
-    free = tried.join(names, "candidate", "left_anti")
-    return free.groupBy("id").agg(F.min_by("candidate", "place").alias("name"))
+def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """(id, name) of the first free name for each wanted one: itself, or with the smallest number from 2 on that is free.
+
+    The numbers in use of a stem and extension rise by one from 2 on up to the first gap, however many there are."""
+    dot = F.regexp_extract("name", r"^.+(\.[^.]*)$", 1)
+    bare = paths.stem_of("name")
+    number = F.regexp_extract(bare, r"^.+ ([1-9][0-9]{0,17})$", 1)
+    used = taken.select(F.regexp_extract(bare, r"^(.+) [1-9][0-9]{0,17}$", 1).alias("stem"), dot.alias("dot"), number.try_cast("long").alias("k")).where("k >= 2").distinct()
+    in_turn = used.withColumn("r", F.row_number().over(Window.partitionBy("stem", "dot").orderBy("k")) + 1)
+    gap = in_turn.where("k = r").groupBy("stem", "dot").agg((F.max("k") + 1).alias("free"))
+    stem = F.regexp_replace(bare, r"^(.+) (0*[2-9]|0*[1-9]\d+)$", "$1")
+    rows = wanted.select("id", "name", stem.alias("stem"), dot.alias("dot")).join(gap, ["stem", "dot"], "left").join(taken.select("name").distinct().withColumn("_taken", F.lit(True)), "name", "left")
+    return rows.select("id", F.when(F.col("_taken"), F.concat("stem", F.lit(" "), F.coalesce("free", F.lit(2)).cast("string"), "dot")).otherwise(F.col("name")).alias("name"))
+
+
+#: Why a drop is refused, in the order in which the rules are tried.
+DROP_REFUSALS = ("nothing", "read-only", "same", "inside", "parent", "not-a-folder", "protected", "private")
 
 
 def drop_refusal(moved: str = "moved", target: str = "target") -> F.Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import kinds, paths, values
 from ..operators import browse as B, duplicates as D, findings as X, integrity as I, metadata as M, organize as O, plan as P, similar as S, storage as T
-from ..session import small
+from ..session import numbered, small
 from ..sources.catalog import CATALOG_SQL as CAT, of_documents, of_pages, table
 from ..streaming import jobs as J
 
@@ -54,14 +54,15 @@ def browse_search_pages(spark, d):
 
 @query(f"WITH {CAT} SELECT doc_id, path, row_number() OVER (ORDER BY {NATURAL.format('name')}, path) AS rank FROM catalog WHERE path LIKE 'src3/%'")
 def browse_recursive_sorted(spark, d):
-    rows = _whole(of_documents(spark, d), B.Query(folder="src3", recursive=True))
-    return rows.select("doc_id", "path", F.row_number().over(Window.orderBy(values.natural_key("name"), "path")).alias("rank"))
+    rows = _whole(of_documents(spark, d), B.Query(folder="src3", recursive=True)).select("doc_id", "name", "path")
+    return numbered(rows, [values.natural_key("name"), F.col("path")]).select("doc_id", "path", "rank")
 
 
 @query(f"WITH {CAT} SELECT doc_id, name, coalesce(created_ms, modified_ms) AS made, row_number() OVER (ORDER BY coalesce(created_ms, modified_ms) DESC, {NATURAL.format('name')} DESC, path DESC) AS rank FROM catalog WHERE parent = 'src3/en'")
 def browse_folder_by_created(spark, d):
     q = B.Query(folder="src3/en", sort="created", desc=True)
-    return _whole(of_documents(spark, d), q).select("doc_id", "name", F.coalesce("created_ms", "modified_ms").alias("made"), F.row_number().over(Window.orderBy(*B.order_keys(q))).alias("rank"))
+    rows = _whole(of_documents(spark, d), q).select("doc_id", "name", "path", "created_ms", "modified_ms")
+    return numbered(rows, B.order_keys(q)).select("doc_id", "name", F.coalesce("created_ms", "modified_ms").alias("made"), "rank")
 
 
 @query(f"WITH {CAT} SELECT doc_id, kind FROM catalog WHERE kind = 'photo' AND contains(strip_accents(lower(path)), 'resume')")
@@ -94,7 +95,7 @@ def breadcrumbs(spark, d):
 @query(f"WITH {CAT}, f AS (SELECT DISTINCT parent AS path FROM catalog), a AS (SELECT path FROM f UNION SELECT regexp_replace(path, '/[^/]*$', '') FROM f WHERE contains(path, '/')), b AS (SELECT path FROM a UNION SELECT regexp_replace(path, '/[^/]*$', '') FROM a WHERE contains(path, '/')) SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, row_number() OVER (ORDER BY {NATURAL.format('path')}) AS rank FROM b WHERE NOT contains(path, '/')")
 def subfolders(spark, d):
     top = B.subfolders(B.folders_of(of_documents(spark, d)), "")
-    return top.select("path", "name", F.row_number().over(Window.orderBy(values.natural_key("name"))).alias("rank"))
+    return numbered(top.select("path", "name"), [values.natural_key("name"), F.col("path")])
 
 
 @query(f"WITH {CAT} SELECT count(*) FILTER (kind = 'audio') AS audios, count(*) FILTER (kind = 'document') AS documents, count(*) FILTER (kind = 'gif') AS gifs, count(*) FILTER (kind = 'other') AS others, count(*) FILTER (kind = 'photo') AS photos, count(*) FILTER (kind = 'video') AS videos, count(*) FILTER (kind = 'photo' AND name LIKE 'Screenshot%') AS screenshots, count(*) FILTER (kind = 'video' AND name LIKE 'Screenshot%') AS recordings, 0::BIGINT AS favorites, sum(size)::BIGINT AS bytes FROM catalog")
@@ -120,7 +121,7 @@ def fold_search(spark, d):
 
 @query(f"WITH {CAT} SELECT doc_id, row_number() OVER (ORDER BY {NATURAL.format('name')}, doc_id) AS rank FROM catalog")
 def natural_sort_rank(spark, d):
-    return of_documents(spark, d).select("doc_id", F.row_number().over(Window.orderBy(values.natural_key("name"), "doc_id")).alias("rank"))
+    return numbered(of_documents(spark, d).select("doc_id", "name"), [values.natural_key("name"), F.col("doc_id")]).select("doc_id", "rank")
 
 
 # ---- storage
@@ -400,7 +401,11 @@ def similar_components(spark, d):
     return S.member_components(S.candidates(prints, 18), S.members(prints))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, y AS (SELECT a AS v, b AS n, 100 - distance AS s FROM e UNION ALL SELECT b, a, 100 - distance FROM e),
+o AS (SELECT v, list(n) AS near, row_number() OVER (ORDER BY any_value(label)::DOUBLE DESC, v) AS place FROM y JOIN embeddings ON vec_id = v GROUP BY v),
+g(place, keepers, gone) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL SELECT o.place, CASE WHEN list_contains(gone, v) THEN keepers ELSE list_append(keepers, v) END, CASE WHEN list_contains(gone, v) THEN gone ELSE list_concat(gone, near) END FROM g JOIN o ON o.place = g.place + 1),
+all_k AS (SELECT unnest((SELECT keepers FROM g ORDER BY place DESC LIMIT 1)) AS keeper)
+SELECT arg_min(n, o.place) AS keeper, y.v AS member, arg_min(s, o.place)::INT AS similarity FROM y JOIN all_k ON n = keeper JOIN o ON o.v = n WHERE y.v NOT IN (SELECT keeper FROM all_k) GROUP BY y.v""")
 def similar_groups(spark, d):
     prints = _prints(spark, d)
     e = S.candidates(prints, 18).select("a", "b", (F.lit(100) - F.col("distance")).cast("int").alias("similarity"))
@@ -414,12 +419,12 @@ def dismissed_anti(spark, d):
     return S.without_dismissed(e, e.where((F.col("a") + F.col("b")) % 3 == 0).select(F.col("b").alias("a"), F.col("a").alias("b"))).select("a", "b")
 
 
-_VIDEOS = "v AS (SELECT p_partkey AS id, (p_retailprice * 100)::BIGINT * 7 AS dur, 600 + p_size * 10 AS w, 400 AS h FROM part WHERE p_partkey % 5 = 0)"
+_VIDEOS = "v AS (SELECT p_partkey AS id, (p_retailprice * 100)::BIGINT * 7 AS dur, 600 + p_size * 10 AS w, 400 AS h FROM part)"
 
 
 @query(f"WITH {_VIDEOS} SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON (x.dur < y.dur OR (x.dur = y.dur AND x.id < y.id)) AND y.dur <= x.dur * 1.15::DOUBLE + 2000 AND abs(ln(x.w::DOUBLE / x.h) - ln(y.w::DOUBLE / y.h)) <= 0.05::DOUBLE")
 def range_candidates(spark, d):
-    v = table(spark, d, "part").where("p_partkey % 5 = 0")
+    v = table(spark, d, "part")
     return S.range_pairs(v.select(F.col("p_partkey").alias("id"), (F.round(F.col("p_retailprice") * 100).cast("long") * 7).alias("duration"), (F.lit(600) + F.col("p_size") * 10).alias("w"), F.lit(400).alias("h")))
 
 
@@ -557,7 +562,7 @@ def local_inventory(spark, d):
 
 @query(f"WITH {CAT}, l AS (SELECT path, row_number() OVER (ORDER BY path) AS pos FROM catalog), k AS (SELECT pos FROM l WHERE pos NOT BETWEEN 40 AND 60) SELECT coalesce((SELECT min(pos) FROM k WHERE pos >= 50), (SELECT max(pos) FROM k WHERE pos < 50))::INT AS pos")
 def selection_neighbour(spark, d):
-    rows = of_documents(spark, d).select("path", F.row_number().over(Window.orderBy("path")).alias("pos"))
+    rows = numbered(of_documents(spark, d).select("path"), [F.col("path")], "pos")
     return P.neighbour(rows, rows.where("pos BETWEEN 40 AND 60"), 50)
 
 
@@ -573,7 +578,7 @@ def arrivals(spark, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_hourly_counts(spark, d):
     e = table(spark, d, "events")
-    return J.collected(J.windowed(J.source(spark, e, f"{d}/event?.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "1 hour", "30 days"), "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return J.collected(J.windowed(J.source(spark, e, f"{d}/event?.parquet").withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "1 hour", "30 days"), "update", ["start", "event_type"]).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -584,8 +589,8 @@ def stream_totals(spark, d):
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS stop, count(*) AS n FROM r GROUP BY user_id, s""")
 def stream_sessions(spark, d):
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return J.sessions(e, "user_id", "2 hours", "30 days").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
+    e = J.source(spark, table(spark, d, "events"), f"{d}/event?.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    return J.collected(J.sessions(e, "user_id", "2 hours", "30 days"), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
 __all__ = ["QUERIES", "SQL", "small"]

@@ -7,6 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..session import shared_dir
 
 
 def source(spark: SparkSession, like: DataFrame, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -30,12 +33,28 @@ def totals(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.count("*").alias("n"))
 
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """All that a bounded stream has to say, once it has read what is there now."""
-    name = f"cairn_{uuid.uuid4().hex}"
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """All that a bounded stream has to say, once it has read what is there now, from files in the shared folder.
+
+    Each batch writes its own folder, so that a batch run again replaces itself. Complete: the last batch's rows; append: all rows;
+    update: each of ``keys``' last row.
+    """
+    spark, path, batches = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}", []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
+        batches.append(batch)
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/log").trigger(availableNow=True).start().awaitTermination()
+    if not batches:
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(StructType([*stream.schema, StructField("batch", LongType())])).parquet(f"{path}/rows")
+    if mode == "complete":
+        return rows.where(F.col("batch") == max(batches)).drop("batch")
+    if mode == "update" and keys:
+        others = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch").alias("last")).select(*keys, "last.*").select(*stream.columns)
+    return rows.drop("batch")
 
 
 def reduced(events: DataFrame) -> DataFrame:

@@ -267,6 +267,45 @@ def test_bursts_and_groups(spark):
     assert f.select(S.matching_frames("a", "b", "m")).first()[0] == 3
 
 
+def test_keepers_on_random_graphs(spark):
+    """The same as taking items one by one, best first."""
+    import random
+
+    r = random.Random(4)
+    for n, m in ((1, 0), (12, 14), (60, 90), (40, 39)):
+        pairs = {(i, i + 1) for i in range(n - 1)} if m == 39 else {tuple(sorted(r.sample(range(n), 2))) for _ in range(m)}  # 39: one long chain
+        q = {i: (float(r.randint(0, 3)) if m != 39 else float(-i), r.randint(0, 2), str(i)) for i in range(n)}
+        near = {i: {a + b - i for a, b in pairs if i in (a, b)} for i in range(n)}
+        left, want = set(range(n)), set()
+        for i in sorted(range(n), key=lambda i: (-q[i][0], q[i][1], q[i][2], i)):
+            if i in left and (got := near[i] & left):
+                want |= {(i, x, min(i, x) + max(i, x)) for x in got}
+                left -= got | {i}
+        e = spark.createDataFrame([(a, b, a + b) for a, b in pairs], "a long, b long, similarity int")
+        got = S.keeper_groups(e, spark.createDataFrame([(i, *x) for i, x in q.items()], "id long, q double, modified_ms long, path string"))
+        assert {tuple(x) for x in got.collect()} == want
+
+
+def test_components_of_a_long_chain(spark):
+    e = spark.range(150).selectExpr("id AS a", "id + 1 AS b").union(spark.createDataFrame([(500, 501)], "a long, b long"))
+    assert {(x.id, x.root) for x in S.components(e).collect()} == {(i, 0) for i in range(151)} | {(500, 500), (501, 500)}
+
+
+def test_free_names_beyond_any_number(spark):
+    taken = [("a.jpg",), ("b",), ("b 2",), ("b 4",), ("c 2.txt",), ("d.tar.gz",), ("d.tar 02.gz",)] + [(f"a {i}.jpg",) for i in range(2, 12_002)]
+    wanted = [(1, "a.jpg"), (2, "a 5.jpg"), (3, "b"), (4, "c.txt"), (5, "c 2.txt"), (6, "d.tar.gz"), (7, "new"), (8, "a.png")]
+    got = P.free_names(spark.createDataFrame(wanted, "id long, name string"), spark.createDataFrame(taken, "name string"))
+    assert {r.id: r.name for r in got.collect()} == {1: "a 12002.jpg", 2: "a 12002.jpg", 3: "b 3", 4: "c.txt", 5: "c 3.txt", 6: "d.tar 2.gz", 7: "new", 8: "a.png"}
+
+
+def test_numbered_by_ranges(spark):
+    from cairn.session import numbered
+
+    df = spark.range(1000, numPartitions=7).selectExpr("id", "id * 7919 % 1000 AS k")
+    got = numbered(df, [F.col("k").desc()])
+    assert {(r.k, r["rank"]) for r in got.collect()} == {(k, 1000 - k) for k in range(1000)} and numbered(df.limit(0), [F.col("k")]).count() == 0
+
+
 def test_quality_prefers_originals(spark):
     rows = [("a.jpg", 4000, 3000, 10**6, True), ("a copy.jpg", 4000, 3000, 10**6, True), ("a.jpg", 400, 300, 10**6, True)]
     df = C.described(spark.createDataFrame(rows, "path string, w int, h int, size long, exif boolean").withColumn("duration_ms", F.lit(None).cast("long")))

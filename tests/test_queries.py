@@ -13,9 +13,8 @@ def test_same_as_duckdb(spark, duck, name):
     same(QUERIES[name](spark, SMALL), duck.sql(SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SMALL).count() >= 0
+def test_all_catalog_queries_have_sql():
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry(spark):
