@@ -42,6 +42,14 @@ def human_size(n: Column | str) -> Column:
     return out
 
 
+def human_duration(ms: Column | str) -> Column:
+    """``m:ss``, from an hour on ``h:mm:ss``."""
+    t = F.floor(_c(ms) / 1000)
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    minutes = F.floor(t / 60)
+    return F.concat(F.when(t >= 3600, F.concat(F.floor(t / 3600).cast("string"), F.lit(":"), two(minutes % 60))).otherwise(minutes.cast("string")), F.lit(":"), two(t % 60))
+
+
 def clean(s: Column | str, most: int = 400) -> Column:
     """Controls become spaces, ends are trimmed, long values end in an ellipsis."""
     t = F.trim(F.regexp_replace(_c(s), r"\p{Cc}", " "))
@@ -95,6 +103,11 @@ def hamming(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(_c(a).bitwiseXOR(_c(b)))
 
 
+def identity_key(content: Column | str) -> Column:
+    """What equal contents have in common."""
+    return F.sha2(_c(content).cast("binary"), 256)
+
+
 def pair_key(a: Column | str, b: Column | str) -> Column:
     """One key for both orders of a pair."""
     return F.sha2(F.concat_ws("|", F.least(_c(a), _c(b)), F.greatest(_c(a), _c(b))), 256)

@@ -593,4 +593,7 @@ def stream_sessions(spark, d):
     return J.collected(J.sessions(e, "user_id", "2 hours", "30 days"), "complete").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
-__all__ = ["QUERIES", "SQL", "small"]
+# The other modules of this package register theirs.
+from . import values as value_queries  # noqa: E402
+
+__all__ = ["QUERIES", "SQL", "small", "value_queries"]
