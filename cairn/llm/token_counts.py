@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
@@ -27,6 +28,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SPECIAL = "<|endoftext|>"
 #: Entries of a worker's cache of chunks; a full cache is emptied, which costs time and changes nothing.
 CACHED = 350_000
+#: Characters of texts whose chunks are learned together.
+TOGETHER = 1 << 20
 _CHUNK = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space that some of the libraries count as such and some not: a text with it is one chunk.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -44,6 +47,10 @@ class Counter:
         self.joins: dict[tuple[bytes, bytes], bool] = {}
         self.tables: dict[str, bytes | list[int]] = {}
         self.pieces: dict[bytes, bytes | list[int]] = {}
+        #: The piece whose table was made last, its last tokens and its counts.
+        self.before, self.last, self.count = b"", [b""], [0]
+        #: How often the cache of chunks was emptied.
+        self.emptied = 0
 
     def _may_join(self, a: bytes, b: bytes) -> bool:
         known = self.joins.get((a, b))
@@ -55,40 +62,53 @@ class Counter:
 
     def piece(self, p: bytes) -> list[int]:
         """The count at each prefix of one piece, from the empty one on."""
-        if len(p) == 1:
-            return [0, 1]
+        return [0, 1] if len(p) == 1 else list(self._known(p))
+
+    def _known(self, p: bytes) -> bytes | list[int]:
         known = self.pieces.get(p)
         if known is None:
             if len(self.pieces) >= CACHED:
                 self.pieces.clear()
             known = self.pieces[p] = self._piece(p)
-        return list(known)
+        return known
 
     def _piece(self, p: bytes) -> bytes | list[int]:
-        n = len(p)
-        last: list[bytes] = [b""] * (n + 1)
-        count = [0] * (n + 1)
+        n, before = len(p), self.before
+        k, most = 0, min(n, len(before))
+        while k < most and p[k] == before[k]:
+            k += 1
+        # Tables follow from left to right, so what p shares with the piece before it is known.
+        last = self.last[: k + 1] + [b""] * (n - k)
+        count = self.count[: k + 1] + [0] * (n - k)
         ranks, longest, joins = self.ranks, self.longest, self.joins
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+        for i in range(k + 1, n + 1):
+            for j in range(i - longest if i > longest else 0, i):
                 t = p[j:i]
                 if t in ranks and (not j or (joins[x] if (x := (last[j], t)) in joins else self._may_join(*x))):
                     last[i], count[i] = t, count[j] + 1
                     break
+        self.before, self.last, self.count = p, last, count
         return bytes(count) if n < 256 else count
 
     def table(self, chunk: str) -> bytes | list[int]:
         """The count at each prefix of a chunk, by UTF-8 bytes."""
+        if chunk[0] == " ":  # most chunks are a space and letters, with a point or comma after them at most; they need no pattern to be split
+            word = chunk[1:]
+            if word.isalpha() and max(word) < "\u0500":
+                return self._known(chunk.encode())
+            if word[-1:] in (".", ",") and word[:-1].isalpha() and max(word) < "\u0500":
+                t = self._known(chunk[:-1].encode())
+                return [*t, t[-1] + 1] if t[-1] == 255 or not isinstance(t, bytes) else t + bytes([t[-1] + 1])
+        return self._split_table(chunk)
+
+    def _split_table(self, chunk: str) -> bytes | list[int]:
         word = chunk.lstrip(" \t\n\x0b\x0c\r")
         white = chunk[: len(chunk) - len(word)]
         out = [0, 1][: len(white) + 1] if len(white) < 2 else self.piece(white.encode())  # until a word begins, white space so far is one piece
         if word:
             base = self.piece(white[:-1].encode())[-1] if len(white) > 1 else 0
             tail = [base]
-            # Most words are letters with a point or comma after them at most; they need no pattern to be split.
-            stem = word if word.isalpha() else word[:-1] if word[-1] in ".," and word[:-1].isalpha() else ""
-            plain = stem and white[-1:] in ("", " ") and stem.isascii()
-            for p in ([white[-1:] + stem, word[len(stem) :]][: 1 + (len(stem) < len(word))] if plain else self.split.findall(white[-1:] + word)):
+            for p in self.split.findall(white[-1:] + word):
                 base, n = tail[-1], self.piece(p.encode())
                 if len(p) == 3 and p[0] == "'" and p[1:].isalpha():  # a part of 're, 've or 'll is two pieces
                     n[2] = 2
@@ -97,11 +117,12 @@ class Counter:
         return bytes(out) if max(out) < 256 else out
 
     def _learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.tables]
+        new = chunks.difference(self.tables)
         if new and len(self.tables) + len(new) > CACHED:
             self.tables.clear()
-            new = list(chunks)
-        for c in new:
+            self.emptied += 1
+            new = chunks
+        for c in sorted(new):  # neighbours share prefixes, and so their tables
             self.tables[c] = self.table(c)
 
     def total(self, text: str) -> int:
@@ -160,11 +181,30 @@ class Counter:
 
     def measure(self, text: str, limit: int) -> tuple[int, int]:
         """The count of the whole text, and the characters of its longest prefix of at most ``limit`` tokens."""
-        if SPECIAL in text or _ODD.search(text):
-            n = self.total(text)
-            return n, len(text) if n <= limit else len(self.truncate(text, limit))
-        chunks = _CHUNK.findall(text)
-        self._learn(set(chunks))
+        return next(self.measure_all([text], limit))
+
+    def measure_all(self, texts: list[str], limit: int) -> Iterator[tuple[int, int]]:
+        """``measure`` of each text; the chunks of neighbouring texts are learned together."""
+        at = 0
+        while at < len(texts):
+            stop, size = at + 1, len(texts[at])
+            while stop < len(texts) and size + len(texts[stop]) <= TOGETHER:
+                size += len(texts[stop])
+                stop += 1
+            split = [None if SPECIAL in t or _ODD.search(t) else _CHUNK.findall(t) for t in texts[at:stop]]
+            self._learn(set().union(*(c for c in split if c is not None)))
+            emptied = self.emptied
+            for t, chunks in zip(texts[at:stop], split, strict=True):
+                if chunks is None:
+                    n = self.total(t)
+                    yield n, len(t) if n <= limit else len(self.truncate(t, limit))
+                else:
+                    if self.emptied > emptied:  # by a text between
+                        self._learn(set(chunks))
+                    yield self._measured(t, chunks, limit)
+            at = stop
+
+    def _measured(self, text: str, chunks: list[str], limit: int) -> tuple[int, int]:
         counts = [t[-1] for t in map(self.tables.__getitem__, chunks)]
         n = sum(counts)
         if n <= limit:
@@ -198,9 +238,9 @@ def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", te
     def each(batch: pa.RecordBatch) -> dict:
         held = counter(ranks)
         out: dict = {"n_bytes": [], "n_tokens": [], "over_limit": [], "cut_at": []}
-        for t in batch.column(1).to_pylist():
-            n, at = held.measure(t or "", limit)
-            out["n_bytes"].append(len((t or "").encode()))
+        texts = [t or "" for t in batch.column(1).to_pylist()]
+        for t, (n, at) in zip(texts, held.measure_all(texts, limit), strict=True):
+            out["n_bytes"].append(len(t.encode()))
             out["n_tokens"].append(n)
             out["over_limit"].append(n > limit)
             out["cut_at"].append(at)
