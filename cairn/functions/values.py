@@ -176,8 +176,33 @@ def blurred(planes: pd.Series) -> pd.Series:
     return pd.Series(np.nanmean(stack, 0).reshape(len(planes), -1).tolist())
 
 
+def prepare(p: np.ndarray) -> np.ndarray:
+    """Planes [n, 64, 64] normalised, then blurred; NaN where the deviation is below 6."""
+    sd = p.std((1, 2), keepdims=True)
+    z = (p - p.mean((1, 2), keepdims=True)) / np.where(sd >= 6, sd, np.nan)
+    wide = np.pad(z, ((0, 0), (1, 1), (1, 1)))
+    ones = np.pad(np.ones((1, 64, 64)), ((0, 0), (1, 1), (1, 1)))
+    around = lambda x: sum(x[:, i : i + 64, j : j + 64] for i in range(3) for j in range(3))
+    return around(wide) / around(ones)
+
+
+def differences(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For planes [n, 64, 64] the mean absolute difference, and the largest mean of an 8 x 8 block."""
+    d = np.abs(a - b)
+    return d.mean((1, 2)), d.reshape(-1, 8, 8, 8, 8).mean((2, 4)).max((1, 2))
+
+
 @F.pandas_udf(StructType().add("mad", DoubleType()).add("block", DoubleType()))
 def plane_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """The mean absolute difference, and the largest mean of an 8 x 8 block."""
-    d = np.abs(_planes(a) - _planes(b))
-    return pd.DataFrame({"mad": d.mean((1, 2)), "block": d.reshape(-1, 8, 8, 8, 8).mean((2, 4)).max((1, 2))})
+    return pd.DataFrame(dict(zip(("mad", "block"), differences(_planes(a), _planes(b)), strict=True)))
+
+
+@F.pandas_udf(StructType().add("mad", DoubleType()).add("block", DoubleType()))
+def prepared_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """``plane_difference`` of two raw planes, normalised and blurred; null if one is null or tells nothing."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full((2, len(a)), np.nan)
+    if known.any():
+        out[:, known] = differences(prepare(_planes(a[known])), prepare(_planes(b[known])))
+    return pd.DataFrame({"mad": out[0], "block": out[1]}).astype(object).where(lambda x: x.notna(), None)

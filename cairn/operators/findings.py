@@ -161,3 +161,22 @@ def archive_findings(entries: DataFrame) -> DataFrame:
     gib = 1 << 30
     codes = [("bomb", (F.col("bytes") > 50 * gib) | ((ratio > 1000) & (F.col("bytes") > gib))), ("high-ratio", (ratio > 100) & (F.col("bytes") > 100 << 20)), ("many-entries", F.col("entries") > 50_000), ("deep", F.col("depth") > 3)]
     return by.join(flagged, "archive", "left").select("*", F.array_compact(F.array(*[F.when(on, F.lit(k)) for k, on in codes])).alias("codes")).withColumn("flags", F.coalesce("flags", F.lit(0)))
+
+
+def archive_report(entries: DataFrame) -> DataFrame:
+    """(archive, entries, bytes, packed, depth, codes) of the listings of ``archives.entries``, codes by level, the highest first."""
+    flags = paths.path_flags("path")
+    has = lambda flag: F.coalesce(F.count_if(F.array_contains(flags, flag)), F.lit(0))
+    real = F.col("path").isNotNull()
+    top = F.col("depth") == 0
+    by = entries.groupBy("archive").agg(
+        F.count_if(real).alias("entries"), F.coalesce(F.sum(F.when(top, F.col("size"))), F.lit(0)).alias("bytes"), F.coalesce(F.sum(F.when(top, F.col("packed"))), F.lit(0)).alias("packed"), F.max(F.col("depth") + F.col("nested").cast("int")).alias("depth"),
+        has("traversal").alias("traversal"), (has("absolute") + has("drive-letter")).alias("absolute"), F.count_if("is_link").alias("links"), F.bool_or("encrypted").alias("encrypted"), F.bool_or("partial").alias("partial"),
+    )
+    ratio = F.when(F.col("packed") > 0, F.col("bytes") / F.col("packed")).otherwise(0.0)
+    bomb = (F.col("bytes") > 50 << 30) | ((ratio > 1000) & (F.col("bytes") > 1 << 30))
+    rules = [
+        ("archive-traversal", "high", F.col("traversal") > 0), ("archive-absolute", "high", F.col("absolute") > 0), ("archive-symlinks", "attention", F.col("links") > 0), ("archive-bomb", "high", bomb), ("archive-ratio", "attention", ~bomb & (ratio > 100) & (F.col("bytes") > 100 << 20)),
+        ("archive-entries", "attention", F.col("entries") > 50_000), ("archive-nesting", "attention", F.col("depth") >= 2), ("archive-nested", "info", F.col("depth") == 1), ("archive-encrypted", "info", F.col("encrypted")), ("archive-partial", "info", F.col("partial")),
+    ]
+    return by.select("archive", "entries", "bytes", "packed", "depth", F.transform(_found(rules), lambda f: f["code"]).alias("codes"))

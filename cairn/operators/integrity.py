@@ -36,14 +36,20 @@ class Snapshots:
         self.spark, self.path = spark, path
 
     def save(self, snapshot_id: str, items: DataFrame) -> None:
-        items.select("rel", "size", "sha256").write.mode("errorifexists").parquet(f"{self.path}/snapshot_id={snapshot_id}")
+        items.select("rel", "size", "sha256", F.current_timestamp().alias("created")).write.mode("errorifexists").parquet(f"{self.path}/snapshot_id={snapshot_id}")
 
     def load(self, snapshot_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/snapshot_id={snapshot_id}")
+        return self.spark.read.parquet(f"{self.path}/snapshot_id={snapshot_id}").drop("created")
+
+    def delete(self, snapshot_id: str) -> bool:
+        """Whether there was such a snapshot."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/snapshot_id={snapshot_id}")
+        return folder.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
     def all(self) -> DataFrame:
-        """(snapshot_id, files, bytes), newest id first."""
-        return self.spark.read.schema("rel string, size long, sha256 string, snapshot_id string").parquet(self.path).groupBy("snapshot_id").agg(F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("snapshot_id"))
+        """(snapshot_id, created, files, bytes), newest first."""
+        rows = self.spark.read.schema("rel string, size long, sha256 string, created timestamp, snapshot_id string").parquet(self.path)
+        return rows.groupBy("snapshot_id").agg(F.min("created").alias("created"), F.count("*").alias("files"), F.sum("size").alias("bytes")).orderBy(F.desc("created"), F.desc("snapshot_id"))
 
 
 def unread(items: DataFrame, cache: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import paths
+from ..functions import paths, values
 from ..session import small
 
 KEEP = 200
@@ -106,3 +106,75 @@ def decision_counts(items: DataFrame, decisions: DataFrame, item: str) -> DataFr
     d = items.join(decisions, item, "left")
     marked = F.col("decision") == "mark"
     return d.agg(F.count_if(F.col("decision") == "keep").alias("kept"), F.count_if(marked).alias("marked"), F.count_if(F.col("decision").isNull()).alias("undecided"), F.coalesce(F.sum(F.when(marked, F.col("size"))), F.lit(0)).alias("marked_bytes"))
+
+
+def set_favorite(favorites: DataFrame, path: str, on: bool) -> DataFrame:
+    """(path) with or without one path."""
+    left = favorites.select("path").where(F.col("path") != path)
+    return left.union(favorites.sparkSession.sql("SELECT :path AS path", {"path": path})) if on else left
+
+
+MAX_TAGS = 500
+
+
+def ensure_tag(tags: DataFrame, name: str) -> DataFrame:
+    """Tags (id, name) with ``name`` among them, case aside, under the next id; unchanged if the name is not fit or there are MAX_TAGS."""
+    made = tags.sparkSession.sql("SELECT :name AS name", {"name": name}).select(values.clean_tag("name").alias("name")).where("name IS NOT NULL")
+    known = made.join(tags.select(F.lower("name").alias("_low")), F.lower("name") == F.col("_low"), "left_anti")
+    next_id = tags.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).cast(tags.schema["id"].dataType).alias("id"), F.count("*").alias("_n"))
+    return tags.select("id", "name").union(known.join(F.broadcast(next_id)).where(F.col("_n") < MAX_TAGS).select("id", "name"))
+
+
+def assign_tag(assignments: DataFrame, chosen: DataFrame, tag: int, on: bool = True) -> DataFrame:
+    """Assignments (path, tag) with the tag on (or off) the chosen paths."""
+    hit = chosen.select("path").distinct().withColumn("tag", F.lit(tag).cast(assignments.schema["tag"].dataType))
+    return assignments.select("path", "tag").union(hit).distinct() if on else assignments.select("path", "tag").join(hit, ["path", "tag"], "left_anti")
+
+
+def from_volume(path: Column | str, root: str) -> Column:
+    """A volume-relative path as a root-relative one; null outside the root."""
+    p = F.col(path) if isinstance(path, str) else path
+    return p if not root else F.when(p == root, "").when(F.startswith(p, F.lit(root + "/")), F.substring(p, F.lit(len(root) + 2), F.length(p)))
+
+
+def renamed(catalog: DataFrame, old: str, new: str) -> DataFrame:
+    """A catalog after a rename: what lies at or below ``old`` moves, and what follows from a path is told anew."""
+    from ..sources.catalog import described
+
+    moved = follow_rename(catalog, old, new)
+    named = described(moved)
+    if "is_dir" not in catalog.columns:
+        return named
+    return named.withColumns({"kind": F.when(F.col("is_dir"), "folder").otherwise(F.col("kind")), "ext": F.when(F.col("is_dir"), "").otherwise(F.col("ext"))})
+
+
+def added(catalog: DataFrame, rows: DataFrame) -> DataFrame:
+    """A catalog with new rows; those of a path that it has replace it."""
+    return catalog.join(rows.select("path").distinct(), "path", "left_anti").select(*catalog.columns).unionByName(rows, allowMissingColumns=True)
+
+
+def why_not(changes: Column | str = "changes") -> Column:
+    """Why a record's changes (array of kind, trashed) cannot be undone: deleted, by-hand (nobody told where a trashed original lies), or null."""
+    c = F.col(changes) if isinstance(changes, str) else changes
+    lost = F.exists(c, lambda x: x["kind"].isin("trashed", "cross-moved") & x["trashed"].isNull())
+    return F.when(F.exists(c, lambda x: x["kind"] == "deleted"), "deleted").when(lost, "by-hand")
+
+
+def history(log: DataFrame) -> DataFrame:
+    """Adds note and undoable to records (id, at, changes, undone); those without a change are none."""
+    return log.where(F.size("changes") > 0).withColumn("note", why_not()).withColumn("undoable", ~F.col("undone") & F.col("note").isNull())
+
+
+#: File systems that write in place, that copy on write, and that lie on a network.
+IN_PLACE = ["hfs", "msdos", "exfat", "ntfs", "ext4", "ext3", "ext2", "fat32", "vfat"]
+COPY_ON_WRITE = ["apfs", "zfs", "btrfs"]
+NETWORK = ["nfs", "smbfs", "afpfs", "webdav", "cifs"]
+
+
+def overwrite_refusal(fs_type: Column | str = "fs_type", medium: Column | str = "medium") -> Column:
+    """Why overwriting would not reach a file's old bytes: copy-on-write, network, unknown-system, solid-state, unknown-medium, or null (a rotational disk)."""
+    f, m = (F.col(x) if isinstance(x, str) else x for x in (fs_type, medium))
+    return (
+        F.when(f.isin(COPY_ON_WRITE), "copy-on-write").when(f.isin(NETWORK), "network").when(f.isNull() | ~f.isin(IN_PLACE), "unknown-system")
+        .when(m == "solid-state", "solid-state").when(m.isNull() | (m != "rotational"), "unknown-medium")
+    )

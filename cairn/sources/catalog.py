@@ -5,10 +5,13 @@ from __future__ import annotations
 import os
 import stat
 from collections.abc import Iterator
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import kinds, paths
+from ..session import small
 
 MAX_DEPTH = 64
 SCAN_SCHEMA = "path string, is_dir boolean, size long, modified_ms long, created_ms long, dev long, ino long, links int, link string"
@@ -54,10 +57,13 @@ def of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("size")))
 
 
-def walk(root: str, hidden: bool = False) -> Iterator[tuple]:
-    """Files, folders and links below ``root``: links are listed and never followed, other file systems are left out."""
-    top = os.stat(root)
-    todo = [("", 0)]
+def walk(root: str, top: str = "") -> Iterator[tuple]:
+    """Files, folders and links: with ``top`` "" those directly in ``root``, else all below its folder ``top``. Links are listed and
+    never followed, other file systems are left out."""
+    device = os.stat(root).st_dev
+    if top and os.lstat(os.path.join(root, top)).st_dev != device:
+        return
+    todo = [(top, 1 if top else 0)]
     while todo:
         rel, depth = todo.pop()
         try:
@@ -65,24 +71,51 @@ def walk(root: str, hidden: bool = False) -> Iterator[tuple]:
         except OSError:
             continue
         for e in entries:
-            if e.name.startswith(".") and not hidden:
+            if e.name.startswith("."):
                 continue
             path = f"{rel}/{e.name}" if rel else e.name
             s = e.stat(follow_symlinks=False)
             if stat.S_ISLNK(s.st_mode):
                 yield path, False, 0, s.st_mtime_ns // 1_000_000, None, s.st_dev, s.st_ino, s.st_nlink, os.readlink(e.path)
-            elif stat.S_ISDIR(s.st_mode) and s.st_dev == top.st_dev:
+            elif stat.S_ISDIR(s.st_mode) and s.st_dev == device:
                 yield path, True, 0, s.st_mtime_ns // 1_000_000, None, s.st_dev, s.st_ino, s.st_nlink, None
-                if depth + 1 < MAX_DEPTH:
+                if top and depth + 1 < MAX_DEPTH:
                     todo.append((path, depth + 1))
             elif stat.S_ISREG(s.st_mode):
                 yield path, False, s.st_size, s.st_mtime_ns // 1_000_000, None, s.st_dev, s.st_ino, s.st_nlink, None
 
 
+class TreeSource(DataSource):
+    """``spark.read.format("cairn_tree").load(root)``: the tree below a folder that all executors see, a partition for each folder in it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "cairn_tree"
+
+    def schema(self) -> str:
+        return SCAN_SCHEMA
+
+    def reader(self, schema):  # noqa: ANN001, ANN201
+        return TreeReader(self.options["path"])
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, root: str):
+        self.root = root
+
+    def partitions(self) -> list[InputPartition]:
+        """The root's own entries, and each folder in it with all below."""
+        return [InputPartition(""), *(InputPartition(e.name) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not e.name.startswith("."))]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return walk(self.root, top=partition.value)
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The tree below a folder that the driver sees, without hidden, package, system and junk entries."""
+    """The tree below a folder without hidden, package, system and junk entries; executors walk it, folder by folder."""
+    spark.dataSource.register(TreeSource)
     shown = paths.listable(F.when(F.col("is_dir"), F.concat("path", F.lit("/x"))).otherwise(F.col("path")))
-    rows = spark.createDataFrame(list(walk(root)), SCAN_SCHEMA).where(shown)
+    rows = spark.read.format("cairn_tree").load(root).where(shown)
     kind = F.when(F.col("link").isNotNull(), "link").when(F.col("is_dir"), "folder").otherwise(F.col("kind"))
     return described(rows).withColumn("kind", kind).withColumn("link_outside", F.coalesce(paths.link_escapes("path", F.col("link")), F.lit(False)))
 
@@ -99,3 +132,37 @@ def one_per_file(files: DataFrame) -> DataFrame:
     single, linked = once.where("links <= 1 OR ino IS NULL"), once.where("links > 1 AND ino IS NOT NULL")
     kept = linked.groupBy("dev", "ino").agg(F.min("path").alias("path")).select("path")
     return single.unionByName(linked.join(kept, "path", "left_semi").select(*single.columns))
+
+
+def outside(rows: DataFrame, folders: DataFrame) -> DataFrame:
+    """Without the paths at or below one of ``folders`` (path)."""
+    above = rows.select("path", F.explode(paths.ancestors("path", itself=True)).alias("folder"))
+    hit = above.join(small(folders.select(F.col("path").alias("folder")).distinct()), "folder", "left_semi").select("path").distinct()
+    return rows.join(hit, "path", "left_anti")
+
+
+def collected(roots: list[DataFrame], private: DataFrame) -> DataFrame:
+    """The files of several roots to analyse: each path and each file (hard links) once, none in private folders. Paths are absolute."""
+    return one_per_file(outside(reduce(DataFrame.unionByName, roots), private))
+
+
+def snapshot_items(files: DataFrame, private: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rel, size) of readable files outside private folders, and one row of how many were skipped: links, private, unreadable. ``files``: path, size, link, readable."""
+    real = files.where("link IS NULL")
+    open_ = outside(real, private)
+    counts = real.agg(F.count("*").alias("n")).join(open_.agg(F.count("*").alias("open"), F.count_if(~F.col("readable")).alias("unreadable"))).join(files.agg(F.count_if(F.col("link").isNotNull()).alias("links")))
+    return open_.where("readable").select(F.col("path").alias("rel"), "size"), counts.select("links", (F.col("n") - F.col("open")).alias("private"), "unreadable")
+
+
+#: Fixed value: the version of saved catalogs; others are not read.
+VERSION = 1
+
+
+def save(catalog: DataFrame, path: str, root: str) -> None:
+    """Write a catalog with its version and root; Spark's committer makes it whole or not at all."""
+    catalog.withColumns({"__version": F.lit(VERSION), "__root": F.lit(root)}).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str, root: str) -> DataFrame:
+    """A saved catalog; no rows if it has another version or root."""
+    return spark.read.parquet(path).where((F.col("__version") == VERSION) & (F.col("__root") == root)).drop("__version", "__root")

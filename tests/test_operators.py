@@ -353,3 +353,128 @@ def test_reducer_stream(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
     got = J.collected(J.reduced(J.source(spark, df, str(tmp_path / "in"))), "update")
     assert {(r.item, r.decision, r.moves) for r in got.collect()} == {(1, "keep", 1), (2, None, 0)}
+
+
+def test_photos_are_verified(spark):
+    """Against the same rules in plain numpy, over all pairs."""
+    r = np.random.default_rng(5)
+    base = [np.kron(r.integers(0, 200, (16, 16)), np.ones((4, 4))) for _ in range(4)]
+    pics = [*base, base[0] + 10, base[0] + r.normal(0, 3, (64, 64)), np.clip(base[1] * 1.1, 0, 255), np.full((64, 64), 9.0), base[2].copy()]
+    local = base[3].copy()
+    local[:24, :24] += 120
+    pics.append(local)
+    rows = [(i, 400 if i != 6 else 900, 300, [p.ravel().tolist(), p[3:61, 3:61].repeat(2, 0)[:64].repeat(2, 1)[:, :64].ravel().tolist()]) for i, p in enumerate(pics)]
+    df = spark.createDataFrame(rows, "id long, w int, h int, planes array<array<double>>")
+    whole, middle = (values.phash(F.get("planes", F.lit(i))) for i in (0, 1))
+    flat = F.array_max(F.get("planes", F.lit(0))) == F.array_min(F.get("planes", F.lit(0)))
+    photos = df.withColumn("hashes", F.array(F.when(~flat, whole), F.when(~flat, middle)))
+    h = {x.id: x.hashes for x in photos.collect()}
+
+    def prepared(p):
+        p = np.asarray(p).reshape(64, 64)
+        if p.std() < 6:
+            return None
+        z = (p - p.mean()) / p.std()
+        return np.array([[z[max(0, i - 1) : i + 2, max(0, j - 1) : j + 2].mean() for j in range(64)] for i in range(64)])
+
+    for level, (most, mad, block) in S.LEVELS.items():
+        want = set()
+        for i in range(len(rows)):
+            for j in range(i + 1, len(rows)):
+                four = sorted(((h[i][a] ^ h[j][b]) & (2**64 - 1)).bit_count() * 100 + a * 10 + b for a in (0, 1) for b in (0, 1) if h[i][a] is not None and h[j][b] is not None)
+                if not four or four[0] // 100 > most or abs(np.log(rows[i][1] / 300) - np.log(rows[j][1] / 300)) > 0.12:
+                    continue
+                x, y = prepared(rows[i][3][four[0] // 10 % 10]), prepared(rows[j][3][four[0] % 10])
+                d = np.abs(x - y)
+                if d.mean() <= mad and max(d[a : a + 8, b : b + 8].mean() for a in range(0, 64, 8) for b in range(0, 64, 8)) <= block:
+                    want.add((i, j, min(99, round(100 * max(0, 1 - d.mean() / 1.13)))))
+        got = {tuple(x) for x in S.verified_photos(S.photo_pairs(photos, most), photos, level).collect()}
+        assert got == want and len(want) >= 3, level
+
+
+def test_videos_match_in_order(spark):
+    r = np.random.default_rng(6)
+    frames = [np.kron(r.integers(0, 200, (16, 16)), np.ones((4, 4))) for _ in range(24)]
+
+    def video(i, which):
+        which = list(which)
+        return i, [None if k is None else int(r.integers(0, 2**63)) if k < 0 else hashes[k] for k in which], [None if k is None else frames[abs(k)].ravel().tolist() for k in which]
+
+    hashes = [x.h for x in spark.createDataFrame([(k, f.ravel().tolist()) for k, f in enumerate(frames)], "k int, p array<double>").orderBy("k").select(values.phash("p").alias("h")).collect()]
+    rows = [video(0, range(12)), video(1, range(12)), video(2, [0, 1, 2, 3, *range(12, 20)]), video(3, reversed(range(12))), video(4, [0, 1, 2, None, None, None, None, None, None, None, None, None]), video(5, [12, *range(11)])]
+    v = spark.createDataFrame(rows, "id long, hashes array<long>, planes array<array<double>>")
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 6)], "a long, b long")
+    assert {(x.b, x.similarity) for x in S.verified_videos(pairs, v).collect()} == {(1, 99), (5, 99)}
+
+
+def test_archives_broken_nested_and_hostile(spark):
+    import gzip
+    import io
+    import tarfile
+    import zipfile
+
+    from cairn.sources import archives as A
+
+    def zipped(**files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for k, v in files.items():
+                z.writestr(k, v)
+        return out.getvalue()
+
+    tar = io.BytesIO()
+    with tarfile.open(fileobj=tar, mode="w") as t:
+        link = tarfile.TarInfo("l")
+        link.type, link.linkname = tarfile.SYMTYPE, "/etc"
+        t.addfile(link)
+        one = tarfile.TarInfo("C:/x")
+        one.size = 3
+        t.addfile(one, io.BytesIO(b"abc"))
+    deep = zipped(**{"1.zip": zipped(**{"2.zip": zipped(**{"3.zip": zipped(**{"4.zip": zipped(x="y")})})})})
+    zeros = zipped(big=b"\0" * (150 << 20))
+    rows = [("deep.zip", deep), ("t.tar", tar.getvalue()), ("t.tgz", gzip.compress(tar.getvalue())), ("cut.zip", deep[:-30]), ("cut.gz", gzip.compress(b"x" * 1000)[:-12]), ("zeros.zip", zeros), ("none.txt", b"hello"), ("null", None)]
+    entries = A.entries(spark.createDataFrame(rows, "path string, content binary")).persist()
+    got = {r.archive: r for r in X.archive_report(entries).collect()}
+    assert {k: r.codes for k, r in got.items()} == {
+        "deep.zip": ["archive-nesting"], "t.tar": ["archive-absolute", "archive-symlinks"], "t.tgz": ["archive-absolute", "archive-symlinks"], "cut.zip": ["archive-partial"], "cut.gz": ["archive-partial"], "zeros.zip": ["archive-ratio"],
+    }
+    assert max(r.depth for r in entries.collect()) == A.MAX_DEPTH and got["t.tgz"].entries == 2 and got["zeros.zip"].bytes == 150 << 20
+    entries.unpersist()
+
+
+def test_webm_probe(spark):
+    from cairn.operators import media as V
+
+    el = lambda key, body: bytes.fromhex(key) + bytes([0x40 | len(body) >> 8, len(body) & 255]) + body
+    track = el("AE", el("83", b"\1") + el("86", b"V_VP9") + el("E0", el("B0", b"\2\x80") + el("BA", b"\1\x68")))
+    segment = el("1549A966", el("2AD7B1", b"\x0f\x42\x40") + el("4489", __import__("struct").pack(">d", 1500.0))) + el("1654AE6B", track)
+    raw = el("1A45DFA3", el("4282", b"webm")) + bytes.fromhex("18538067") + b"\x01" + b"\xff" * 7 + segment
+    rows = [("a.webm", raw), ("b.webm", raw[:30]), ("c.txt", b"x"), ("d.mp4", b"\0\0\0\x18ftypisom")]
+    df = C.described(spark.createDataFrame(rows, "path string, content binary"))
+    got = {r.path: (r.container, r.video_status, r.video, r.w, r.h, r.duration_ms) for r in V.probe(df).collect()}
+    assert got["a.webm"] == ("WebM", "playable", "V_VP9", 640, 360, 1500) and got["b.webm"][1] == got["c.txt"][1] == got["d.mp4"][1] == "damaged" and got["c.txt"][0] is None
+
+
+def test_saved_catalogs_and_snapshots(spark, tmp_path):
+    f = files(spark, ["a/x", "b"])
+    C.save(f, str(tmp_path / "c"), "/root1")
+    assert names(C.load(spark, str(tmp_path / "c"), "/root1").orderBy("path")) == ["a/x", "b"] and C.load(spark, str(tmp_path / "c"), "/other").count() == 0
+    s = I.Snapshots(spark, str(tmp_path / "s"))
+    items = spark.createDataFrame([("a", 1, "x")], "rel string, size long, sha256 string")
+    s.save("zz", items)
+    s.save("aa", items)
+    assert [r.snapshot_id for r in s.all().collect()] == ["aa", "zz"] and s.delete("zz") and not s.delete("zz") and [r.snapshot_id for r in s.all().collect()] == ["aa"]
+
+
+def test_drags_and_orders(spark):
+    from cairn.operators import selection as L
+
+    some = spark.createDataFrame([("a",), ("b",)], "id string")
+    assert {tuple(r) for r in L.dragged(some, "b").collect()} == {("a", False), ("b", False)} and [tuple(r) for r in L.dragged(some, "c").collect()] == [("c", True)]
+    assert L.sort_of("largest", ("name", False)) == ("size", True) and L.sort_of("name", ("type", True)) == ("type", True)
+    listing = spark.createDataFrame([(i, c) for i, c in enumerate("abcde")], "pos long, id string")
+    ids = lambda df: sorted(r.id for r in df.collect())
+    assert ids(L.span(listing, "d", "b")) == ["b", "c", "d"] and ids(L.span(listing, "gone", "b")) == ["b"] and ids(L.span(listing, "a", "gone")) == []
+    assert ids(L.click(some, listing, "e")) == ["e"] and ids(L.click(some, listing, "b", toggled=True)) == ["a"] and ids(L.in_order(some, listing)) == ["a", "b"]
+    fav = O.set_favorite(O.set_favorite(spark.createDataFrame([("p",)], "path string"), "q", True), "p", False)
+    assert names(fav) == ["q"]
