@@ -35,6 +35,52 @@ def test_scripts_narrow_languages():
     assert [m.langs[s] for s in state] in (["ru", "ru", "el"], ["en", "ru", "el"])
 
 
+def test_labels_same_as_plain_python(spark):
+    """Words, trigrams, scripts and the best path, letter by letter and without arrays over texts."""
+    import math
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    model = L.fit(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()] + [(-1, "The and кот 漢字 über, l'été!"), (-2, "x"), (-3, None)]
+    got = {r.doc_id: r for r in L.label(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+
+    def slot(a, b, c):
+        return ((((a * 0x9E3779B1) ^ (b * 0x85EBCA77) ^ (c * 0xC2B2AE3D)) % 2**32) * 0x27D4EB2F) % 2**32 >> 16
+
+    for i, t in rows:
+        words, word = [], b""
+        for byte in (t or "").encode() + b" ":
+            if byte >= 0x80 or chr(byte).isalpha():
+                word += bytes([byte + 32 if 0x41 <= byte <= 0x5A else byte])
+            elif word:
+                words.append(word)
+                word = b""
+        best = [0.0] * len(model.langs)
+        back = []
+        for n, w in enumerate(words):
+            padded = b" " + w + b" "
+            score = [sum(float(model.logs[slot(*padded[k : k + 3]), j]) for k in range(len(w))) for j in range(len(model.langs))]
+            scripts = {int(L._SCRIPT[np.searchsorted(L._FIRST, min(ord(c), 0x2000) if ord(c) > 0xFFFF else ord(c), side="right") - 1]) for c in w.decode("utf-8", "replace") if ord(c) > 127} - {0}
+            for s in scripts:
+                if model.has[s].any():
+                    score = [x if model.has[s][j] else x - 1e4 for j, x in enumerate(score)]
+            top = max(range(len(best)), key=best.__getitem__)
+            jump = best[top] - (L.SWITCH if n else 0)
+            back.append([j if best[j] >= jump else top for j in range(len(best))])
+            best = [max(best[j], jump) + score[j] for j in range(len(best))]
+        path, state = [], max(range(len(best)), key=best.__getitem__)
+        for b in reversed(back):
+            path.append(state)
+            state = b[state]
+        letters = [0] * len(best)
+        for w, state in zip(words, reversed(path), strict=True):
+            letters[state] += len([x for x in w if chr(x).isalpha() and x < 128 or x >= 0xC2])
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+        else:
+            assert got[i].lang_pred == model.langs[max(range(len(best)), key=letters.__getitem__)] and math.isclose(got[i].score, max(letters) / sum(letters), abs_tol=1e-6), (i, got[i])
+
+
 def test_more_languages_than_a_byte_counts(spark):
     import random
 

@@ -23,5 +23,34 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in found["packing"].collect()} == {r.doc_id for r in found["pii"].collect()}
 
 
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, clashing columns, long texts and no rows at all."""
+    prose = " ".join(f"The word{i} and the thing of it is w{i * 7 % 101}." for i in range(40))
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    rows = [(None, prose + " None here.", "en", 1), (1, prose.replace("word", "term"), "en", 2), (1, prose.replace("word", "term"), "en", 2), (2, None, None, 3), (3, "", None, 4), (4, prose.replace("word", "mail") + " Write to Ann@example.org, please.", None, None), (5, prose.replace("the", "of the") * 60, "de", 6), (6, item + " " + prose.replace("thing", "ding"), "en", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long").selectExpr("doc_id", "text", "lang", "lang AS source", "n_chars", "1 AS kept", "2 AS n_words", "'x' AS component_id", "0 AS rank")
+    for docs in (df, df.limit(0)):
+        left = {}
+        for name, stage in C.STAGES:
+            out = stage(spark, docs, SMALL)
+            left[name] = out.collect()
+            if name != "packing":
+                assert out.columns == docs.columns
+                docs = spark.createDataFrame(left[name], docs.schema)
+            else:
+                assert {r.doc_id for r in left[name]} == {r.doc_id for r in left["pii"]}
+        if left["quality_rules"]:
+            assert sorted((r.doc_id or 0) for r in left["quality_rules"]) == [0, 1, 1, 4, 6] and not any(item in r.text for r in left["decontamination"])
+            assert not any("Ann@example.org" in r.text for r in left["pii"]) and all(r.n_chars == len(r.text) for r in left["pii"])
+
+
+def test_run_is_the_stages_one_after_another(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    for _, stage in C.STAGES:
+        docs = stage(spark, docs, SMALL)
+    piece = lambda df: sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in df.collect())
+    assert piece(C.run(spark, SMALL)) == piece(docs)
+
+
 def test_run(spark):
     assert C.run(spark, SMALL).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]

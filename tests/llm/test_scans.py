@@ -56,6 +56,28 @@ def test_many_notices_take_linear_time():
     assert took[1] < 24 * took[0] + 0.5
 
 
+def test_license_labels_by_hand(spark):
+    """Labels and scores by looking for each phrase at each word."""
+    phrases = list({**{p: (v, 0.98) for p, v in L.BASE.items()}, **L.MORE}.items())
+    texts = [". ".join([p.title(), "and", *[q.upper() for q, _ in phrases[k + 1 : k + 3]]]) for k, (p, _) in enumerate(phrases)]
+    texts += ["GNU General Public License, version 3; gnu general-public license", "SPDX-License-Identifier: (MIT OR BSD-2-Clause) AND ISC", "x " * 200_000 + "All rights reserved", "allrightsreserved", ""]
+    docs = dict(map(tuple, spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect())) | {-1 - k: t for k, t in enumerate(texts)}
+    for r in L.find(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect():
+        w = words(docs[r.doc_id])
+        line, labels, unsure = f" {' '.join(w)} ", set(), 1.0
+        for p, (label, sure) in phrases:
+            n = sum(w[k : k + len(p.split())] == p.split() for k in range(len(w))) if f" {p} " in line else 0
+            unsure *= (1 - sure) ** n
+            labels |= {label} if n else set()
+        if "SPDX" in (docs[r.doc_id] or "") and r.doc_id < 0:
+            labels |= {"mit", "bsd-2-clause", "isc"}
+            unsure *= 0.01
+            assert r.required == ["isc"] and r.expressions == ["(mit or bsd-2-clause) and isc"]
+        if labels & {"gpl-3", "gpl-2"}:
+            labels.discard("gpl")
+        assert r.labels == ",".join(sorted(labels)) and abs(r.score - round(1 - unsure, 6)) < 2e-6, r
+
+
 def test_license_edges(spark):
     rows = [(1, None), (2, ""), (3, "Under-THE mit  License. under the mit license"), (4, "SPDX-License-Identifier: MIT OR GPL-2.0-only WITH x */"), (3, "the mit license")]
     got = L.find(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, labels string")).collect()
