@@ -1,4 +1,8 @@
-"""From documents to packed sequences: quality rules, one document of each group of near copies, no benchmark passages, no personal data."""
+"""From documents to packed sequences: quality rules, one document of each group of near copies, no benchmark passages, no personal data.
+
+Stages take documents with any further columns, whatever their names, and return them as they are. Null ids count as ids of
+their own; rows that repeat stay as long as their stage does not say otherwise; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +15,28 @@ from cairn.llm import decontaminate, kernel, ngram_join, packing, pii, quality_r
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep: null and empty texts have too few words and go; repeated rows are judged alike."""
     return quality_rules.keep_good(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group that links join."""
+    """One document, that of the smallest id, of each group that links join; documents of no words are in none. Rows equal in id and text are one document."""
     return ngram_join.keep_one(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without spans of test items; those of which such spans cover more than half go."""
+    """Documents without spans of test items; those of which such spans cover more than half go. Texts of no words stay."""
     return decontaminate.remove(docs, kernel.docs_of(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data, under the key that spark.cairn.pii.key names (else a public one, for trials)."""
+    """Documents with surrogates for personal data (texts without any, null ones too, stay as they are), under the key that spark.cairn.pii.key names (else a public one, for trials)."""
     out = pii.replace(docs, spark.conf.get("spark.cairn.pii.key", pii.QUERY_KEY))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece's place in sequences of 4096 tokens."""
+    """Each piece's place in sequences of 4096 tokens; a text of no words is one piece, its end id."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
