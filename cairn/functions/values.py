@@ -142,6 +142,53 @@ def fnv1a(s: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else f"{v:016x}" for x, v in zip(s, out, strict=True)])
 
 
+def scoped_id(prefix: str, root: Column | str, rel: Column | str) -> Column:
+    """An id that tells by its first letter which results it belongs to, and by the rest which file of which root."""
+    return F.concat(F.lit(prefix), fnv1a(F.concat(_c(root), F.lit("\0"), _c(rel))))
+
+
+def has_exif(content: Column | str) -> Column:
+    """Whether the first 256 KiB hold ``Exif`` and two zero bytes, or ``Exif`` after four bytes or more."""
+    head = F.substring(_c(content), 1, 262_144)
+    return F.coalesce(F.contains(head, F.lit(b"Exif\0\0")) | F.contains(F.substring(head, 5, 262_144), F.lit(b"Exif")), F.lit(False))
+
+
+@F.pandas_udf(StructType().add("mean", DoubleType()).add("changed", DoubleType()))
+def pixel_difference(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Of two arrays of red, green and blue bytes: the mean difference of pixels, and the share that differ by more than 24."""
+    rows = []
+    for x, y in zip(a, b, strict=True):
+        d = np.abs(np.asarray(x, np.float64) - np.asarray(y, np.float64)).reshape(-1, 3).mean(1)
+        rows.append((d.mean(), (d > 24).mean()) if len(d) else (0.0, 0.0))
+    return pd.DataFrame(rows, columns=["mean", "changed"])
+
+
+def _triangle(n: int, side: int = 64) -> np.ndarray:
+    """[side, n] weights that scale n samples to ``side`` with a triangle as wide as the step."""
+    step = max(n / side, 1.0)
+    centre = (np.arange(side) + 0.5) * n / side
+    w = np.maximum(0, 1 - np.abs((np.arange(n)[None] + 0.5 - centre[:, None]) / step))
+    return w / w.sum(1, keepdims=True)
+
+
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def grey_planes(width: pd.Series, height: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+    """Two 64 x 64 grey planes of a decoded image (rows of blue, green, red and perhaps alpha, as Spark's image reader gives them): the
+    whole, and the central 90 %. Transparent parts lie over white; null for what is no image."""
+    out = []
+    for w, h, n, raw in zip(width, height, channels, data, strict=True):
+        if raw is None or not w or not h or w <= 0 or h <= 0:
+            out.append(None)
+            continue
+        p = np.frombuffer(raw, np.uint8).reshape(h, w, n).astype(np.float64)
+        grey = p[..., 0] if n == 1 else p[..., 2] * 0.299 + p[..., 1] * 0.587 + p[..., 0] * 0.114
+        if n == 4:
+            grey = grey * p[..., 3] / 255 + 255 - p[..., 3]
+        y, x = h // 20, w // 20
+        out.append([np.rint(_triangle(g.shape[0]) @ g @ _triangle(g.shape[1]).T).ravel().tolist() for g in (grey, grey[y : h - y, x : w - x])])
+    return pd.Series(out)
+
+
 def _planes(s: pd.Series, side: int = 64) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64).reshape(side, side) for x in s]) if len(s) else np.zeros((0, side, side))
 

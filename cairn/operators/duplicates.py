@@ -44,6 +44,27 @@ def groups(files: DataFrame) -> DataFrame:
     return g.withColumn("recoverable", F.col("size") * (F.col("members") - 1))
 
 
+#: The kinds of files that an analysis option takes.
+ANALYSED = {"images": ["photo", "gif"], "videos": ["video"], "documents": ["document"], "audio": ["audio"], "other": ["other"]}
+
+
+def of_options(files: DataFrame, options: list[str], pairs: DataFrame) -> DataFrame:
+    """Files of the kinds that options name (none: all), and the other half of a still and motion pair of which one is taken."""
+    if not options:
+        return files
+    wanted = [k for o in options for k in ANALYSED.get(o, [])]
+    taken = files.where(F.col("kind").isin(wanted))
+    both = pairs.select(F.col("still").alias("path"), F.col("motion").alias("other")).union(pairs.select(F.col("motion").alias("path"), F.col("still").alias("other")))
+    partners = both.join(taken.select("path"), "path", "left_semi").select(F.col("other").alias("path"))
+    return taken.union(files.where(~F.col("kind").isin(wanted)).join(partners, "path", "left_semi").select(*taken.columns))
+
+
+def recoverable(units: DataFrame) -> DataFrame:
+    """(unit, members, recoverable) of units (unit, size, locked: a row for each copy): all copies but the locked ones, or but one."""
+    by = units.groupBy("unit").agg(F.count("*").alias("members"), F.max("size").alias("size"), F.count_if("locked").alias("_locked"))
+    return by.select("unit", "members", (F.col("size") * (F.col("members") - F.greatest("_locked", F.lit(1)))).alias("recoverable"))
+
+
 def members(files: DataFrame) -> DataFrame:
     return files.join(groups(files).select("size", "hash"), ["size", "hash"], "left_semi")
 

@@ -150,6 +150,19 @@ def health(assessed: DataFrame, content: str | None = None, video: str | None =
     return assessed.where("kind IN ('photo', 'gif', 'video', 'audio')").select("path", category.alias("category"), reason.alias("reason")).where("category IS NOT NULL")
 
 
+def health_page(found: DataFrame, catalog: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One page of findings, by path, with what the catalog holds of them; a page is cut first, so it is shorter where the catalog has lost a file."""
+    cut = found.orderBy("path").offset(offset).limit(min(limit, 500))
+    return cut.join(catalog, "path")
+
+
+def preview(files: DataFrame, content: str = "content") -> DataFrame:
+    """Adds preview: the first 256 KiB of what is text by its extension and beginning, else null."""
+    c = F.col(content).cast("binary")
+    head = F.substring(c, 1, kinds.HEAD)
+    return files.withColumn("preview", F.when(kinds.sniff(c, "ext") == "text", F.try_validate_utf8(F.substring(head, F.lit(1), F.octet_length(head) - kinds.open_end(head)).cast("string"))))
+
+
 def archive_findings(entries: DataFrame) -> DataFrame:
     """Per archive: entries, sizes, ratio, deepest nesting, flags, and codes for what looks like a bomb.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def sha256(content: Column | str) -> Column:
@@ -29,6 +29,18 @@ def counts(differences: DataFrame) -> DataFrame:
     return differences.groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Names that a verification lists of each status at most; counts are whole.
+LISTED = 1000
+
+
+def verification(differences: DataFrame, listed: int = LISTED) -> DataFrame:
+    """(status, n, names) of ``diff``: all counted, the first ``listed`` names by order; unchanged ones are only counted."""
+    turn = F.row_number().over(Window.partitionBy("status").orderBy("rel"))
+    first = differences.where("status <> 'unchanged'").withColumn("_n", turn).where(F.col("_n") <= listed)
+    names = first.groupBy("status").agg(F.sort_array(F.collect_list("rel")).alias("names"))
+    return counts(differences).join(names, "status", "left").select("status", "n", F.coalesce("names", F.array().cast("array<string>")).alias("names"))
+
+
 class Snapshots:
     """A folder of snapshots, one partition each; a snapshot is written whole or not at all."""
 

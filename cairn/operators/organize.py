@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths, values
-from ..session import small
+from ..session import numbered, small
 
 KEEP = 200
 
@@ -114,6 +114,11 @@ def set_favorite(favorites: DataFrame, path: str, on: bool) -> DataFrame:
     return left.union(favorites.sparkSession.sql("SELECT :path AS path", {"path": path})) if on else left
 
 
+def listed_tags(tags: DataFrame) -> DataFrame:
+    """Tags (id, name) with rank, by name, case aside."""
+    return numbered(tags.select("id", "name"), [F.lower("name"), F.col("name"), F.col("id")])
+
+
 MAX_TAGS = 500
 
 

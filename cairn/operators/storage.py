@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths, values
+from ..sources.catalog import outside
 
 
 def by_kind(files: DataFrame) -> DataFrame:
@@ -31,7 +32,12 @@ def largest(files: DataFrame, k: int, kind: str | None = None) -> DataFrame:
 
 
 def tiles(files: DataFrame, base: str, top: int = 30) -> DataFrame:
-    """(kind, name, bytes, items): child folders, the largest files of the folder itself, and one tile for the rest."""
+    """(kind, name, bytes, items): child folders, the largest files of the folder itself, and one tile for the rest; with a column
+    boundary, one for what private folders below hold."""
+    if "boundary" in files.columns:
+        hidden = files.where((F.lit(True) if not base else F.startswith(F.col("path"), F.lit(base + "/"))) & (F.col("boundary") > len(base)))
+        shut = hidden.agg(F.sum("size").alias("bytes"), F.count("*").alias("items")).where("items > 0").select(F.lit("private").alias("kind"), F.lit("").alias("name"), "bytes", "items")
+        return tiles(files.where(F.col("boundary") <= len(base)).drop("boundary"), base, top).union(shut)
     rel = F.col("path") if not base else F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
     below = (files if not base else files.where(F.startswith(F.col("path"), F.lit(base + "/")))).withColumn("rel", rel)
     child = below.where(F.contains("rel", F.lit("/"))).groupBy(F.substring_index("rel", "/", 1).alias("name")).agg(F.sum("size").alias("bytes"), F.count("*").alias("items"))
@@ -43,8 +49,10 @@ def tiles(files: DataFrame, base: str, top: int = 30) -> DataFrame:
     return child.select(F.lit("folder").alias("kind"), "name", "bytes", "items").union(shown).union(rest)
 
 
-def empty_folders(folders: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, nested): topmost folders without a file at any depth, and how many empty folders they hold."""
+def empty_folders(folders: DataFrame, files: DataFrame, private: DataFrame | None = None) -> DataFrame:
+    """(path, nested): topmost folders without a file at any depth, and how many empty folders they hold. Folders in ``private`` (path) are left out, but files there count."""
+    if private is not None:
+        folders = outside(folders, private)
     used = files.select(F.explode(paths.ancestors("path")).alias("path")).distinct()
     empty = folders.select("path").join(used, "path", "left_anti")
     top = empty.join(empty.select(F.col("path").alias("parent")), paths.parent_of(empty["path"]) == F.col("parent"), "left_anti")

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from ..operators import browse as B, duplicates as D, findings as X, integrity as I, media as V, organize as O, plan as P, selection as L, similar as S
+from ..functions import values
+from ..operators import browse as B, duplicates as D, findings as X, integrity as I, media as V, organize as O, plan as P, selection as L, similar as S, storage as T
 from ..session import numbered
 from ..sources import archives as A, catalog as C
 from ..sources.catalog import CATALOG_SQL as CAT, of_documents, table
@@ -306,3 +307,68 @@ def video_probes(spark, d):
     return V.probe(rows).select("doc_id", "video_status", "video", "w", "duration_ms")
 
 
+
+
+# ---- further options
+
+
+@query(f"""WITH {CAT}, b AS (SELECT doc_id, encode('r' || doc_id % 3 || chr(0) || path) AS raw FROM catalog), l AS (SELECT doc_id, list_transform(range(0, octet_length(raw)), lambda i: ('0x' || substr(hex(raw), (2 * i + 1)::INT, 2))::HUGEINT) AS bytes FROM b)
+SELECT doc_id, 'x' || lower(lpad(to_hex(list_reduce(bytes, lambda h, x: xor(h, x) * 1099511628211::HUGEINT % 18446744073709551616::HUGEINT, 14695981039346656037::HUGEINT)::UBIGINT), 16, '0')) AS id FROM l""")
+def scoped_ids(spark, d):
+    return of_documents(spark, d).select("doc_id", values.scoped_id("x", F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")), "path").alias("id"))
+
+
+@query(f"WITH {CAT} SELECT doc_id FROM catalog WHERE kind IN ('photo', 'gif', 'audio') OR (doc_id % 7 = 2 AND doc_id % 2 = 0)")
+def analysed_kinds(spark, d):
+    c = of_documents(spark, d)
+    half = c.where("doc_id % 7 = 2 AND doc_id % 2 = 0").select("doc_id", F.col("path").alias("motion"))
+    photos = c.where("kind = 'photo'").groupBy("kind").agg(F.min("path").alias("still")).select("still")
+    return D.of_options(c, ["images", "audio"], half.join(F.broadcast(photos)).select("still", "motion")).select("doc_id")
+
+
+@query("SELECT sha256(text) AS unit, count(*) AS members, strlen(text) * (count(*) - greatest(count(*) FILTER (doc_id % 3 = 0), 1)) AS recoverable FROM documents WHERE strlen(text) > 0 GROUP BY text HAVING count(*) > 1")
+def locked_recoverable(spark, d):
+    m = D.members(D.hashed(of_documents(spark, d), "text"))
+    return D.recoverable(m.select(F.col("hash").alias("unit"), "size", (F.col("doc_id") % 3 == 0).alias("locked")))
+
+
+@query(f"WITH {CAT}, f AS (SELECT path, doc_id, row_number() OVER (ORDER BY path) AS n FROM catalog WHERE doc_id % 2 = 0) SELECT path, doc_id FROM f WHERE n BETWEEN 21 AND 70 AND doc_id % 3 > 0")
+def health_pages(spark, d):
+    c = of_documents(spark, d)
+    return X.health_page(c.where("doc_id % 2 = 0").select("path"), c.where("doc_id % 3 > 0").select("path", "doc_id"), 20, 50)
+
+
+@query("WITH b AS (SELECT doc_id, doc_id::VARCHAR AS rel, doc_id % 10 AS r FROM documents), x AS (SELECT rel, CASE WHEN r = 3 THEN 'added' WHEN r = 4 THEN 'missing' WHEN r = 7 THEN 'unreadable' WHEN r = 5 THEN 'changed' ELSE 'unchanged' END AS status FROM b), n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY rel) AS k FROM x) SELECT status, count(*) AS n, coalesce(string_agg(rel, ',' ORDER BY rel) FILTER (status <> 'unchanged' AND k <= 5), '') AS names FROM n GROUP BY status")
+def verification_report(spark, d):
+    from .queries import _snapshots
+
+    return I.verification(I.diff(*_snapshots(spark, d)), 5).withColumn("names", F.array_join("names", ","))
+
+
+@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN lower(n_name) ELSE n_name END AS name, row_number() OVER (ORDER BY lower(n_name)) AS rank FROM nation")
+def tags_listed(spark, d):
+    n = table(spark, d, "nation")
+    return O.listed_tags(n.select(F.col("n_nationkey").alias("id"), F.when(F.col("n_nationkey") % 2 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("name")))
+
+
+@query("SELECT 'e' || i AS path, CASE WHEN i % 3 = 1 THEN 0 ELSE 2 END AS nested FROM range(20) t(i) WHERE i % 3 < 2")
+def empty_public_folders(spark, d):
+    k = F.col("id")
+    made = spark.range(20).select(k, F.explode(F.array(*[F.concat(F.lit("e"), k.cast("string"), F.lit(s)) for s in ("", "/a", "/a/b")])).alias("path"))
+    private = made.where("(id % 3 = 1 AND path LIKE '%/a') OR (id % 3 = 2 AND path NOT LIKE '%/%')").select("path")
+    return T.empty_folders(made.select("path"), of_documents(spark, d), private)
+
+
+@query(f"""WITH {CAT}, x AS (SELECT path[6:] AS rel, size FROM catalog WHERE path LIKE 'src3/%') SELECT 'folder' AS kind, split_part(rel, '/', 1) AS name, sum(size)::BIGINT AS bytes, count(*) AS items FROM x WHERE NOT starts_with(rel, 'en/') GROUP BY 2 UNION ALL SELECT 'private', '', sum(size)::BIGINT, count(*) FROM x WHERE starts_with(rel, 'en/') HAVING count(*) > 0""")
+def treemap_private(spark, d):
+    return T.tiles(B.boundaries(of_documents(spark, d), _paths(spark, ["src3/en", "src4"], "folder")), "src3", 10)
+
+
+@query("SELECT doc_id, doc_id % 3 = 0 OR doc_id % 5 = 0 AS exif, CASE WHEN doc_id % 2 = 0 THEN left(text, 262144) END AS preview FROM documents")
+def content_previews(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.when(k % 2 == 0, "txt").otherwise("bin").alias("ext"))
+    mark = F.when(k % 3 == 0, F.lit(b"Exif\0\0")).when(k % 5 == 0, F.lit(b"\xff\xd8\xff\xe1Exif")).when(k % 7 == 0, F.lit(b"Exif")).otherwise(F.lit(b""))
+    rest = F.when(k % 3 == 0, F.lit(b"x")).when(k % 5 == 0, F.lit(b"x")).when(k % 7 == 0, F.lit(b"x")).otherwise(F.lit(b"plain"))
+    found = X.preview(rows.withColumn("content", F.col("text").cast("binary")))
+    return found.select("doc_id", values.has_exif(F.concat(mark, rest)).alias("exif"), "preview")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import shared_dir
@@ -72,3 +73,40 @@ def reduced(events: DataFrame) -> DataFrame:
         yield pd.DataFrame({"item": [key[0]], "decision": [done[-1] if done else None], "moves": [len(done)]})
 
     return events.groupBy("item").applyInPandasWithState(step, "item long, decision string, moves long", "done string", "update", "NoTimeout")
+
+
+class Progress(StreamingQueryListener):
+    """Keeps the rows that streams have read, by query: what a progress bar shows."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        self.rows.setdefault(str(event.id), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        self.ended.add(str(event.id))
+
+
+def publish(rows: DataFrame, path: str, generation: int) -> bool:
+    """Write a generation of results unless a later one is there already; whether it was written."""
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    known = [int(s.getPath().getName().partition("=")[2]) for s in fs.listStatus(folder) if "=" in s.getPath().getName()] if fs.exists(folder) else []
+    if known and max(known) >= generation:
+        return False
+    rows.write.parquet(f"{path}/generation={generation}")
+    return True
+
+
+def published(spark: SparkSession, path: str) -> DataFrame:
+    """The latest generation."""
+    rows = spark.read.parquet(path)
+    latest = rows.select(F.max("generation")).first()[0]
+    return rows.where(F.col("generation") == latest).drop("generation")

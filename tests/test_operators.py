@@ -478,3 +478,44 @@ def test_drags_and_orders(spark):
     assert ids(L.click(some, listing, "e")) == ["e"] and ids(L.click(some, listing, "b", toggled=True)) == ["a"] and ids(L.in_order(some, listing)) == ["a", "b"]
     fav = O.set_favorite(O.set_favorite(spark.createDataFrame([("p",)], "path string"), "q", True), "p", False)
     assert names(fav) == ["q"]
+
+
+def test_grey_planes_of_a_decoded_image(spark, tmp_path):
+    import struct
+    import zlib
+
+    def chunk(kind, body):
+        return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+
+    h, w = 100, 160
+    pixels = np.zeros((h, w, 3), np.uint8)
+    pixels[:, : w // 2] = (255, 0, 0)
+    pixels[:, w // 2 :] = (0, 0, 255)
+    raw = b"".join(b"\0" + pixels[y].tobytes() for y in range(h))
+    (tmp_path / "a.png").write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
+    image = spark.read.format("image").load(str(tmp_path)).select("image.*")
+    whole, middle = (np.array(p).reshape(64, 64) for p in image.select(values.grey_planes("width", "height", "nChannels", "data").alias("p")).first().p)
+    assert abs(whole[:, :31].mean() - 255 * 0.299) < 1 and abs(whole[:, 33:].mean() - 255 * 0.114) < 1 and middle.shape == (64, 64)
+    clear = spark.createDataFrame([(2, 1, 4, bytes([0, 0, 0, 0, 0, 0, 0, 255])), (0, 0, 0, None)], "w int, h int, n int, d binary")
+    got = clear.select(values.grey_planes("w", "h", "n", "d").alias("p")).collect()
+    assert got[0].p[0][0] > 200 and got[0].p[0][63] < 50 and got[1].p is None
+    d = spark.createDataFrame([([0, 0, 0, 10, 10, 10], [0, 0, 0, 40, 40, 40])], "a array<int>, b array<int>").select(values.pixel_difference("a", "b").alias("d")).first().d
+    assert (d["mean"], d.changed) == (15.0, 0.5)
+
+
+def test_progress_and_generations(spark, tmp_path):
+    import time
+
+    df = spark.range(50).selectExpr("id", "id % 3 AS k")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = J.Progress()
+    spark.streams.addListener(seen)
+    assert J.collected(J.totals(J.source(spark, df, str(tmp_path / "in")), "k"), "complete").count() == 3
+    for _ in range(50):
+        if seen.ended and sum(seen.rows.values()) == 50:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(seen)
+    assert sum(seen.rows.values()) == 50 and len(seen.ended) == 1
+    assert J.publish(df, str(tmp_path / "out"), 2) and not J.publish(df, str(tmp_path / "out"), 1) and J.publish(df.limit(7), str(tmp_path / "out"), 3)
+    assert J.published(spark, str(tmp_path / "out")).count() == 7
