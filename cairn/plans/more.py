@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions import values
-from ..operators import browse as B, duplicates as D, findings as X, integrity as I, media as V, organize as O, plan as P, selection as L, similar as S, storage as T
+from ..operators import browse as B, duplicates as D, findings as X, integrity as I, media as V, metadata as M, organize as O, plan as P, selection as L, similar as S, storage as T
 from ..session import numbered
 from ..sources import archives as A, catalog as C
 from ..sources.catalog import CATALOG_SQL as CAT, of_documents, table
@@ -372,3 +372,16 @@ def content_previews(spark, d):
     rest = F.when(k % 3 == 0, F.lit(b"x")).when(k % 5 == 0, F.lit(b"x")).when(k % 7 == 0, F.lit(b"x")).otherwise(F.lit(b"plain"))
     found = X.preview(rows.withColumn("content", F.col("text").cast("binary")))
     return found.select("doc_id", values.has_exif(F.concat(mark, rest)).alias("exif"), "preview")
+
+
+@query("""WITH k AS (SELECT doc_id, doc_id % 2 = 0 AS person, doc_id % 3 = 0 AS place, doc_id % 5 = 0 AS device, doc_id % 7 = 0 AS png FROM documents) SELECT doc_id, concat_ws(',', CASE WHEN device THEN 'device' END, CASE WHEN place THEN 'location' END, CASE WHEN person THEN 'person' END, CASE WHEN png THEN 'software' END) AS categories,
+(CASE WHEN person THEN 1 ELSE 0 END + CASE WHEN place THEN 2 ELSE 0 END + CASE WHEN device THEN 1 ELSE 0 END + CASE WHEN png THEN 1 ELSE 0 END)::INT AS fields, CASE WHEN place THEN round(doc_id % 80 + 0.5, 5)::DOUBLE END AS lat, CASE WHEN place THEN round(-(doc_id % 170 + 0.25), 5)::DOUBLE END AS lon FROM k WHERE person OR place OR device OR png""")
+def sensitive_metadata(spark, d):
+    k = F.col("doc_id")
+    some = lambda n, text: F.when(k % n == 0, text).otherwise(F.lit(""))
+    place = F.concat(F.format_string(' exif:GPSLatitude="%d,30.0N" exif:GPSLongitude="%d,15,0W"', k % 80, k % 170))
+    packet = F.concat(F.lit('<x:xmpmeta xmlns:x="adobe:ns:meta/"><rdf:RDF xmlns:rdf="r"><rdf:Description xmlns:dc="d"'), some(3, place), some(5, F.lit(' tiff:Model="M1"')), F.lit(">"), some(2, F.lit("<dc:creator><rdf:Seq><rdf:li>Ann</rdf:li></rdf:Seq></dc:creator>")), F.lit("<dc:other> </dc:other></rdf:Description></rdf:RDF></x:xmpmeta>"))
+    png = F.when(k % 7 == 0, F.unhex(F.lit("89504E470D0A1A0A0000000A74455874" + b"Software\0x".hex() + "00000000"))).otherwise(F.lit(b"\xff\xfe"))
+    rows = table(spark, d, "documents").select("doc_id", F.concat(png, packet.cast("binary"), F.lit(b"\xff\0tail")).alias("content"))
+    found = M.sensitive(M.extract(rows)).withColumn("at", M.position("fields"))
+    return found.select("doc_id", F.array_join("categories", ",").alias("categories"), F.size("fields").alias("fields"), F.round("at.lat", 5).alias("lat"), F.round("at.lon", 5).alias("lon"))
