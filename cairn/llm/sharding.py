@@ -9,14 +9,15 @@ own rows alone. The directory is never collected and joins rows by prefix.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from . import kernel as K
 
 BITS = 60
-#: Bits beyond those of an even split that the first round counts, and bits that each further round adds.
-SPARE, STEP = 3, 8
+#: Bits beyond those of an even split that the first round counts, bits that each further round adds, and levels of the tree summed at once.
+SPARE, STEP, LEVELS = 3, 8, 6
 
 
 def _hash(key: str, text: str) -> F.Column:
@@ -28,8 +29,14 @@ def _hash(key: str, text: str) -> F.Column:
 def _leaves(rows: DataFrame, base: int, depth: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """For rows whose buckets at ``base`` bits are too large (or all, at 0): slots (prefix of ``depth`` bits, leaf), and the prefixes to split further."""
     sums = rows.groupBy(F.shiftright("h", BITS - depth).alias("p")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
-    each = sums.select(F.explode(F.sequence(F.lit(base), F.lit(depth))).alias("d"), "p", "b", "n")
-    tree = K.cut(each.groupBy("d", F.expr(f"shiftright(p, {depth} - d)").alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n")))
+    # From the longest prefixes up, a few levels at a time: what a step sums is 2 ** LEVELS times fewer rows than the step below.
+    low, levels, first = depth, [], depth
+    while not levels or low > base:
+        high, low = low, max(base, low - LEVELS)
+        each = sums.select(F.explode(F.sequence(F.lit(low), F.lit(first))).alias("d"), "p", "b", "n")
+        levels.append(K.cut(each.groupBy("d", F.expr(f"shiftright(p, {high} - d)").alias("p")).agg(F.sum("b").alias("b"), F.sum("n").alias("n"))))
+        sums, first = levels[-1].where(F.col("d") == low).select("p", "b", "n"), low - 1
+    tree = reduce(DataFrame.union, levels)
     full = tree.where(F.col("b") > limit)
     last = depth == BITS
     fits = tree.where(F.lit(last) & (F.col("d") == depth) | (F.col("b") <= limit))
