@@ -12,7 +12,8 @@ tied to the smallest of them there; then each batch sends a token once, with tha
 the batches' nodes to one, and a bucket emits a tree of its nodes, not pairs. (4) Nodes in one component under every order form
 a cell; only nodes of one cell can be linked. (5) A cell is searched breadth first: a node's candidates share a prefix token
 under each order, have a fitting size and are not reached yet; they are verified by counting common tokens. So a group of
-copies costs a verification per member, not per pair. Large cells are split into blocks that meet in pairs of blocks.
+copies costs a verification per member, not per pair. Large cells are split into blocks; all meet the first, and what is not in
+one component then meets all.
 Shuffles carry packed arrays (about 6 bytes a token); joins on a node, root or cell broadcast the right rows of hot keys.
 """
 
@@ -387,12 +388,7 @@ def node_components(docs: DataFrame, of: DataFrame, text: str = "text", k: int =
     sums = weighed.groupBy("cell").agg(F.sum("w").alias("w"), F.count("*").alias("m")).where("m > 1")
     sums = K.cut(sums.select("cell", F.ceil(F.col("w") / (BUCKET // 2)).alias("blocks")))
     groups = max(1, int((weighed.select(F.sum("w")).first()[0] or 0) / BUCKET) * 2)
-    placed = K.spread_join(weighed, sums, ["cell"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks"))
-    # A cell of one block shares a group with others; in a larger one, each two blocks meet in a group of their own.
-    meets = F.when(F.col("blocks") == 1, F.array(F.pmod("cell", F.lit(groups)).cast("string"))).otherwise(
-        F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.concat_ws("/", F.col("cell"), F.least("i", j), F.greatest("i", j)))
-    )
-    placed = placed.select("node", "cell", F.explode(F.array_distinct(meets)).alias("place"))
+    placed = K.cut(K.spread_join(weighed, sums, ["cell"]).withColumn("i", F.pmod(F.xxhash64("node"), "blocks")))
 
     def links(table: pa.Table) -> pa.Table:
         table = table.sort_by("cell")
@@ -400,8 +396,27 @@ def node_components(docs: DataFrame, of: DataFrame, text: str = "text", k: int =
         out = [x for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b - a > 1 for x in search(table.slice(a, b - a).to_pylist(), num, den)]
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    edges = placed.join(nodes, "node").groupBy("place").applyInArrow(links, "a long, b long")
-    return components(edges)
+    def found_in(places: DataFrame) -> DataFrame:
+        return K.cut(places.join(nodes, "node").groupBy("place").applyInArrow(links, "a long, b long"))
+
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    at = lambda *c: F.concat_ws("/", "cell", *c)
+    # A cell of one block shares a group with others; of a larger one, each block meets the first.
+    shared = placed.where("blocks = 1").select("node", "cell", F.pmod("cell", F.lit(groups)).cast("string").alias("place"))
+    large = placed.where("blocks > 1")
+    first = large.select("node", "cell", F.explode(F.when(F.col("i") == 0, F.transform(F.filter(upto("blocks"), lambda j: j > 0), lambda j: at(j))).otherwise(F.array(at("i")))).alias("place"))
+    edges = found_in(shared.union(first))
+    if large.isEmpty():
+        return components(edges)
+    # What one component of a cell holds by now, as a group of near copies does, need not meet itself; all others meet the whole cell.
+    known = K.cut(large.join(components(edges).select(F.col("v").alias("node"), "root"), "node", "left").withColumn("root", F.coalesce("root", "node")))
+    main = known.groupBy("cell", "root").agg(F.count("*").alias("n")).groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
+    told = K.cut(K.spread_join(known, main, ["cell"]).withColumn("other", F.col("root") != F.col("main")))
+    rest = told.where("other").groupBy("cell").agg(F.ceil(F.sum("w") / (BUCKET // 2)).alias("parts"))
+    both = K.spread_join(told, rest, ["cell"]).withColumn("j", F.pmod(F.xxhash64("node", F.lit(1)), "parts"))
+    across = F.transform(upto("parts"), lambda j: at(j, F.col("i")))
+    along = F.when(F.col("other"), F.transform(upto("blocks"), lambda i: at(F.col("j"), i))).otherwise(F.array().cast("array<string>"))
+    return components(edges.union(found_in(both.select("node", "cell", F.explode(F.array_union(across, along)).alias("place")))))
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = SHINGLE, num: int = 3, den: int = 4) -> DataFrame:
