@@ -161,7 +161,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
         return {key: batch.column(0)} | out
 
     kind = docs.schema[key].dataType.simpleString()
-    return K.map_batches(docs, [key, text], f"{key} {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>", each)
+    return K.map_batches(docs, [key, text], f"`{key}` {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<int>", each)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 10, coverage: float = 0.5) -> DataFrame:

@@ -215,7 +215,7 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 pred[d], score[d], runs[d] = "und", 0.0, []
         return {key: batch.column(0), "lang_pred": pred, "score": score, "spans": [[{"first": a, "last": b, "lang": c} for a, b, c in r] for r in runs]}
 
-    return K.map_batches(docs, [key, text], f"{key} {kind}, lang_pred string, score double, spans array<struct<first: int, last: int, lang: string>>", each)
+    return K.map_batches(docs, [key, text], f"`{key}` {kind}, lang_pred string, score double, spans array<struct<first: int, last: int, lang: string>>", each)
 
 
 def _has_letter(text: str) -> bool:

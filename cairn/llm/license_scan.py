@@ -191,7 +191,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
         return {key: batch.column(0)} | dict(zip(("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "required"), map(list, cols), strict=True))
 
-    return K.map_batches(docs, [key, text], f"{key} {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, required array<string>", each)
+    return K.map_batches(docs, [key, text], f"`{key}` {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, required array<string>", each)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

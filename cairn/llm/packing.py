@@ -183,7 +183,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(made[0])), *map(pa.array, made[1:]), pa.array(np.full(made.shape[1], part, np.int64))], names)
 
     names = [key, "start", "length", "ids_crc32", "doc_tokens", "rank", "part"]
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, part long")
+    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, rank long, part long")
 
 
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -205,7 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text
         return {c: batch.column(c) for c in batch.schema.names[:5]} | {"sequence_id": at[:, 2] + rank - at[:, 1], "offset": at[:, 3]}
 
     kind = docs.schema[key].dataType.simpleString()
-    return K.map_batches(ranked, ranked.columns, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", place)
+    return K.map_batches(ranked, ranked.columns, f"`{key}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", place)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -246,7 +246,7 @@ def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", te
             out["cut_at"].append(at)
         return {key: batch.column(0)} | out
 
-    return K.map_batches(docs, [key, text], f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_at long", each)
+    return K.map_batches(docs, [key, text], f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean, cut_at long", each)
 
 
 def truncate(docs: DataFrame, ranks: str, budget: int, text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from cairn.llm import packing as K, token_counts as T
@@ -141,3 +142,14 @@ def test_packing_edges(spark, word_bpe):
     twice = K.pack(df.union(df), path, size=16)
     assert twice.count() == 2 * K.pack(df, path, size=16).count() and twice.select("sequence_id", "offset").distinct().count() == twice.count()
     assert K.pack(df.limit(0), path).count() == 0
+
+
+def test_keys_of_any_name(spark):
+    from cairn.llm import decontaminate, language_id, license_scan, ngram_join, quality_rules
+
+    df = spark.createDataFrame([(7, "one two three four five six")], "`my id` long, text string")
+    for made in (
+        K.pack(df, public_tokenizers.path("word_bpe_49k.json"), key="my id"), T.count(df, public_tokenizers.path("byte_bpe_50k.tiktoken"), key="my id"), license_scan.find(df, key="my id"), ngram_join.join(df, key="my id"),
+        language_id.label(df, language_id.Model({"en": ["one two"]}), key="my id"), decontaminate.scan(df, df.select(F.col("my id").alias("item_id"), "text"), key="my id"), quality_rules.assess(df),
+    ):
+        assert [r["my id"] for r in made.collect()] == [7]
