@@ -139,7 +139,7 @@ def map_batches(df: DataFrame, columns: list[str], schema: str | StructType, eac
     kind = to_arrow_schema(schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in tidied(batches):
             made = each(batch)
             for x in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([x[f.name] if isinstance(x[f.name], pa.Array) else pa.array(x[f.name], f.type) for f in kind], schema=kind)
@@ -147,6 +147,13 @@ def map_batches(df: DataFrame, columns: list[str], schema: str | StructType, eac
     return df.select(*columns).mapInArrow(run, schema)
 
 
+def tidied(batches: Iterator) -> Iterator:
+    """The batches; when they end, a worker that waits for its next task gives back what it no longer uses."""
+    yield from batches
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 def row_bytes(spark: SparkSession, at_most: int = 16 << 20) -> None:
     """Arrow batches of text end at so many bytes, however long single texts are."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(at_most))
@@ -156,4 +163,4 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "row_bytes", "shared_dir", "shingles", "spread_join", "windows", "words"]
+__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "row_bytes", "shared_dir", "shingles", "spread_join", "tidied", "windows", "words"]

@@ -166,7 +166,7 @@ def _scattered(docs: DataFrame, text: str, k: int, bits: int, hot: tuple[np.ndar
 
     def scatter(batches):
         often, times = held_hot.value
-        for batch in batches:
+        for batch in K.tidied(batches):
             n, node, doc, token = _node_sets(batch.column(0), k)
             keep = _first_of_each(node)[doc]
             doc, token = doc[keep], token[keep]
@@ -290,7 +290,7 @@ def _tied(nodes: DataFrame) -> DataFrame:
     shift = BITS - bits
 
     def scatter(batches):
-        for batch in batches:
+        for batch in K.tidied(batches):
             owners: list[list] = [[] for _ in range(ORDERS)]
             tokens: list[list] = [[] for _ in range(ORDERS)]
             for row in batch.to_pylist():

@@ -170,7 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def run(batches):
         held, ranks, part = encoder(tokenizer), np.zeros(size + 1, np.int64), TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in K.tidied(batches):
             rows: list[tuple] = []
             for i, ids in enumerate(held.encode([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()])):
                 ids += end
