@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, license_scan, ngram_join, packing, pii, quality_rules, secrets, sharding, token_counts
+from . import decontaminate, language_id, license_scan, ngram_join, packing, pii, quality_rules, search, secrets, sharding, token_counts
 
 
 def queries() -> dict:
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op8_secret_scan": secrets.query,
         "op9_packing": packing.query,
         "op10_decontamination": decontaminate.query,
+        "op13_ranked_search": search.query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op3_sharding": sharding.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
+    sql = {"op3_sharding": sharding.SQL, "op13_ranked_search": search.SQL, "pipeline": corpus_pipeline.ORACLE_SQL}
     return {k: v for k, v in sql.items() if v}
