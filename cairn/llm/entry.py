@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, license_scan, ngram_join, packing, periodic, pii, quality_rules, search, secrets, sharding, token_counts
+from . import decontaminate, language_id, license_scan, ngram_join, packing, periodic, pii, quality_rules, repeats, search, secrets, sharding, token_counts
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_secret_scan": secrets.query,
         "op9_packing": packing.query,
         "op10_decontamination": decontaminate.query,
+        "op11_suffix_dedup": repeats.query,
         "op12_periodic_runs": periodic.query,
         "op13_ranked_search": search.query,
         "pipeline": corpus_pipeline.run,
