@@ -594,6 +594,6 @@ def stream_sessions(spark, d):
 
 
 # The other modules of this package register theirs.
-from . import more as more_queries, values as value_queries  # noqa: E402
+from . import media as media_queries, more as more_queries, values as value_queries  # noqa: E402
 
-__all__ = ["QUERIES", "SQL", "more_queries", "small", "value_queries"]
+__all__ = ["QUERIES", "SQL", "media_queries", "more_queries", "small", "value_queries"]
