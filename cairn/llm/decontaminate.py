@@ -151,7 +151,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
     def each(batch: pa.RecordBatch) -> dict:
         a, out = held.value, {x: [] for x in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")}
-        for t in batch.column(1).to_pylist():
+        for t in K.texts(batch.column(1)):
             words = split(t)
             spans, items = a.match(words)
             hit = sum(y - x for x, y in spans)
@@ -177,7 +177,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
 
     def each(batch: pa.RecordBatch) -> dict:
         keep, texts = [], []
-        for t in batch.column(text).to_pylist():
+        for t in K.texts(batch.column(text)):
             words = split(t)
             spans, _ = held.value.match(words)
             keep.append(sum(y - x for x, y in spans) <= coverage * len(words))

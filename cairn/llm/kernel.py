@@ -133,6 +133,14 @@ def shingles(h: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return doc, full
 
 
+def texts(column: pa.Array) -> list[str | None]:
+    """The column's strings; bytes that are not UTF-8 become U+FFFD, nulls stay."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if t is None else t.decode("utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
 def map_batches(df: DataFrame, columns: list[str], schema: str | StructType, each: Callable[[pa.RecordBatch], dict | Iterator[dict]]) -> DataFrame:
     """``each`` makes columns (name: values) from a batch of ``columns``, or several such; run by Arrow batch in Python workers."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
@@ -163,4 +171,4 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "row_bytes", "shared_dir", "shingles", "spread_join", "tidied", "windows", "words"]
+__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "row_bytes", "shared_dir", "shingles", "spread_join", "texts", "tidied", "windows", "words"]

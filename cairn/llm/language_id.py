@@ -210,7 +210,7 @@ def label(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
                 runs[i + d].append((a - int(of[d]), b - int(of[d]), m.langs[state[a]]))
             for d in np.flatnonzero(by.sum(1) > 0).tolist():
                 pred[i + d], score[i + d] = m.langs[int(by[d].argmax())], round(float(by[d].max() / by[d].sum()), 6)
-        for d, t in enumerate(texts.to_pylist()):
+        for d, t in enumerate(K.texts(texts)):
             if pred[d] != "und" and not _has_letter(t):
                 pred[d], score[d], runs[d] = "und", 0.0, []
         return {key: batch.column(0), "lang_pred": pred, "score": score, "spans": [[{"first": a, "last": b, "lang": c} for a, b, c in r] for r in runs]}

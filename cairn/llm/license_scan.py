@@ -187,7 +187,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     def each(batch: pa.RecordBatch) -> dict:
         if not made:
             made.append(automaton())
-        rows = [scan(t, made[0]) for t in batch.column(1).to_pylist()]
+        rows = [scan(t, made[0]) for t in K.texts(batch.column(1))]
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
         return {key: batch.column(0)} | dict(zip(("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "expressions", "required"), map(list, cols), strict=True))
 

@@ -54,17 +54,17 @@ class Encoder:
         self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if w.isalpha() or (not w.isascii() and _as_it_is(w.decode()))]
+        plain = [w for w in words if (w.isalpha() and w.islower()) or (not w.isascii() and _as_it_is(_text(w)))]
         self._learn_joined(self.plain, plain)
         left = [w for w in words if w not in self.seen]
-        self._learn_joined(self.lib, [w for w in left if not w.isascii() and w.decode().isalpha()])
+        self._learn_joined(self.lib, [w for w in left if not w.isascii() and _text(w).isalpha()])
         self._learn_each([w for w in left if w not in self.seen])
 
     def _learn_joined(self, lib, words: list[bytes]) -> None:
         """Each word of letters is one pre-token, or at least one: if a line of them has as many ends as words, each end is a word's."""
         for at in range(0, len(words), JOINED):
             line = words[at : at + JOINED]
-            ids = np.array(lib.encode_batch_fast([b" ".join(line).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(lib.encode_batch_fast([_text(b" ".join(line))], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(line):
                 raw, a = ids.tobytes(), 0
@@ -75,7 +75,7 @@ class Encoder:
     def _learn_each(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 10_000):
             part = words[at : at + 10_000]
-            for w, e in zip(part, self.lib.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.lib.encode_batch_fast([_text(w) for w in part], add_special_tokens=False), strict=True):
                 self.seen[w] = array("I", e.ids).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -111,6 +111,10 @@ class Encoder:
         return [b"".join(map(self.seen.__getitem__, ws)) for ws in words]
 
 
+def _text(word: bytes) -> str:
+    return word.decode("utf-8", "replace")
+
+
 def _as_it_is(word: str) -> bool:
     """Whether a word of Latin, Greek or Cyrillic letters is composed and lower case."""
     return word.isalpha() and max(word) < "\u0500" and word.lower() == word and unicodedata.is_normalized("NFC", word)
@@ -189,7 +193,8 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 def pack(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
     """Every piece with its sequence and the offset there.
 
-    An empty table gives none; null and empty texts are their end id alone; repeated rows are packed each.
+    An empty table gives none; null and empty texts are their end id alone; repeated rows are packed each; bytes that are not UTF-8
+    count as U+FFFD. Of other columns none is returned.
     """
     made = K.cut(pieces(docs, tokenizer, key, text, size))
     counts = made.groupBy("length", "part").count()

@@ -238,7 +238,7 @@ def count(docs: DataFrame, ranks: str, limit: int = 512, key: str = "doc_id", te
     def each(batch: pa.RecordBatch) -> dict:
         held = counter(ranks)
         out: dict = {"n_bytes": [], "n_tokens": [], "over_limit": [], "cut_at": []}
-        texts = [t or "" for t in batch.column(1).to_pylist()]
+        texts = [t or "" for t in K.texts(batch.column(1))]
         for t, (n, at) in zip(texts, held.measure_all(texts, limit), strict=True):
             out["n_bytes"].append(len(t.encode()))
             out["n_tokens"].append(n)
@@ -254,7 +254,7 @@ def truncate(docs: DataFrame, ranks: str, budget: int, text: str = "text") -> Da
     K.row_bytes(docs.sparkSession)
 
     def each(batch: pa.RecordBatch) -> dict:
-        return {c: [None if t is None else counter(ranks).truncate(t, budget) for t in batch.column(c).to_pylist()] if c == text else batch.column(c) for c in batch.schema.names}
+        return {c: [None if t is None else counter(ranks).truncate(t, budget) for t in K.texts(batch.column(c))] if c == text else batch.column(c) for c in batch.schema.names}
 
     return K.map_batches(docs, docs.columns, docs.schema, each)
 
