@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import paths
+from ..session import cut
+from ..sources import ranges
 
 #: Folder names that count against or for a copy, and their weights.
 TEMPORARY = ["downloads", "download", "tmp", "temp", "cache", "caches", "trash", "recycle bin", "$recycle.bin"]
@@ -38,6 +40,17 @@ def hashed(files: DataFrame, content: str) -> DataFrame:
     return first.join(parts, ["size", "part"], "left_semi").drop("part").withColumn("hash", F.sha2(F.col(content).cast("binary"), 256))
 
 
+def hashed_on_disk(files: DataFrame, root: str) -> DataFrame:
+    """``hashed`` for files below ``root`` (path, size), with part_bytes: those of a repeated size are read in three windows, those of
+    equal windows whole; files of up to three windows are read once. Files that cannot be read are left out."""
+    first = cut(ranges.windows(repeated_sizes(files), root).withColumnRenamed("bytes_read", "part_bytes").where("part IS NOT NULL"))
+    parts = first.groupBy("size", "part").count().where("count > 1").select("size", "part")
+    again = first.join(parts, ["size", "part"], "left_semi")
+    short = F.col("size") <= 3 * PART
+    whole = ranges.whole_hash(again.where(~short).drop("part"), root)
+    return whole.where("hash IS NOT NULL").unionByName(again.where(short).withColumnRenamed("part", "hash"))
+
+
 def groups(files: DataFrame) -> DataFrame:
     """(size, hash, members, recoverable) of copies; ``files`` has size and hash."""
     g = files.groupBy("size", "hash").agg(F.count("*").alias("members")).where("members > 1")

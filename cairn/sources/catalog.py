@@ -6,12 +6,13 @@ import os
 import stat
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import kinds, paths
-from ..session import small
+from ..session import cut, small
 
 MAX_DEPTH = 64
 SCAN_SCHEMA = "path string, is_dir boolean, size long, modified_ms long, created_ms long, dev long, ino long, links int, link string"
@@ -57,67 +58,60 @@ def of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return described(table(spark, sf_dir, "pages").select("page_id", path.alias("path"), F.octet_length("html").cast("long").alias("size")))
 
 
-def walk(root: str, top: str = "") -> Iterator[tuple]:
-    """Files, folders and links: with ``top`` "" those directly in ``root``, else all below its folder ``top``. Links are listed and
-    never followed, other file systems are left out."""
-    device = os.stat(root).st_dev
-    if top and os.lstat(os.path.join(root, top)).st_dev != device:
+#: Folders that a task lists, and rows of a batch.
+FOLDERS, ROWS = 256, 10_000
+
+
+def entries(root: str, folder: str, device: int) -> Iterator[tuple]:
+    """Files, folders and links directly in ``folder`` below ``root``. Links are listed and never followed, other file systems are left out."""
+    try:
+        found = os.scandir(os.path.join(root, folder))
+    except OSError:
         return
-    todo = [(top, 1 if top else 0)]
-    while todo:
-        rel, depth = todo.pop()
-        try:
-            entries = sorted(os.scandir(os.path.join(root, rel)), key=lambda e: e.name)
-        except OSError:
-            continue
-        for e in entries:
+    with found:
+        for e in found:
             if e.name.startswith("."):
                 continue
-            path = f"{rel}/{e.name}" if rel else e.name
-            s = e.stat(follow_symlinks=False)
-            if stat.S_ISLNK(s.st_mode):
-                yield path, False, 0, s.st_mtime_ns // 1_000_000, None, s.st_dev, s.st_ino, s.st_nlink, os.readlink(e.path)
+            path = f"{folder}/{e.name}" if folder else e.name
+            try:
+                s = e.stat(follow_symlinks=False)
+                link = os.readlink(e.path) if stat.S_ISLNK(s.st_mode) else None
+            except OSError:  # it has gone meanwhile
+                continue
+            known = None, s.st_dev, s.st_ino, s.st_nlink, link
+            if link is not None:
+                yield path, False, 0, s.st_mtime_ns // 1_000_000, *known
             elif stat.S_ISDIR(s.st_mode) and s.st_dev == device:
-                yield path, True, 0, s.st_mtime_ns // 1_000_000, None, s.st_dev, s.st_ino, s.st_nlink, None
-                if top and depth + 1 < MAX_DEPTH:
-                    todo.append((path, depth + 1))
+                yield path, True, 0, s.st_mtime_ns // 1_000_000, *known
             elif stat.S_ISREG(s.st_mode):
-                yield path, False, s.st_size, s.st_mtime_ns // 1_000_000, None, s.st_dev, s.st_ino, s.st_nlink, None
-
-
-class TreeSource(DataSource):
-    """``spark.read.format("cairn_tree").load(root)``: the tree below a folder that all executors see, a partition for each folder in it."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "cairn_tree"
-
-    def schema(self) -> str:
-        return SCAN_SCHEMA
-
-    def reader(self, schema):  # noqa: ANN001, ANN201
-        return TreeReader(self.options["path"])
+                yield path, False, s.st_size, s.st_mtime_ns // 1_000_000, *known
 
 
-class TreeReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root = root
+def tree(spark: SparkSession, root: str) -> DataFrame:
+    """The tree below a folder that driver and executors see, level by level: each round lists the folders that the last one found,
+    dealt evenly by their paths, and is written before the next; a wide folder's folders are listed by all tasks. A task that is
+    lost lists its own folders again. At most MAX_DEPTH levels."""
+    names, device = SCAN_SCHEMA.replace(",", "").split()[::2], os.stat(root).st_dev
 
-    def partitions(self) -> list[InputPartition]:
-        """The root's own entries, and each folder in it with all below."""
-        return [InputPartition(""), *(InputPartition(e.name) for e in sorted(os.scandir(self.root), key=lambda e: e.name) if e.is_dir(follow_symlinks=False) and not e.name.startswith("."))]
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = (x for folder in pdf["path"] for x in entries(root, folder, device))
+            while rows := list(islice(found, ROWS)):
+                yield pd.DataFrame(rows, columns=names)
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return walk(self.root, top=partition.value)
+    folders, rounds = spark.createDataFrame([("",)], "path string"), []
+    while len(rounds) < MAX_DEPTH and (n := folders.count()):
+        rounds.append(cut(folders.repartition(-(-n // FOLDERS), "path").mapInPandas(listed, SCAN_SCHEMA)))
+        folders = rounds[-1].where("is_dir").select("path")
+    return reduce(DataFrame.union, rounds)
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The tree below a folder without hidden, package, system and junk entries; executors walk it, folder by folder."""
-    spark.dataSource.register(TreeSource)
+    """The tree below a folder without hidden, package, system and junk entries."""
     shown = paths.listable(F.when(F.col("is_dir"), F.concat("path", F.lit("/x"))).otherwise(F.col("path")))
-    rows = spark.read.format("cairn_tree").load(root).where(shown)
     kind = F.when(F.col("link").isNotNull(), "link").when(F.col("is_dir"), "folder").otherwise(F.col("kind"))
-    return described(rows).withColumn("kind", kind).withColumn("link_outside", F.coalesce(paths.link_escapes("path", F.col("link")), F.lit(False)))
+    rows = described(tree(spark, root).where(shown)).withColumn("kind", kind)
+    return rows.withColumn("link_outside", F.coalesce(paths.link_escapes("path", F.col("link")), F.lit(False)))
 
 
 def contents(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
