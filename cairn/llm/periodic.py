@@ -165,6 +165,8 @@ def repetitions(ids: np.ndarray) -> np.ndarray:
 def _covered(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[start, end) of the stretches of words that windows of HALF words cover which recur in their text."""
     whole = np.flatnonzero(np.arange(len(h)) + HALF <= at[1:][doc])
+    if not len(whole):
+        return whole, whole
     key = K.mix(K.windows(h, HALF)[whole] + doc[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(key)
     same = np.concatenate([[False], key[order][1:] == key[order][:-1], [False]])
@@ -173,7 +175,7 @@ def _covered(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray
     np.add.at(cover, again, 1)
     np.add.at(cover, again + HALF, -1)
     inside = np.cumsum(cover[:-1]) > 0
-    joined = np.concatenate([[False], inside[1:] & inside[:-1] & (doc[1:] == doc[:-1]), [False]])[: len(h) + 1]
+    joined = np.concatenate([[False], inside[1:] & inside[:-1] & (doc[1:] == doc[:-1]), [False]])
     return np.flatnonzero(inside & ~joined[:-1]), np.flatnonzero(inside & ~joined[1:]) + 1
 
 

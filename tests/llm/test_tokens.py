@@ -12,7 +12,7 @@ from cairn.llm import packing as K, token_counts as T
 
 from ..conftest import SMALL
 
-PARTS = ["a", "b", " ", "  ", "\n", "\t", "'", "re", "ve", "ll", "s", "!", "é", "ß", "漢", "1", "23", "<|endoftext|>", "<|endo", " the", "\x1c", "😀", ".", "\r\n", "　", "don't", "we've", "é", "İ", "ΑΣ ", "<|startoftext|>", "<|ENDOFTEXT|>", "word.", "it's,"]
+PARTS = ["a", "b", "The", "QUICK", "Éa", "<|", "|>", "F#", *"#$%&()*+-/:;<=>?@[]^_`{|}~", " ", "  ", "\n", "\t", "'", "re", "ve", "ll", "s", "!", "é", "ß", "漢", "1", "23", "<|endoftext|>", "<|endo", " the", "\x1c", "😀", ".", "\r\n", "　", "don't", "we've", "é", "İ", "ΑΣ ", "<|startoftext|>", "<|ENDOFTEXT|>", "word.", "it's,"]
 
 
 def texts(n, seed):
