@@ -22,8 +22,8 @@ class _Review(StatefulProcessor):
     """Actions: items (a list of ids; again: what there is now), keep or trash (a decision on the current item), undo, go (by ``index``),
     jump (to ``index``), keep_all (marked ones back to keep). ``guarded`` and ``repeat`` go with a decision."""
 
-    def __init__(self, idle_ms: int | None, ttl_ms: int | None):
-        self.idle_ms, self.ttl_ms = idle_ms, ttl_ms
+    def __init__(self, idle_ms: int | None, ttl_ms: int | None, max_steps: int):
+        self.idle_ms, self.ttl_ms, self.max_steps = idle_ms, ttl_ms, max_steps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -84,7 +84,7 @@ class _Review(StatefulProcessor):
             item = items[s["cursor"]]
             self.steps.updateValue((s["next"],), (item, self._decided(item)))
             s["next"] += 1
-            if s["next"] - s["first"] > MAX_STEPS:
+            if s["next"] - s["first"] > self.max_steps:
                 self.steps.removeKey((s["first"],))
                 s["first"] += 1
             self._set(s, item, e.action)
@@ -133,15 +133,15 @@ class _Review(StatefulProcessor):
         return new
 
 
-def reviews(events: DataFrame, idle_ms: int | None = None, ttl_ms: int | None = None) -> DataFrame:
+def reviews(events: DataFrame, idle_ms: int | None = None, ttl_ms: int | None = None, max_steps: int = MAX_STEPS) -> DataFrame:
     """(session, seq, outcome, cursor, kept, marked) for each event of a stream (session, seq, at_ms, action, items, index, guarded, repeat).
 
     Outcomes: the action if it was taken, else why not: finished, repeat, bounce (within BOUNCE_MS of the decision before), protected,
     nothing (to undo), unknown. Events of a batch are taken by at_ms, then seq; those of a later batch come after them. After ``idle_ms`` without an event a session is told as
-    expired and forgotten; ``ttl_ms`` is the longest that any entry of its state is kept. Needs the RocksDB state store.
+    expired and forgotten; ``ttl_ms`` is the longest that any entry of its state is kept; ``max_steps`` can be taken back. Needs the RocksDB state store.
     """
     filled = events.withColumns({"guarded": F.coalesce("guarded", F.lit(False)), "repeat": F.coalesce("repeat", F.lit(False)), "index": F.coalesce("index", F.lit(0))})
-    return filled.groupBy("session").transformWithStateInPandas(_Review(idle_ms, ttl_ms), OUTCOME, "Append", "ProcessingTime" if idle_ms is not None or ttl_ms is not None else "None")
+    return filled.groupBy("session").transformWithStateInPandas(_Review(idle_ms, ttl_ms, max_steps), OUTCOME, "Append", "ProcessingTime" if idle_ms is not None or ttl_ms is not None else "None")
 
 
 @contextmanager
