@@ -137,3 +137,17 @@ def stats(catalog: DataFrame) -> DataFrame:
     kinds = [F.count_if(F.col("kind") == k).alias(f"{k}s") for k in sorted(KINDS)]
     favorite = F.count_if(F.col("favorite")) if "favorite" in catalog.columns else F.lit(0).cast("long")
     return catalog.agg(*kinds, F.count_if(F.col("capture") == 1).alias("screenshots"), F.count_if(F.col("capture") == 2).alias("recordings"), favorite.alias("favorites"), F.sum("size").alias("bytes"))
+
+
+def drive_totals(files: DataFrame, folders: DataFrame, favorites: DataFrame, private: DataFrame) -> DataFrame:
+    """One row of what can be seen from the top: files, folders, links, each kind, captures, favourites among files and folders, bytes.
+    ``favorites`` and ``private``: path; what is in private folders does not count, the folders themselves do."""
+    shown = lambda rows: boundaries(rows, private.select(F.col("path").alias("folder"))).where("boundary = 0")
+    seen, dirs = shown(files).select("path", "kind", "capture", "size"), shown(folders).select("path")
+    loved = seen.select("path").union(dirs).join(small(favorites.select("path").distinct()), "path", "left_semi")
+    row = lambda rows, what: rows.withColumn("what", F.lit(what))
+    every = row(seen, "file").unionByName(row(dirs, "folder"), allowMissingColumns=True).unionByName(row(loved, "favorite"), allowMissingColumns=True)
+    count = lambda on, name: F.count_if(on).alias(name)
+    kinds = [count(F.col("kind") == k, f"{k}s") for k in sorted(KINDS | {"link"})]
+    what = [count(F.col("what") == w, f"{w}s") for w in ("file", "folder", "favorite")]
+    return every.agg(*what, *kinds, count(F.col("capture") == 1, "screenshots"), count(F.col("capture") == 2, "recordings"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"))

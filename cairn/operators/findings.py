@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import LongType, StructType
 
 from ..functions import kinds, paths
+from .browse import boundaries
 
 #: Extensions that run code or install software.
 EXECUTABLE = "app exe scr bat cmd com pif msi msp js jse vbs vbe wsf wsh ps1 psm1 hta cpl jar command sh bash zsh csh tool scpt applescript workflow action pkg mpkg dmg lnk url webloc inetloc terminal py rb pl dll dylib so deb rpm apk appx msix reg inf desktop xll xlam docm xlsm pptm".split()
@@ -193,3 +194,8 @@ def archive_report(entries: DataFrame) -> DataFrame:
         ("archive-entries", "attention", F.col("entries") > 50_000), ("archive-nesting", "attention", F.col("depth") >= 2), ("archive-nested", "info", F.col("depth") == 1), ("archive-encrypted", "info", F.col("encrypted")), ("archive-partial", "info", F.col("partial")),
     ]
     return by.select("archive", "entries", "bytes", "packed", "depth", F.transform(_found(rules), lambda f: f["code"]).alias("codes"))
+
+
+def visible_health(assessed: DataFrame, private: DataFrame, content: str | None = None, video: str | None = None) -> DataFrame:
+    """``health`` of what can be seen from the top: files in private folders (path) are not told."""
+    return health(boundaries(assessed, private.select(F.col("path").alias("folder"))).where("boundary = 0").drop("boundary"), content, video)

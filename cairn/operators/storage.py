@@ -83,5 +83,49 @@ def squarified(tiles_: list[tuple[str, float]], width: float, height: float) ->
     return out
 
 
+def all_tiles(files: DataFrame, top: int = 30) -> DataFrame:
+    """(folder, kind, name, bytes, items) of every folder, "" at the top: its child folders with all below, its ``top`` largest files, and one tile for its other files."""
+    below = rollup(files).where("folder <> ''")
+    child = below.select(paths.parent_of("folder").alias("folder"), F.lit("folder").alias("kind"), paths.name_of("folder").alias("name"), "bytes", F.col("files").alias("items"))
+    own = files.select(paths.parent_of("path").alias("folder"), "path", F.coalesce("size", F.lit(0)).alias("size"))
+    order = Window.partitionBy("folder").orderBy(F.desc("size"), "path")
+    shown = own.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    named = shown.select("folder", F.lit("file").alias("kind"), paths.name_of("path").alias("name"), F.col("size").alias("bytes"), F.lit(1).cast("long").alias("items"))
+    sums = lambda rows, sign: rows.groupBy("folder").agg((sign * F.sum("size")).alias("bytes"), (sign * F.count("*")).alias("items"))
+    rest = sums(own, 1).union(sums(shown, -1)).groupBy("folder").agg(F.sum("bytes").alias("bytes"), F.sum("items").alias("items")).where("items > 0")
+    return child.union(named).union(rest.select("folder", F.lit("rest").alias("kind"), F.lit("").alias("name"), "bytes", "items"))
+
+
+_TILE = "struct<kind: string, name: string, a: double>"
+_RECT = "struct<kind: string, name: string, x: double, y: double, w: double, h: double>"
+
+
+def _laid(s: str) -> str:
+    """SQL: the state ``s`` with its row laid along the shorter side."""
+    before = f"aggregate(slice({s}.row, 1, k), 0D, (n, r) -> n + r.a)"
+    upright = f"transform({s}.row, (i, k) -> named_struct('kind', i.kind, 'name', i.name, 'x', {s}.x, 'y', {s}.y + {before} / ({s}.sum / {s}.h), 'w', {s}.sum / {s}.h, 'h', i.a / ({s}.sum / {s}.h)))"
+    level = f"transform({s}.row, (i, k) -> named_struct('kind', i.kind, 'name', i.name, 'x', {s}.x + {before} / ({s}.sum / {s}.w), 'y', {s}.y, 'w', i.a / ({s}.sum / {s}.w), 'h', {s}.sum / {s}.w))"
+    state = lambda x, y, w, h, rects: f"named_struct('x', {x}, 'y', {y}, 'w', {w}, 'h', {h}, 'sum', 0D, 'max', 0D, 'min', 0D, 'row', cast(array() as array<{_TILE}>), 'out', concat({s}.out, {rects}))"
+    tall, flat = f"{s}.sum / {s}.h", f"{s}.sum / {s}.w"
+    return f"IF({s}.w >= {s}.h, {state(f'{s}.x + {tall}', f'{s}.y', f'{s}.w - {tall}', f'{s}.h', upright)}, {state(f'{s}.x', f'{s}.y + {flat}', f'{s}.w', f'{s}.h - {flat}', level)})"
+
+
+def layouts(tiles_: DataFrame, width: float, height: float) -> DataFrame:
+    """(folder, kind, name, x, y, w, h) of all folders' tiles (folder, kind, name, bytes): rectangles as ``squarified`` lays them, the
+    largest first, ties by kind and name. Each folder's tiles are folded in their order in one expression; those of no bytes have none."""
+    item = F.struct((-F.col("bytes")).alias("b"), "kind", "name")
+    rows = tiles_.where("bytes > 0").groupBy("folder").agg(F.array_sort(F.collect_list(item)).alias("found"), F.sum("bytes").alias("total"))
+    area = width * height
+    rows = rows.withColumn("tiles", F.expr(f"transform(found, f -> named_struct('kind', f.kind, 'name', f.name, 'a', -f.b * {area}D / total))"))
+    worst = lambda side, top, low, total: f"greatest({side} * {side} * {top} / ({total} * {total}), {total} * {total} / ({side} * {side} * {low}))"
+    side = "least(s.w, s.h)"
+    grown = "named_struct('x', {0}.x, 'y', {0}.y, 'w', {0}.w, 'h', {0}.h, 'sum', {0}.sum + i.a, 'max', IF(size({0}.row) = 0, i.a, {0}.max), 'min', i.a, 'row', concat({0}.row, array(i)), 'out', {0}.out)"
+    fits = f"size(s.row) = 0 OR {worst(side, 's.max', 'i.a', '(s.sum + i.a)')} <= {worst(side, 's.max', 's.min', 's.sum')}"
+    begin = f"named_struct('x', 0D, 'y', 0D, 'w', {float(width)}D, 'h', {float(height)}D, 'sum', 0D, 'max', 0D, 'min', 0D, 'row', cast(array() as array<{_TILE}>), 'out', cast(array() as array<{_RECT}>))"
+    step = f"IF({fits}, {grown.format('s')}, transform(array({_laid('s')}), t -> {grown.format('t')})[0])"
+    made = F.expr(f"aggregate(tiles, {begin}, (s, i) -> {step}, s -> {_laid('s')}.out)")
+    return rows.select("folder", F.inline(made))
+
+
 def ranked(files: DataFrame, by: str, *keys) -> DataFrame:
     return files.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*keys)))

@@ -594,6 +594,6 @@ def stream_sessions(spark, d):
 
 
 # The other modules of this package register theirs.
-from . import disk as disk_queries, kept as kept_queries, media as media_queries, more as more_queries, values as value_queries  # noqa: E402
+from . import disk as disk_queries, kept as kept_queries, media as media_queries, more as more_queries, overview as overview_queries, values as value_queries  # noqa: E402
 
-__all__ = ["QUERIES", "SQL", "disk_queries", "kept_queries", "media_queries", "more_queries", "small", "value_queries"]
+__all__ = ["QUERIES", "SQL", "disk_queries", "kept_queries", "media_queries", "more_queries", "overview_queries", "small", "value_queries"]
