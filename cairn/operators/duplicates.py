@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
-from ..session import cut
+from ..session import cut, spread_join
 from ..sources import ranges
 
 #: Folder names that count against or for a copy, and their weights.
@@ -93,10 +93,13 @@ def keep_score() -> Column:
 
 
 def with_keeper(files: DataFrame, by: list[str]) -> DataFrame:
-    """Adds keep: locked members first, then the lowest score, the oldest, the shortest path, the path."""
+    """Adds keep: locked members first, then the lowest score, the oldest, the shortest path, the path (which is unique). The least of
+    each group is found before rows meet, so a hot group's members never come together."""
     locked = F.col("locked") if "locked" in files.columns else F.lit(False)
-    order = [locked.desc(), keep_score(), F.coalesce("created_ms", "modified_ms"), F.octet_length("path"), F.col("path")]
-    return files.withColumn("keep", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) == 1)
+    place = F.struct((~locked).alias("open"), keep_score().alias("score"), F.coalesce("created_ms", "modified_ms").alias("at"), F.octet_length("path").alias("length"), F.col("path").alias("path"))
+    rows = cut(files.withColumn("__place", place))
+    first = rows.groupBy(*by).agg(F.min("__place").alias("__first"))
+    return spread_join(rows, first, by).withColumn("keep", F.col("__place") == F.col("__first")).select(*files.columns, "keep")
 
 
 def reasons(kept: DataFrame, by: list[str]) -> DataFrame:

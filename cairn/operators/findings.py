@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import LongType, StructType
 
 from ..functions import kinds, paths
 from .browse import boundaries
@@ -34,28 +32,30 @@ def name_findings(name: str = "name") -> Column:
     return _found(name_rules(name))
 
 
-@F.pandas_udf(StructType().add("w", LongType()).add("h", LongType()))
-def jpeg_size(heads: pd.Series) -> pd.DataFrame:
-    """Width and height of the first frame that a JPEG's markers lead to; null if they break off."""
-    def one(h: bytes | None) -> tuple[int | None, int | None]:
-        at = 2
-        while h is not None and at + 9 <= len(h) and h[at] == 0xFF:
-            marker, size = h[at + 1], int.from_bytes(h[at + 2 : at + 4])
-            if marker == 0xFF:  # a filler
-                at += 1
-            elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-                return int.from_bytes(h[at + 7 : at + 9]), int.from_bytes(h[at + 5 : at + 7])
-            elif size < 2:
-                break
-            else:
-                at += 2 + size
-        return None, None
+#: Markers of a JPEG that are followed on the way to its size.
+MARKERS = 1024
 
-    return pd.DataFrame([one(h) for h in heads], columns=["w", "h"]).astype("Int64")
+
+def jpeg_size(head: Column) -> Column:
+    """struct<w, h> of the first frame that a JPEG's markers lead to; null if they break off. Each step skips a segment or a filler."""
+    byte = lambda at: F.conv(F.hex(F.substring(head, at.cast("int"), F.lit(1))), 16, 10).cast("long")
+    two = lambda at: F.when(F.length(head) > at, F.conv(F.hex(F.substring(head, at.cast("int"), F.lit(2))), 16, 10).cast("long"))
+    none = F.lit(None).cast("long")
+    state = lambda at, w=none, h=none: F.struct(F.lit(at).cast("long").alias("at") if isinstance(at, int) else at.cast("long").alias("at"), w.alias("w"), h.alias("h"))
+
+    def step(s: Column, _: Column) -> Column:
+        at = s["at"]
+        marker = byte(at + 1)
+        frame = marker.between(0xC0, 0xCF) & ~marker.isin(0xC4, 0xC8, 0xCC)
+        over = at.isNull() | (at + 8 > F.length(head)) | (byte(at) != 0xFF)
+        return F.when(over, F.when(s["w"].isNotNull(), s).otherwise(state(none))).when(marker == 0xFF, state(at + 1)).when(frame, state(none, two(at + 7), two(at + 5))).when(two(at + 2) < 2, state(none)).otherwise(state(at + 2 + two(at + 2)))
+
+    most = F.least(F.lit(MARKERS), F.floor(F.length(head) / 2) + 1).cast("int")
+    return F.when(head.isNotNull(), F.aggregate(F.sequence(F.lit(1), most), state(3), step))
 
 
 def dimensions(content: Column | str, kind: Column) -> Column:
-    """struct<w, h> that png, gif, bmp, webp and jpeg headers declare; null for others. Only JPEG needs Python: its size stands behind markers."""
+    """struct<w, h> that png, gif, bmp, webp and jpeg headers declare; null for others. A JPEG's size stands behind markers."""
     c = F.substring(F.col(content) if isinstance(content, str) else content, 1, kinds.HEAD)
     byte = lambda at: F.conv(F.hex(F.substring(c, at, 1)), 16, 10).cast("long")
     number = lambda at, n, little: sum((byte(at + i) * 256 ** (i if little else n - 1 - i) for i in range(n)), F.lit(0))

@@ -32,7 +32,9 @@ MAX_FIELDS = 24
 def classes_of(text: Column | str) -> Column:
     """The categories that occur in a text, sorted."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.array_sort(F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in TEXT_CLASSES.items()])))
+    # A run without the sign is tried once, not from each of its characters.
+    once = {k: p.replace("[A-Za-z0-9._%+-]+@", "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@") for k, p in TEXT_CLASSES.items()}
+    return F.array_sort(F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(k)) for k, p in once.items()])))
 
 
 def class_of_tag(tag: Column | str) -> Column:

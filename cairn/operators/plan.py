@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import paths, values
+from ..session import cut, spread_join
 
 
 def roll_up(files: DataFrame, selection: DataFrame) -> DataFrame:
@@ -21,13 +22,19 @@ def totals(rolled: DataFrame, folders: int, trash: bool = False) -> DataFrame:
     return t.withColumn("typed", typed & F.lit(not trash))
 
 
+def _with_first(rows: DataFrame, name: F.Column, free: F.Column) -> DataFrame:
+    """Adds _first: the least seq of the free rows of a name. It is found before rows meet, so a hot name's rows never come together."""
+    named = cut(rows.withColumns({"_fold": name, "_free": free}))
+    first = named.where("_free").groupBy("_fold").agg(F.min("seq").alias("_first"))
+    return spread_join(named, first, ["_fold"], "left").drop("_fold", "_free")
+
+
 def transfer(batch: DataFrame, target: DataFrame, fold=values.folded) -> DataFrame:
     """Adds conflict to (seq, name): exists (a file of the target has the name), batch (an earlier one of the batch has it, case
     and accents aside), or null."""
     there = target.select(F.lower("name").alias("_low")).distinct().withColumn("_there", F.lit(True))
-    order = Window.partitionBy(fold("name")).orderBy("seq")
-    rows = batch.withColumn("_n", F.row_number().over(order)).withColumn("_low", F.lower("name")).join(there, "_low", "left")
-    return rows.withColumn("conflict", F.when(F.col("_there"), "exists").when(F.col("_n") > 1, "batch")).drop("_n", "_low", "_there")
+    rows = _with_first(batch.withColumn("_low", F.lower("name")).join(there, "_low", "left"), fold("name"), F.lit(True))
+    return rows.withColumn("conflict", F.when(F.col("_there"), "exists").when(F.col("seq") > F.col("_first"), "batch")).drop("_first", "_low", "_there")
 
 
 def free_names(wanted: DataFrame, taken: DataFrame) -> DataFrame:
@@ -102,8 +109,8 @@ def transfer_plan(batch: DataFrame, files: DataFrame, there: DataFrame, dest: st
     stands = there.select(F.col("name"), F.col("kind").alias("_kind"))
     rows = rows.join(stands, "name", "left")
     free = F.col("blocked").isNull() & F.col("_kind").isNull()
-    turn = Window.partitionBy(values.folded("name"), free).orderBy("seq")
-    rows = rows.withColumn("_turn", F.row_number().over(turn)).withColumn("conflict", F.when(F.col("blocked").isNull(), F.coalesce("_kind", F.when(F.col("_turn") > 1, "batch"))))
+    rows = _with_first(rows, values.folded("name"), free)
+    rows = rows.withColumn("conflict", F.when(F.col("blocked").isNull(), F.coalesce("_kind", F.when(F.col("seq") > F.col("_first"), "batch"))))
     replaceable = F.coalesce(F.col("blocked").isNull() & ~here & (F.col("kind") == "file") & (F.col("_kind") == "file") & F.col("_target").isNull(), F.lit(False))
     crosses = F.coalesce(F.lit(moving) & F.col("blocked").isNull() & (F.col("volume") != volume), F.lit(False))
     rows = rows.withColumn("replaceable", replaceable).withColumn("crosses", crosses)

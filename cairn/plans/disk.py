@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import duplicates as D
-from ..session import shared_dir
+from ..session import temporary
 from ..sources import catalog as C
 from ..sources.catalog import CATALOG_SQL as CAT, of_documents
 from .queries import query
@@ -19,10 +18,10 @@ from .queries import query
 
 def _written(files: DataFrame) -> str:
     """The folder, shared by all executors, below which the files (path, content) have been written."""
-    where = urlparse(shared_dir(files.sparkSession))
+    where = urlparse(temporary(files.sparkSession, "tree"))
     if where.scheme not in ("", "file"):
         raise ValueError("the shared folder must be mounted on all machines")
-    root = f"{where.path}/tree-{uuid.uuid4().hex}"
+    root = where.path
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

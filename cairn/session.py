@@ -41,16 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _file(spark: SparkSession, path: str):  # noqa: ANN202
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), file
+
+
+def temporary(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one; it goes when the driver ends."""
+    path = f"{shared_dir(spark)}/cairn-{name}-{uuid.uuid4().hex}"
+    fs, file = _file(spark, path)
+    fs.mkdirs(file)
+    fs.deleteOnExit(file)  # of what is there
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete what is at a path, now."""
+    fs, file = _file(spark, path)
+    fs.delete(file, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder and read back: recomputation stops here, also after lost executors.
 
     The table goes when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cairn-{uuid.uuid4().hex}"
+    path = f"{temporary(spark, 'cut')}/rows"
     df.write.parquet(path)
-    file = spark._jvm.org.apache.hadoop.fs.Path(path)
-    file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(file)
     return spark.read.schema(df.schema).parquet(path)
 
 

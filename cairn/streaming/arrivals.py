@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
-from ..session import cut, shared_dir, small
+from ..session import cut, small, temporary
 
 #: Names in a listing, which a stream's offset holds; a larger listing is a table of snapshots (``differences``).
 MAX_NAMES = 10_000
@@ -119,4 +118,4 @@ def differences_in(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    return temporary(spark, "arrivals")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import LongType, StructField, StructType
 
-from ..session import shared_dir
+from ..session import temporary
 
 
 def source(spark: SparkSession, like: DataFrame, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -40,7 +39,7 @@ def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Da
     Each batch writes its own folder, so that a batch run again replaces itself. Complete: the last batch's rows; append: all rows;
     update: each of ``keys``' last row.
     """
-    spark, path, batches = stream.sparkSession, f"{shared_dir(stream.sparkSession)}/stream-{uuid.uuid4().hex}", []
+    spark, path, batches = stream.sparkSession, temporary(stream.sparkSession, "stream"), []
 
     def keep(rows: DataFrame, batch: int) -> None:
         rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch}")
