@@ -22,6 +22,10 @@ _OUT, _END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
 #: Titles by gender (f, m, or n: not told).
 TITLES = {"f": "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Doña", "m": "Mr|Herr|Monsieur|Señor|Sr|Don", "n": "Mx|Dr|Prof"}
 _TITLE = f"(?:{'|'.join(TITLES.values())})"
+#: Small words within surnames.
+_OF = "(?:(?:von|van|vom|zu|zur|der|den|dem|de|del|della|di|da|dos|du|la|le|ter|ten|bin|ibn|al|el) )*+"
+#: A part of a name: with hyphens, apostrophes and capitals within, or of a script without case.
+_CASED, _PLAIN = r"[\p{Lu}\p{Lt}][\p{L}\p{M}]*+(?:['’\-][\p{L}][\p{L}\p{M}]*+)*+", r"\p{Lo}[\p{L}\p{M}]*+(?:['’\-][\p{L}][\p{L}\p{M}]*+)*+"
 #: Given names of the surrogates, by gender, and by script and gender; names of other scripts get letters of their script.
 GIVEN = {
     "f": "Alice Clara Diana Elena Frida Greta Helen Irene Julia Klara Laura Maria Nora Olga Paula Rosa Sara Tina Vera Zoe".split(),
@@ -50,12 +54,12 @@ PATTERNS = {
     "phone": r"(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .\-]?[0-9]{2,4}){2,3}|" + _OUT + r"\(?[0-9]{3}\)?[ .\-][0-9]{3}[ .\-][0-9]{4})" + _END,
     "card": _OUT + r"[0-9](?:[ \-]?[0-9]){12,18}" + _END,
     "ssn": _OUT + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
-    "name": _OUT + _TITLE + r"\.? \p{Lu}[\p{Ll}]+(?: \p{Lu}\p{Ll}+)?" + _END,
+    "name": _OUT + _TITLE + rf"\.? (?:{_OF}{_CASED}(?: {_OF}{_CASED})?+|{_PLAIN})" + _END,
 }
 ORDER = ("email", "iban", "ip6", "ip", "ssn", "phone", "card", "name")
 ANY = "|".join(f"(?:{PATTERNS[k]})" for k in ORDER)
 #: Texts without these have no entity; it is cheap to test.
-_MAYBE = rf"[0-9@]|{_OUT}{_TITLE}\.? \p{{Lu}}"
+_MAYBE = rf"[0-9@]|{_OUT}{_TITLE}\.? {_OF}[\p{{Lu}}\p{{Lt}}\p{{Lo}}]"
 _SCRIPTS = (
     ("[a-z]", 97, 26), ("[A-Z]", 65, 26), ("[0-9]", 48, 10), ("[à-öø-ÿß]", 0xE0, 22), ("[À-ÖØ-Þ]", 0xC0, 22), ("[α-ω]", 0x3B1, 17), ("[а-я]", 0x430, 32), ("[А-Я]", 0x410, 32), ("[一-鿿]", 0x4E00, 250),
     (r"[\p{IsLatin}&&\p{Lu}]", 65, 26), (r"\p{IsLatin}", 97, 26), (r"[\p{IsGreek}&&\p{Lu}]", 0x391, 17), (r"\p{IsGreek}", 0x3B1, 17), (r"[\p{IsCyrillic}&&\p{Lu}]", 0x410, 32), (r"\p{IsCyrillic}", 0x430, 32),
@@ -87,28 +91,39 @@ def _gender(m: Column) -> Column:
     return F.when(m.rlike(rf"^(?:{TITLES['f']})\b"), "f").when(m.rlike(rf"^(?:{TITLES['m']})\b"), "m").otherwise("n")
 
 
-def _bytes(key: str) -> str:
+def _bytes(key: str, of: str = "kind, canon, attempt") -> str:
     """SQL: 128 pseudo-random bytes (as hex) of the entity and attempt, by HMAC-SHA-256."""
     raw = key.encode()
     raw = (hashlib.sha256(raw).digest() if len(raw) > 64 else raw).ljust(64, b"\0")
     inner, outer = (bytes(b ^ x for b in raw).hex().upper() for x in (0x36, 0x5C))
-    mac = lambda i: f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', encode(concat_ws('|', kind, canon, attempt, {i}), 'UTF-8')), 256))), 256)"
+    mac = lambda i: f"sha2(concat(X'{outer}', unhex(sha2(concat(X'{inner}', encode(concat_ws('|', {of}, {i}), 'UTF-8')), 256))), 256)"
     return f"concat({', '.join(mac(i) for i in range(4))})"
 
 
-def _char(c: str, i: str) -> str:
+def _char(c: str, i: str, rnd: str) -> str:
     """SQL: a character of the same script and kind as ``c`` from the digest's byte number ``i``."""
-    byte = f"cast(conv(substring(rnd, 2 * pmod({i}, 128) + 1, 2), 16, 10) as int)"
+    byte = f"cast(conv(substring({rnd}, 2 * pmod({i}, 128) + 1, 2), 16, 10) as int)"
     return "CASE " + " ".join(f"WHEN {c} RLIKE r'^{p}$' THEN " + (f"char({a} + {byte} % {n})" if a < 256 else f"decode(unhex(concat('', lpad(hex({a} + {byte} % {n}), 4, '0'))), 'UTF-16BE')") for p, a, n in _SCRIPTS) + f" ELSE {c} END"
 
 
 #: SQL: the given name in a name's canonical form.
 FIRST = "substring_index(substring(canon, 3), ' ', 1)"
+#: SQL: the surname.
+LAST = "substring_index(substring(canon, 3), ' ', -1)"
+
+
+def drawn(entities: DataFrame, key: str) -> DataFrame:
+    """Adds rnd and own to (kind, canon, attempt). Parts of names are drawn on their own, so that a surname is the same with any given
+    name and title; further attempts change the given name, or the surname where there is none."""
+    alone = "instr(substring(canon, 3), ' ') = 0"
+    rnd = f"IF(kind = 'name', {_bytes(key, f'kind, {FIRST}, attempt')}, {_bytes(key)})"
+    own = f"IF(kind = 'name', {_bytes(key, f'kind, {LAST}, IF({alone}, attempt, 0)')}, null)"
+    return entities.withColumn("rnd", F.expr(rnd)).withColumn("own", F.expr(own))
 
 
 def surrogate() -> Column:
-    """The surrogate of (kind, canon) at an attempt, in canonical form; needs the columns attempt and rnd."""
-    mapped = lambda s: f"array_join(transform(split({s}, ''), (c, i) -> {_char('c', 'i')}), '')"
+    """The surrogate of (kind, canon) at an attempt, in canonical form; needs the columns of ``drawn``."""
+    mapped = lambda s, rnd="rnd": f"array_join(transform(split({s}, ''), (c, i) -> {_char('c', 'i', rnd)}), '')"
     octet = lambda i: f"cast(1 + cast(conv(substring(rnd, {4 * i + 1}, 4), 16, 10) as int) % 254 as string)"
     cut, local = "length(canon) - length(substring_index(canon, '.', -1))", "substring_index(canon, '@', 1)"
     luhn = lambda s: f"aggregate(transform(split(reverse({s}), ''), (c, i) -> CASE WHEN i % 2 = 1 THEN array(0,2,4,6,8,1,3,5,7,9)[cast(c as int)] ELSE cast(c as int) END), 0, (a, x) -> a + x) % 10"
@@ -122,14 +137,24 @@ def surrogate() -> Column:
     hexed = f"array_join(transform(split({groups}, ''), (c, i) -> CASE WHEN c = ':' THEN c ELSE substring('0123456789abcdef', 1 + cast(conv(substring(rnd, 2 * pmod(i, 128) + 1, 2), 16, 10) as int) % 16, 1) END), '')"
     # Names and local parts have no fixed length, so their values never run out: repeats of their last letter are mapped too.
     grown = lambda s: f"concat({s}, repeat(coalesce(nullif(regexp_extract({s}, r'([\\p{{L}}\\p{{N}}])[^\\p{{L}}\\p{{N}}]*$', 1), ''), 'a'), greatest(0, attempt - {SAME_LENGTH - 1})))"
-    word = "substring_index(substring(canon, 3), ' ', -1)"
-    given = f"CASE WHEN instr(canon, ' ') > 0 THEN concat({pick}, ' ') ELSE '' END"
+    # Addresses of private networks stay in theirs; others stay public.
+    lead = lambda n: f"substring_index(canon, '.', {n})"
+    private = f"canon RLIKE '^172[.](1[6-9]|2[0-9]|3[01])[.]'"
+    ip = f"CASE WHEN {lead(1)} IN ('10', '127') THEN concat_ws('.', {lead(1)}, {octet(1)}, {octet(2)}, {octet(3)}) WHEN {lead(2)} IN ('192.168', '169.254') OR {private} THEN concat_ws('.', {lead(2)}, {octet(2)}, {octet(3)}) ELSE concat_ws('.', cast(130 + {octet(0)} % 38 as string), {octet(1)}, {octet(2)}, {octet(3)}) END"
+    # An IBAN whose check digits are right gets right ones.
+    digits = lambda s: f"array_join(transform(split({s}, ''), c -> IF(c RLIKE '[A-Z]', cast(ascii(c) - 55 as string), c)), '')"
+    rest = lambda s: f"aggregate(split({digits(s)}, ''), 0, (a, d) -> (a * 10 + cast(d as int)) % 97)"
+    bank = mapped("substring(canon, 5)")
+    iban = f"IF({rest('concat(substring(canon, 5), substring(canon, 1, 4))')} = 1, transform(array({bank}), b -> concat(substring(canon, 1, 2), lpad(cast(98 - {rest(f'concat(b, substring(canon, 1, 2), {chr(39)}00{chr(39)})')} as string), 2, '0'), b))[0], concat(substring(canon, 1, 2), {mapped('substring(canon, 3)')}))"
+    word = f"IF(instr(substring(canon, 3), ' ') > 0, {LAST}, {grown(LAST)})"
+    picked = f"IF(attempt < {SAME_LENGTH}, {pick}, {mapped(grown(FIRST))})"
+    given = f"CASE WHEN instr(canon, ' ') > 0 THEN concat({picked}, ' ') ELSE '' END"
     address = f"concat({grown(local)}, substring(canon, instr(canon, '@'), {cut} - instr(canon, '@') + 1))"
     return F.expr(f"""CASE kind WHEN 'email' THEN concat({mapped(address)}, substring_index(canon, '.', -1))
-        WHEN 'ip6' THEN {hexed} WHEN 'ip' THEN concat_ws('.', {', '.join(octet(i) for i in range(4))}) WHEN 'card' THEN {card}
+        WHEN 'ip6' THEN {hexed} WHEN 'ip' THEN {ip} WHEN 'card' THEN {card}
         WHEN 'phone' THEN concat(substring_index(canon, '/', 1), '/', {mapped("substring_index(canon, '/', -1)")})
-        WHEN 'iban' THEN concat(substring(canon, 1, 2), {mapped('substring(canon, 3)')})
-        WHEN 'name' THEN concat(substring(canon, 1, 2), {given}, {mapped(grown(word))}) ELSE {mapped('canon')} END""")
+        WHEN 'iban' THEN {iban}
+        WHEN 'name' THEN concat(substring(canon, 1, 2), {given}, {mapped(word, 'own')}) ELSE {mapped('canon')} END""")
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
@@ -140,9 +165,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     left, done = K.cut(entities.select("kind", "canon").distinct()), None
     known, attempt, stalled, n = left.select("kind", F.col("canon").alias("sub")), 0, 0, left.count()
     while True:
-        drawn = left.withColumn("attempt", F.lit(attempt)).withColumn("rnd", F.expr(_bytes(key))).select("kind", "canon", surrogate().alias("sub"))
+        made = drawn(left.withColumn("attempt", F.lit(attempt)), key).select("kind", "canon", surrogate().alias("sub"))
         taken = known if done is None else known.union(done.select("kind", "sub"))
-        first = drawn.groupBy("kind", "sub").agg(F.min("canon").alias("canon")).join(taken, ["kind", "sub"], "left_anti")
+        first = made.groupBy("kind", "sub").agg(F.min("canon").alias("canon")).join(taken, ["kind", "sub"], "left_anti")
         good = K.cut(first.select("kind", "canon", "sub"))
         done = good if done is None else done.union(good)
         left = K.cut(left.join(good, ["kind", "canon"], "left_anti"))

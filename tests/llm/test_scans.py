@@ -392,3 +392,37 @@ def df_true():
     from pyspark.sql import functions as F
 
     return F.lit(True)
+
+
+NAMES = [
+    ("Dr Jean-Luc Picard spoke.", ["Jean", "Luc", "Picard"]), ("Mr McDonald came.", ["McDonald", "Donald"]), ("Mrs O'Neil left.", ["Neil"]), ("Dr 김철수 went.", ["김철수"]), ("Herr von Braun kam.", ["Braun"]),
+    ("Prof Anna van der Berg wrote.", ["Anna", "Berg"]), ("Frau Müller-Lüdenscheidt rief.", ["Müller", "scheidt"]), ("Mme D’Arc parla.", ["Arc"]), ("Dr Ñandú Łukasz", ["Ñandú", "Łukasz"]), ("Sra 田中", ["田中"]),
+]
+
+
+def test_names_go_whole(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(NAMES)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in P.replace(df, "key").collect()}
+    for i, (text, parts) in enumerate(NAMES):
+        assert not any(p in got[i] for p in parts), (text, got[i])
+        assert got[i].split()[0] == text.split()[0] and (text[-1] != "." or got[i].split()[-1] == text.split()[-1])
+
+
+def test_a_surname_is_the_same_with_any_title_and_given_name(spark):
+    text = "Dr Anna Smith met Dr Smith, Ms Anna Smith, Mr Bob Smith and Dr Jones."
+    got = P.replace(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").first().text
+    w = re.findall(r"[^\W\d_]+", got)
+    surnames = [w[2], w[5], w[8], w[11]]
+    assert len(set(surnames)) == 1 and w[14] != w[2] and "Smith" not in got and "Jones" not in got and w[10] != w[1]
+
+
+def _mod97(s):
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97
+
+
+def test_ibans_keep_right_check_digits_and_addresses_their_network(spark):
+    rows = ["Pay DE89 3704 0044 0532 0130 00 now", "Pay GB82WEST12345698765432 now", "Pay DE00 3704 0044 0532 0130 00 now", "at 10.0.0.1 up", "at 192.168.7.9 up", "at 172.20.1.2 up", "at 8.8.4.4 up", "at 127.0.0.1 up"]
+    got = {r.doc_id: r.text.split(" ", 1)[1].rsplit(" ", 1)[0] for r in P.replace(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "key").collect()}
+    assert _mod97(got[0]) == _mod97(got[1]) == 1 and got[0][:2] == "DE" and got[1][:2] == "GB" and got[0] != rows[0][4:-4] and got[0][4] == " "
+    assert [got[i].split(".")[0] for i in (3, 4, 5, 7)] == ["10", "192", "172", "127"] and got[4].startswith("192.168.") and got[5].startswith("172.20.") and 130 <= int(got[6].split(".")[0]) < 168
