@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import cut, shared_dir, spread_join
+from ..session import cut, remove, shared_dir, spread_join, temporary
 
 #: Bytes of text handled at once, so that temporary arrays stay small whatever the Arrow batch holds.
 CHUNK = 4 << 20
@@ -171,4 +171,4 @@ def docs_of(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataF
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "row_bytes", "shared_dir", "shingles", "spread_join", "texts", "tidied", "windows", "words"]
+__all__ = ["ALNUM", "CHUNK", "LOWER", "SPACES", "buffers", "chunks", "cut", "docs_of", "hashes", "map_batches", "mix", "remove", "row_bytes", "shared_dir", "shingles", "spread_join", "temporary", "texts", "tidied", "windows", "words"]

@@ -6,8 +6,6 @@ their own; rows that repeat stay as long as their stage does not say otherwise;
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,10 +44,21 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents, each written as Parquet in the shared folder and read again by the next."""
-    docs = kernel.docs_of(spark, sf_dir)
-    for name, stage in STAGES[:-1]:
-        path = f"{kernel.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """All stages over the documents, each written as Parquet in the shared folder and read again by the next.
+
+    A stage's table is deleted once the next is written, and all of them if a stage fails; the last, in which personal data are
+    replaced, goes when the driver ends.
+    """
+    docs, root, last = kernel.docs_of(spark, sf_dir), kernel.temporary(spark, "pipeline"), None
+    try:
+        for name, stage in STAGES[:-1]:
+            path = f"{root}/{name}"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+            if last:
+                kernel.remove(spark, last)
+            last = path
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        kernel.remove(spark, root)
+        raise

@@ -1,3 +1,9 @@
+import os
+import subprocess
+import sys
+
+import pytest
+
 import corpus_pipeline as C
 from cairn.llm import decontaminate, quality_rules
 
@@ -54,3 +60,40 @@ def test_run_is_the_stages_one_after_another(spark):
 
 def test_run(spark):
     assert C.run(spark, SMALL).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def _kept(spark):
+    from pathlib import Path
+
+    return {p for p in Path(C.kernel.shared_dir(spark).removeprefix("file:")).glob("cairn-pipeline-*/*")}
+
+
+def test_only_the_last_stage_is_kept_and_nothing_after_a_failure(spark, monkeypatch):
+    before = _kept(spark)
+    C.run(spark, SMALL).count()
+    assert [p.name for p in _kept(spark) - before] == ["pii"]
+
+    def fails(*_):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(C, "STAGES", [*C.STAGES[:2], ("fails", fails), *C.STAGES[3:]])
+    before = _kept(spark)
+    with pytest.raises(RuntimeError):
+        C.run(spark, SMALL)
+    assert _kept(spark) == before
+
+
+def test_nothing_is_left_when_the_driver_ends(tmp_path):
+    code = f"""
+from cairn.session import session
+from cairn.streaming import jobs
+import corpus_pipeline
+s = session("local[2]", **{{"spark.checkpoint.dir": "{tmp_path}/shared", "spark.sql.shuffle.partitions": "2", "spark.ui.enabled": "false"}})
+docs = s.read.parquet("{SMALL}/documents.parquet").limit(20)
+docs.write.parquet("{tmp_path}/in/documents.parquet")
+s.read.parquet("{SMALL}/benchmark.parquet").write.parquet("{tmp_path}/in/benchmark.parquet")
+corpus_pipeline.run(s, "{tmp_path}/in").count()
+jobs.collected(s.readStream.schema(docs.schema).parquet("{tmp_path}/in/documents.parquet"), "append").count()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(C.__file__), env=os.environ | {"PYTHONPATH": os.path.dirname(C.__file__)}, timeout=240)
+    assert not list((tmp_path / "shared").glob("*/cairn-*")) + list((tmp_path / "shared").glob("cairn-*"))
