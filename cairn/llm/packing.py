@@ -8,33 +8,51 @@ pieces by rank, so no ids are shuffled and no task gathers a length.
 
 from __future__ import annotations
 
+import codecs
 import os
+import re
 import unicodedata
 import zlib
 from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernel as K
 
 SIZE, END = 4096, 2
-#: Bytes of a worker's cache of encoded words, its own about ``ENTRY`` an entry; a full cache is emptied, which costs time and changes nothing.
+#: Bytes of a worker's cache of encoded words, its own about ``ENTRY`` an entry; a full cache keeps only the words at hand, which costs time and changes nothing.
 CACHED, ENTRY = 60_000_000, 200
 #: Bytes of texts whose words are looked up together, and words of letters that go to the library as one line.
-TOGETHER, JOINED = 1 << 20, 1000
+TOGETHER, JOINED = 8 << 20, 1000
+#: Byte-level vocabularies write each byte as one character: these as they are, the others, in order, from U+0100 on; a space parts words here.
+_SHOWN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_OTHERS = [x for x in range(256) if x not in _SHOWN]
+BYTE_LEVEL = "".join(" " if x == 0x20 else chr(x if x in _SHOWN else 0x100 + _OTHERS.index(x)) for x in range(256))
+#: The vocabulary's special strings, which it takes out of a text before all else.
+SPECIAL = re.compile(rb"<\|(?:start|end)oftext\|>")
+#: 1: ASCII letters and digits, 2: ASCII marks, 3: the apostrophe, which may begin a token that ends in letters.
+_KIND = np.array([0 if x <= 0x20 or x >= 0x7F else 1 if chr(x).isalnum() else 3 if x == 0x27 else 2 for x in range(256)], np.uint8)
+#: Pairs of kinds, as 4 * first + second, that no token spans.
+_PARTED = np.isin(np.arange(16), [4 * 1 + 2, 4 * 1 + 3, 4 * 2 + 1])
+#: Two-byte characters, as 256 * first + second, that are letters and whose lower case is.
+_LETTERS = np.zeros(1 << 16, bool)
+_LETTERS[[int.from_bytes(chr(x).encode()) for x in range(0x80, 0x500) if chr(x).isalpha() and chr(x).lower().isalpha()]] = True
 
 
 class Encoder:
     """Ids as little-endian unsigned 32-bit bytes, equal to the library's for the whole text.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what stands on both sides of it, so runs of
-    bytes between ASCII white space are encoded on their own, each distinct one once.
+    The vocabulary's pre-tokenizer drops white space and never joins what stands on both sides of it, nor letters or digits and
+    marks after them. What lies between is encoded on its own. Arrow splits and numbers these words, and gathers the ids in
+    the end; Python sees each distinct one of a group of texts once.
     """
 
     def __init__(self, path: str):
@@ -42,29 +60,29 @@ class Encoder:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
-        #: The same merges for words that normalisation and splitting leave as they are.
+        #: The same merges for words that normalisation and splitting leave as they are, written byte by byte.
         self.plain = Tokenizer.from_file(path)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.lib.get_vocab()
         #: Whether an id ends a pre-token.
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.seen: dict[bytes, bytes] = {}
+        self.seen: dict[bytes, bytes] = {b"": b""}
         self.held = 0
 
     def _learn(self, words: list[bytes]) -> None:
         plain = [w for w in words if (w.isalpha() and w.islower()) or (not w.isascii() and _as_it_is(_text(w)))]
-        self._learn_joined(self.plain, plain)
+        self._learn_joined(self.plain, plain, lambda line: codecs.charmap_decode(line, "strict", BYTE_LEVEL)[0])
         left = [w for w in words if w not in self.seen]
-        self._learn_joined(self.lib, [w for w in left if not w.isascii() and _text(w).isalpha()])
+        self._learn_joined(self.lib, [w for w in left if not w.isascii() and _text(w).isalpha()], _text)
         self._learn_each([w for w in left if w not in self.seen])
 
-    def _learn_joined(self, lib, words: list[bytes]) -> None:
+    def _learn_joined(self, lib, words: list[bytes], text: Callable[[bytes], str]) -> None:
         """Each word of letters is one pre-token, or at least one: if a line of them has as many ends as words, each end is a word's."""
         for at in range(0, len(words), JOINED):
             line = words[at : at + JOINED]
-            ids = np.array(lib.encode_batch_fast([_text(b" ".join(line))], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(lib.encode_batch_fast([text(b" ".join(line))], add_special_tokens=False)[0].ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(line):
                 raw, a = ids.tobytes(), 0
@@ -88,27 +106,48 @@ class Encoder:
             yield from self._encode(texts[at:stop])
             at = stop
 
-    def _encode(self, texts: list[bytes]) -> list[bytes]:
-        # The vocabulary lower-cases all but its special strings.
-        words = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        met = set().union(*words)
-        missing = met.difference(self.seen)
+    def _encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        split = pc.ascii_split_whitespace(_parted(texts))
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.view(pa.large_binary()).to_pylist()
+        self._make_known(words)
+        ids = [self.seen[w] for w in words]
+        n = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)])), pa.array(np.frombuffer(b"".join(ids), "<u4")))
+        made = lists.take(coded.indices).flatten().to_numpy()
+        bounds = np.concatenate([[0], np.cumsum(n[coded.indices.to_numpy()])])[split.offsets.to_numpy()].tolist()
+        for a, b in pairwise(bounds):
+            yield made[a:b].tobytes()
+
+    def _make_known(self, words: list[bytes]) -> None:
         # Ids take no more than four bytes for each byte of their word.
-        cost = lambda new: sum(map(len, new)) * 5 + ENTRY * len(new)
+        cost = lambda some: sum(map(len, some)) * 5 + ENTRY * len(some)
+        missing = [w for w in words if w not in self.seen]
         need = cost(missing)
         if self.held and self.held + need > CACHED:
-            self.seen.clear()
-            self.held, missing = 0, met
-            need = cost(missing)
+            self.seen = {w: self.seen[w] for w in words if w in self.seen} | {b"": b""}
+            self.held = cost(self.seen)
         self.held += need
-        # A letter and the point or comma at the end are never one token's: such words share their stem's ids.
-        ended = [w for w in missing if w[-1] in b".," and w[-2:-1].isalpha()]
-        new = missing.difference(ended)
-        new.update(x for w in ended for x in (w[:-1], w[-1:]) if x not in self.seen)
-        self._learn(list(new))
-        for w in ended:
-            self.seen[w] = self.seen[w[:-1]] + self.seen[w[-1:]]
-        return [b"".join(map(self.seen.__getitem__, ws)) for ws in words]
+        self._learn(missing)
+
+
+def _parted(texts: list[bytes]) -> pa.LargeStringArray:
+    """The texts, A-Z lower-cased as the vocabulary does, with a space between a letter or digit and a mark, but for special strings."""
+    raw = b"\n".join([*texts, b""])
+    data = K.LOWER[np.frombuffer(raw, np.uint8)]
+    kind = _KIND[data]
+    at = np.flatnonzero(_PARTED[kind[:-1] * 4 + kind[1:]])
+    # A wide letter before a mark; its first byte cannot be another text's last, as a line feed lies between.
+    wide = np.flatnonzero((data[:-1] >= 0x80) & (kind[1:] >= 2))
+    wide = wide[wide > 0]
+    at = np.sort(np.concatenate([at, wide[_LETTERS[data[wide - 1].astype(np.int64) << 8 | data[wide]]]])) + 1
+    if b"<|" in raw:
+        spans = np.array([m.span() for m in SPECIAL.finditer(raw)], np.int64).reshape(-1, 2)
+        # Inside a special string one more has begun before the place than has ended by it.
+        at = at[np.searchsorted(spans[:, 0], at, side="left") == np.searchsorted(spans[:, 1], at, side="right")]
+    bounds = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    made = np.insert(data, at, 0x20)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(bounds + np.searchsorted(at, bounds)), pa.py_buffer(made))
 
 
 def _text(word: bytes) -> str:

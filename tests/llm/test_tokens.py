@@ -1,6 +1,7 @@
 import random
 import zlib
 from collections import defaultdict
+from itertools import product
 
 import numpy as np
 import public_tokenizers
@@ -95,6 +96,39 @@ def test_words_learned_together_have_the_librarys_ids(word_bpe, monkeypatch):
         assert list(e.encode([t.encode() for t in lines])) == [np.array(word_bpe(t), "<u4").tobytes() for t in lines]
 
 
+def test_words_reach_the_library_once_whatever_marks_they_have(word_bpe, monkeypatch):
+    stems = ["".join(p) for p in product("abé", "cdü", "efß", "ghñ")]
+    ends = ["", ".", ",", "***", ".###", "!!", ")", "-", "'", "|>", "1."]
+    lines = [" ".join(s + x for s in stems) for x in ends]
+    e, learned = K.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(e, "_learn", lambda words, learn=e._learn: (learned.extend(words), learn(words))[1])
+    assert list(e.encode([t.encode() for t in lines])) == [np.array(word_bpe(t), "<u4").tobytes() for t in lines]
+    assert len(learned) == len(set(learned)) <= 2 * len(stems) + len(ends)
+
+
+def test_a_full_cache_keeps_the_words_at_hand(word_bpe, monkeypatch):
+    common = " ".join(f"common{a}{b}" for a in "abcde" for b in "fghij")
+    lines = [f"{common} " + " ".join(f"rare{c}{a}{b}" for a in "abcde" for b in "fghij") for c in "klmnopqr"]
+    monkeypatch.setattr(K, "TOGETHER", 1)
+    monkeypatch.setattr(K, "CACHED", 14_000)
+    e, learned = K.Encoder(public_tokenizers.path("word_bpe_49k.json")), []
+    monkeypatch.setattr(e, "_learn", lambda words, learn=e._learn: (learned.extend(words), learn(words))[1])
+    assert list(e.encode([t.encode() for t in lines])) == [np.array(word_bpe(t), "<u4").tobytes() for t in lines]
+    assert len(learned) == len(set(learned))  # those of every line are not learned again
+    assert len(e.seen) < 80  # and those of one line went
+
+
+def test_words_are_parted_only_where_the_library_parts_them():
+    lib, e = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), K.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(9)
+    odd = ["x", "Z", "1", "'s", "'LL", "'", "\u0338", "\u0301", "\u0345", "\u0374", "\u0387", "\u037e", "×", "ª", "Ⅸ", "٣", "İ", "ǅ", "ʰ", "ﬁ", "\u212a", "\u0482", "ж", "Σ", "\x00", "\x7f", "\x85", "\xa0", "\u200b", "<|endoftext|>", "<|EndOfText|>", "\x0b"]
+    lines = ["".join(r.choice([*PARTS, *odd]) for _ in range(r.randint(0, 14))).encode() for _ in range(4000)]
+    lines += [bytes(r.choice([r.randrange(256), *b"a.<|\xc3\xa9\xe2"]) for _ in range(r.randint(0, 20))) for _ in range(1000)]
+    lines += [b"a<|endof", b"text|>b", b"", b"\xc3", b"\xa9.", b"<|startoftext|><|endoftext|>the.end"]
+    want = lib.encode_batch([t.decode("utf-8", "replace") for t in lines], add_special_tokens=False)
+    assert list(e.encode(lines)) == [np.array(w.ids, "<u4").tobytes() for w in want]
+
+
 def test_shortest_pack_first():
     r = random.Random(3)
     for _ in range(50):
