@@ -25,6 +25,17 @@ def test_range_pairs_on_a_grid(spark, monkeypatch, hot):
     assert max(c.parts_b for c in cells) > 1 if hot else cells
 
 
+def test_range_pairs_copy_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(S, "MEETINGS", 2_000)
+    r = random.Random(2)
+    rows = [(i, r.randint(630_000, 700_000), 600 + 10 * r.randint(1, 50), 400) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "id long, duration long, w int, h int")
+    a, b, squares = S.range_sides(df, 1.15, 2_000, 0.05)
+    assert 100 < squares <= 2 * S.SQUARES and a.count() + b.count() <= 50 * len(rows)
+    close = lambda x, y: abs(math.log(x[2] / x[3]) - math.log(y[2] / y[3])) <= 0.05
+    assert S.range_pairs(df).count() == sum(close(x, y) for i, x in enumerate(rows) for y in rows[:i])
+
+
 def test_layouts_of_all_folders_are_those_of_each(spark):
     r = random.Random(3)
     f = files(spark, [(f"{'/'.join(r.choice('ab') for _ in range(r.randint(0, 3)))}/f{i}.jpg".lstrip("/"), r.randint(0, 5_000)) for i in range(120)])
