@@ -1,7 +1,7 @@
 """Similarity kept up to date: saved fingerprints, lookups, edges and components, into which only new versions are merged.
 
 A version is what a key (path, size, time, mode) names. Only versions that are not saved are fingerprinted; only their new hashes
-probe, the saved lookups and one another; new edges join saved components, named by their roots, so that a graph of what has
+probe, the saved lookups and one another, or at a wide radius are compared with the saved hashes and one another; new edges join saved components, named by their roots, so that a graph of what has
 changed is all that is contracted. Where hashes have gone, the components they were in are found anew from their own saved edges.
 """
 
@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import values
 from ..session import cut, spread_join
-from .similar import bands, components, lookups
+from .similar import bands, compared, compared_pays, components, lookups
 
+#: A state is to grow: whether its hashes are looked up or compared outright is decided for as many.
+GROWN = 1_000_000
 PRINTS, LOOKUPS, EDGES, LABELS = "key string, h long", "g long, band int, part long, other long", "h long, g long", "h long, root long"
 
 
@@ -66,14 +68,19 @@ def update(spark: SparkSession, path: str, versions: DataFrame, prints: Callable
     if generation:
         found = [tuple(r) for r in spark.read.parquet(f"{path}/bands").orderBy("shift").collect()]  # eight at most
     else:
-        found = bands(radius, fresh.count())
+        found = bands(radius, fresh.count()) if not compared_pays(bands(radius, GROWN), GROWN, GROWN / 2) else []
         spark.createDataFrame(found, "shift int, width int, most int").write.mode("overwrite").parquet(f"{path}/bands")
-    # Lookups of hashes that have gone may stay: they are told by ``live`` hashes alone.
-    own = lookups(fresh.withColumnRenamed("h", "g"), found, "g", False).withColumnRenamed("mask", "other").select("g", F.col("band").cast("int").alias("band"), "part", "other")
-    _write(own, path, "lookups", generation)
-    there = _read(spark, path, "lookups", last, LOOKUPS)
-    both = there.withColumn("new", F.lit(False)).union(own.withColumn("new", F.lit(True)))
-    near = cut(_probe(fresh, both, found, radius).join(kept.withColumnRenamed("h", "g"), "g", "left_semi").select("h", "g"))
+    if found:
+        # Lookups of hashes that have gone may stay: they are told by ``live`` hashes alone.
+        own = lookups(fresh.withColumnRenamed("h", "g"), found, "g", False).withColumnRenamed("mask", "other").select("g", F.col("band").cast("int").alias("band"), "part", "other")
+        _write(own, path, "lookups", generation)
+        there = _read(spark, path, "lookups", last, LOOKUPS)
+        both = there.withColumn("new", F.lit(False)).union(own.withColumn("new", F.lit(True)))
+        near = cut(_probe(fresh, both, found, radius).join(kept.withColumnRenamed("h", "g"), "g", "left_semi").select("h", "g"))
+    else:
+        keyed = lambda rows: rows.select("h", F.col("h").alias("k"))
+        pairs = compared(keyed(fresh), radius).union(compared(keyed(fresh), radius, keyed(cut(old.join(lost, "h", "left_anti")))))
+        near = cut(pairs.select(F.col("a").alias("h"), F.col("b").alias("g")))
     _write(near, path, "edges", generation)
 
     before = spark.read.schema(LABELS).parquet(f"{path}/labels/generation={last}") if generation else spark.createDataFrame([], LABELS)

@@ -107,6 +107,23 @@ def test_only_what_is_new_is_fingerprinted_and_probed(spark, tmp_path):
     assert told["printed"] == 200 - len(few) and now(items, 3) == whole(items)
 
 
+def test_a_wide_radius_is_kept_up_to_date_by_comparisons(spark, tmp_path):
+    r, path = random.Random(9), str(tmp_path / "index")
+    base = [r.getrandbits(63) for _ in range(30)]
+    items = {f"v{i}": base[i % 30] if i < 30 else flipped(r, base[i % 30], r.randint(0, 20)) for i in range(150)}
+
+    def versions(keys):
+        return spark.createDataFrame([(k, items[k]) for k in keys], "key string, h long")
+
+    few = [k for i, k in enumerate(items) if i % 10 and i > 5]
+    for generation, keys in enumerate(([k for i, k in enumerate(items) if i % 10], items, few, items)):
+        I.update(spark, path, versions(keys), lambda v: v.select("key", "h"), 18, generation)
+        df = versions(keys).select(F.col("key").alias("id"), "h")
+        want = {tuple(x) for x in S.member_components(S.candidates(df, 18), S.members(df)).collect()}
+        assert {tuple(x) for x in I.groups(spark, path, versions(keys), generation).collect()} == want
+    assert not os.path.exists(f"{path}/lookups")
+
+
 # ---- reviews
 
 
