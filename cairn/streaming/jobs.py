@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -58,20 +59,26 @@ def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> Da
 
 
 def reduced(events: DataFrame) -> DataFrame:
-    """(item, decision, moves) after each batch from (item, seq, decision): the last decision of an item stands, undo takes it back."""
+    """(item, decision, moves) after each batch from (item, seq, decision): the last decision of an item stands, undo takes it back.
+
+    The order is that of ``seq`` in all that has come, whichever batch or piece of a batch brought it: an earlier event that comes
+    late changes what undo took back. So the state of an item is its events."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        done = list(state.get[0].split(",")) if state.exists and state.get[0] else []
-        for pdf in batches:
-            for decision in pdf.sort_values("seq")["decision"]:
-                if decision == "undo":
-                    done = done[:-1]
-                else:
-                    done.append(decision)
-        state.update((",".join(done),))
+        said = [tuple(x) for x in json.loads(state.get[0])] if state.exists else []
+        for pdf in batches:  # a group may come in several pieces
+            said.extend(zip(pdf["seq"].tolist(), pdf["decision"].tolist(), strict=True))
+        said.sort()
+        done: list[str] = []
+        for _, decision in said:
+            if decision != "undo":
+                done.append(decision)
+            elif done:
+                done.pop()
+        state.update((json.dumps(said),))
         yield pd.DataFrame({"item": [key[0]], "decision": [done[-1] if done else None], "moves": [len(done)]})
 
-    return events.groupBy("item").applyInPandasWithState(step, "item long, decision string, moves long", "done string", "update", "NoTimeout")
+    return events.groupBy("item").applyInPandasWithState(step, "item long, decision string, moves long", "said string", "update", "NoTimeout")
 
 
 class Progress(StreamingQueryListener):

@@ -124,6 +124,29 @@ def test_a_wide_radius_is_kept_up_to_date_by_comparisons(spark, tmp_path):
     assert not os.path.exists(f"{path}/lookups")
 
 
+def test_decisions_count_in_order_of_seq_whatever_piece_brings_them(spark, tmp_path):
+    r = random.Random(6)
+    said = {(seq % 5, seq): r.choice(["keep", "mark", "undo"]) for seq in range(300)}
+    order = list(said)
+    r.shuffle(order)
+    for i in range(3):
+        rows = [(*k, said[k]) for k in order[i::3]]
+        spark.createDataFrame(rows, "item long, seq long, decision string").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    want = {}
+    for item in range(5):
+        done = []
+        for seq in range(item, 300, 5):
+            done = done[:-1] if said[item, seq] == "undo" else [*done, said[item, seq]]
+        want[item] = (done[-1] if done else None, len(done))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        e = J.source(spark, spark.read.parquet(str(tmp_path / "events.parquet")), f"{tmp_path}/event?.parquet")
+        got = {x.item: (x.decision, x.moves) for x in J.collected(J.reduced(e), "update", ["item"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
 # ---- reviews
 
 
