@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import paths
-from ..session import cut, spread_join
+from ..session import cut, small, spread_join
 from ..sources import ranges
 
 #: Folder names that count against or for a copy, and their weights.
@@ -17,6 +17,8 @@ MEDIA = ["pictures", "photos", "videos", "movies", "dcim", "music", "documents"]
 COPY_NAME = r" copy|copy of|-copy|\([1-9]\)"
 WEIGHTS = {"temporary": 100, "old": 20, "copy": 30, "media": -10}
 PART = 65_536
+#: Repeated sizes up to which they are broadcast: 8 bytes each.
+SIZES = 1_000_000
 
 
 def repeated_sizes(files: DataFrame) -> DataFrame:
@@ -34,10 +36,17 @@ def partial_hash(content: Column | str) -> Column:
 
 
 def hashed(files: DataFrame, content: str) -> DataFrame:
-    """Only files that can have a copy are hashed: by size, then by parts, then whole."""
-    first = repeated_sizes(files).withColumn("part", partial_hash(F.col(content).cast("binary")))
+    """Only files that can have a copy are hashed: by size, then by parts, then whole.
+
+    Sizes are few and broadcast, and both hashes are taken before rows are shuffled, so that contents which are not asked for
+    stay where they are read; a file of up to three parts is hashed once, as its parts are the whole."""
+    whole = files.where("size > 0")
+    sizes = small(cut(whole.groupBy("size").count().where("count > 1").select("size")), SIZES)
+    bytes_ = F.col(content).cast("binary")
+    first = whole.join(sizes, "size", "left_semi").withColumn("part", partial_hash(bytes_))
+    first = first.withColumn("hash", F.when(F.octet_length(bytes_) <= 3 * PART, F.col("part")).otherwise(F.sha2(bytes_, 256)))
     parts = first.groupBy("size", "part").count().where("count > 1").select("size", "part")
-    return first.join(parts, ["size", "part"], "left_semi").drop("part").withColumn("hash", F.sha2(F.col(content).cast("binary"), 256))
+    return first.join(parts, ["size", "part"], "left_semi").drop("part")
 
 
 def hashed_on_disk(files: DataFrame, root: str) -> DataFrame:

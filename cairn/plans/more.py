@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from ..functions import values
 from ..operators import browse as B, duplicates as D, findings as X, integrity as I, media as V, metadata as M, organize as O, plan as P, selection as L, similar as S, storage as T
-from ..session import numbered
+from ..session import cut, numbered, spread_join
 from ..sources import archives as A, catalog as C
 from ..sources.catalog import CATALOG_SQL as CAT, of_documents, table
 from ..streaming import jobs as J
@@ -181,10 +181,10 @@ def transfer_dry_run(spark, d):
 @query("""WITH m AS (SELECT text, doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE strlen(text) > 0), x AS (SELECT *, doc_id % 6 = 0 AS changed FROM m WHERE n > 1), b AS (SELECT text FROM x WHERE r = 1 AND changed)
 SELECT doc_id, CASE WHEN text IN (SELECT text FROM b) THEN 'skipped' WHEN changed THEN 'changed' ELSE 'trash' END AS outcome FROM x WHERE r > 1""")
 def cleanup_execution(spark, d):
-    from pyspark.sql import Window
-
-    m = D.members(D.hashed(of_documents(spark, d), "text")).select("doc_id", "path", "size", "hash", F.col("hash").alias("unit"))
-    plan = m.withColumn("r", F.row_number().over(Window.partitionBy("unit").orderBy("doc_id"))).where("r > 1")
+    # Written once without texts: the plan, its members and what is there now are all made of it.
+    m = cut(D.members(cut(D.hashed(of_documents(spark, d), "text").select("doc_id", "path", "size", "hash"))).withColumn("unit", F.col("hash")))
+    first = m.groupBy("unit").agg(F.min("doc_id").alias("first"))
+    plan = spread_join(m, first, ["unit"]).where("doc_id > first").select("unit", "path")
     now = m.where("doc_id % 12 > 0").select("path", "size", F.when(F.col("doc_id") % 6 == 0, "other").otherwise(F.col("hash")).alias("hash"))
     return P.executable(plan, m, now).join(m.select("path", "doc_id"), "path").select("doc_id", "outcome")
 

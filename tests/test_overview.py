@@ -76,3 +76,24 @@ def test_totals_of_a_drive(spark):
     assert (row["files"], row.folders, row.favorites, row.photos, row.videos, row.documents, row.links, row.bytes) == (2, 2, 3, 1, 0, 1, 0, 8)
     none = B.drive_totals(f.limit(0), B.folders_of(f.limit(0)), df("a"), df("a/shut")).first()
     assert none["files"] == none.bytes == 0
+
+
+def test_cleanup_shuffles_no_texts(spark, tmp_path):
+    from cairn.plans.queries import QUERIES
+
+    r = random.Random(7)
+    texts = [r.randbytes(50_000).hex() for _ in range(8)]
+    rows = [(i, texts[i % 8], "en", "src1", 100_000) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+
+    def written():
+        store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(store.stageList(None, False, False, none, None))
+        return sum(s.shuffleWriteBytes() for s in stages if s.stageId() > last), max(s.stageId() for s in stages)
+
+    last = -1
+    last = written()[1]
+    got = {x.doc_id: x.outcome for x in QUERIES["cleanup_execution"](spark, str(tmp_path)).collect()}
+    # Of the first copies 0 and 6 have changed, so theirs stay; 12 and 18 (units 4 and 2) have changed themselves.
+    assert got == {i: "skipped" if i % 8 in (0, 6) else "changed" if i % 6 == 0 else "trash" for i in range(8, 24)}
+    assert 0 < written()[0] < 1_000_000 < sum(len(x[1]) for x in rows)
